@@ -1,0 +1 @@
+"""Small column expressions shared by the operators."""
