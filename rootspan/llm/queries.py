@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from rootspan.llm import lines
+from rootspan.llm import licenses, lines, secrets
 
 QUERIES = {
+    "op6_license_scan": licenses.query,
+    "op8_secret_scan": secrets.query,
     "op10_line_dedup": lines.query,
 }
 SQL = {
