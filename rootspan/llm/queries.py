@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from rootspan.llm import licenses, lines, secrets
+from rootspan.llm import licenses, lines, secrets, token_files
 
 QUERIES = {
+    "op2_token_output": token_files.query,
     "op6_license_scan": licenses.query,
     "op8_secret_scan": secrets.query,
     "op10_line_dedup": lines.query,
