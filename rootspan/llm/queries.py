@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from rootspan.llm import licenses, lines, secrets, token_files
+from rootspan.llm import byte_bpe, licenses, lines, secrets, token_files
 
 QUERIES = {
     "op2_token_output": token_files.query,
     "op6_license_scan": licenses.query,
     "op8_secret_scan": secrets.query,
+    "op9_byte_bpe": byte_bpe.query,
     "op10_line_dedup": lines.query,
 }
 SQL = {
