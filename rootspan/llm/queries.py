@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from rootspan.llm import byte_bpe, licenses, lines, secrets, token_files
+from rootspan.llm import byte_bpe, decontaminate, licenses, lines, secrets, token_files
 
 QUERIES = {
+    "op1_decontamination": decontaminate.query,
     "op2_token_output": token_files.query,
     "op6_license_scan": licenses.query,
     "op8_secret_scan": secrets.query,
