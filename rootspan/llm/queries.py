@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from rootspan.llm import byte_bpe, decontaminate, licenses, lines, secrets, token_files
+from rootspan.llm import byte_bpe, decontaminate, licenses, lines, quality, secrets, token_files
 
 QUERIES = {
     "op1_decontamination": decontaminate.query,
     "op2_token_output": token_files.query,
+    "op3_quality": quality.query,
     "op6_license_scan": licenses.query,
     "op8_secret_scan": secrets.query,
     "op9_byte_bpe": byte_bpe.query,
