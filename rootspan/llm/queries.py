@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from rootspan.llm import byte_bpe, decontaminate, licenses, lines, quality, secrets, token_files
+from rootspan.llm import byte_bpe, decontaminate, language, licenses, lines, quality, secrets, token_files
 
 QUERIES = {
     "op1_decontamination": decontaminate.query,
     "op2_token_output": token_files.query,
     "op3_quality": quality.query,
     "op6_license_scan": licenses.query,
+    "op7_language_id": language.query,
     "op8_secret_scan": secrets.query,
     "op9_byte_bpe": byte_bpe.query,
     "op10_line_dedup": lines.query,
