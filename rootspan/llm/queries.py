@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from rootspan.llm import byte_bpe, decontaminate, language, licenses, lines, near_dup, quality, secrets, token_files
+from rootspan.llm import ann, byte_bpe, decontaminate, language, licenses, lines, near_dup, quality, secrets, token_files
 
 QUERIES = {
     "op1_decontamination": decontaminate.query,
     "op2_token_output": token_files.query,
     "op3_quality": quality.query,
+    "op4_nearest": ann.query,
     "op5_near_dup": near_dup.query,
     "op6_license_scan": licenses.query,
     "op7_language_id": language.query,
