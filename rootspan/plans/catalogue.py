@@ -203,10 +203,10 @@ def group_sizes(spark, d):
     return merge.group_sizes(merge_groups(spark, d))
 
 
-_CLASS_FOLD = """ci AS (SELECT st, row_number() OVER (ORDER BY st) AS i FROM (SELECT DISTINCT st FROM vs)),
+_CLASS_FOLD = """ci AS MATERIALIZED (SELECT st, row_number() OVER (ORDER BY st) AS i FROM (SELECT DISTINCT st FROM vs)),
 ca AS (SELECT v, list_sort(list(i)) AS t FROM vs JOIN ci USING (st) GROUP BY v),
 cd AS (SELECT DISTINCT m.avg_w, m.class_id, ca.t FROM ptypes p JOIN ca ON ca.v = p.s JOIN means m ON m.class_id = p.o),
-cr AS (SELECT class_id, t, row_number() OVER (ORDER BY avg_w, class_id, t) AS n FROM cd),
+cr AS MATERIALIZED (SELECT class_id, t, row_number() OVER (ORDER BY avg_w, class_id, t) AS n FROM cd),
 cf AS (
   SELECT 0::BIGINT AS n, -1::BIGINT AS cls, (SELECT list(i ORDER BY i) FROM ci) AS work, (SELECT list(i ORDER BY i) FROM ci) AS saved, false AS failed, (SELECT ceil(count(*) / 4.0) FROM ci) AS cap
   UNION ALL

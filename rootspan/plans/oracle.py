@@ -61,10 +61,10 @@ _TOUCHED = "list_distinct(list_transform(r.t, lambda i: {labels}[i]))"
 def fold(sets: str, weights: str, k: int, name: str) -> str:
     """Groups by merging in order of weight: {name}(st, grp)."""
     touched = _TOUCHED.format(labels="f.labels")
-    return f"""{name}_i AS (SELECT st, row_number() OVER (ORDER BY st) AS i FROM (SELECT DISTINCT st FROM {sets})),
+    return f"""{name}_i AS MATERIALIZED (SELECT st, row_number() OVER (ORDER BY st) AS i FROM (SELECT DISTINCT st FROM {sets})),
 {name}_a AS (SELECT v, list_sort(list(i)) AS t FROM {sets} JOIN {name}_i USING (st) GROUP BY v HAVING count(*) > 1),
 {name}_d AS (SELECT t, min((-w, v)) AS pos FROM {name}_a JOIN {weights} USING (v) GROUP BY t),
-{name}_r AS (SELECT t, row_number() OVER (ORDER BY pos) AS n FROM {name}_d),
+{name}_r AS MATERIALIZED (SELECT t, row_number() OVER (ORDER BY pos) AS n FROM {name}_d),
 {name}_f AS (
   SELECT 0::BIGINT AS n, (SELECT list(i ORDER BY i) FROM {name}_i) AS labels, (SELECT ceil(count(*) / {k}::DOUBLE) FROM {name}_i) AS cap
   UNION ALL
@@ -79,7 +79,7 @@ def packed(groups: str, k: int, name: str) -> str:
     """Groups on partitions: {name}(st, part)."""
     zeros = ", ".join("0::BIGINT" for _ in range(k))
     return f"""{name}_z AS (SELECT grp, count(*) AS c FROM {groups} GROUP BY grp),
-{name}_r AS (SELECT grp, c, row_number() OVER (ORDER BY c DESC, grp) AS n FROM {name}_z),
+{name}_r AS MATERIALIZED (SELECT grp, c, row_number() OVER (ORDER BY c DESC, grp) AS n FROM {name}_z),
 {name}_f AS (
   SELECT 0::BIGINT AS n, -1::BIGINT AS grp, -1::BIGINT AS part, [{zeros}] AS loads
   UNION ALL
