@@ -8,7 +8,8 @@ centroid and of those not more than ``BOUNDARY`` times as far, ``COPIES`` lists
 a boundary are found from either side. Every vector is indexed.
 
 Search. The same graph gives a query's centroids; it takes the lists whose centroids are not more than
-``PRUNE`` times as far as the nearest. Lists and the queries that take them meet in cells of bounded size:
+``PRUNE`` times as far as the nearest, and ``LEAST_LISTS`` in any case (a query close to a dense spot would take
+too few). Lists and the queries that take them meet in cells of bounded size:
 a list is dealt into blocks of about ``BLOCK`` vectors by a hash of the id, however many equal vectors it
 holds, and its queries into blocks of ``QUERY_BLOCK``. Each cell computes distances by matrix product, then
 exactly, in double precision from the original components, for all that may be among the nearest, and
@@ -36,6 +37,7 @@ MOST_LISTS = 8192
 COPIES = 4
 BOUNDARY = 1.1
 PRUNE = 1.2
+LEAST_LISTS = 8
 DEGREE = 24
 BLOCK = 1024
 QUERY_BLOCK = 1024
@@ -94,8 +96,11 @@ class Graph:
     def _far(self, x: np.ndarray) -> np.ndarray:
         return (x**2).sum(1)[:, None] + (self.c**2).sum(1)[None] - 2 * x @ self.c.T
 
-    def near(self, x: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, centroid, distance) of the centroids within ``ratio`` of each row's nearest, nearest first."""
+    def near(self, x: np.ndarray, ratio: float, least: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, centroid, distance) of the centroids within ``ratio`` of each row's nearest, nearest first.
+
+        ``least`` of them are given in any case.
+        """
         n, m = len(x), len(self.c)
         d = np.full((n, m), np.inf, np.float32)
         done = np.zeros((n, m), bool)
@@ -114,7 +119,9 @@ class Graph:
             rows, nodes = pairs // m, pairs % m
             new = np.isinf(d[rows, nodes])
             rows, nodes = rows[new], nodes[new]
-        rows, nodes = np.nonzero(d <= (d.min(1) * (ratio + 1e-6))[:, None])
+        least = min(least, m) - 1
+        reach = np.maximum(d.min(1) * (ratio + 1e-6), np.partition(d, least, 1)[:, least])
+        rows, nodes = np.nonzero((d <= reach[:, None]) & np.isfinite(d))
         order = np.lexsort((nodes, d[rows, nodes], rows))
         return rows[order], nodes[order], d[rows[order], nodes[order]]
 
@@ -137,14 +144,14 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(-1, d)
 
 
-def assign(vectors: DataFrame, graph, d: int, ratio: float, copies: int) -> DataFrame:
-    """(list, id, v): the posting lists of every vector, ``copies`` at most."""
+def assign(vectors: DataFrame, graph, d: int, ratio: float, least: int, copies: int) -> DataFrame:
+    """(list, id, v): the lists of every vector, ``least`` at least as far as there are, ``copies`` at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                rows, nodes, _ = graph.value.near(_matrix(part.column(1), d).astype(np.float32), ratio)
+                rows, nodes, _ = graph.value.near(_matrix(part.column(1), d).astype(np.float32), ratio, least)
                 turn = np.arange(len(rows)) - np.searchsorted(rows, rows)
                 take = turn < copies
                 own = part.take(pa.array(rows[take]))
@@ -171,8 +178,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
         return spark.createDataFrame([], out_kind)
     asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v")).where(F.col("id").isNotNull() & F.coalesce(fine_of("v"), F.lit(False)) & (F.size("v") == d))
     graph = spark.sparkContext.broadcast(fit(base, d, base.count()))
-    postings = settle(assign(base, graph, d, boundary, copies), "postings")
-    wanted = settle(assign(asked, graph, d, prune, 1 << 30), "wanted")
+    postings = settle(assign(base, graph, d, boundary, 1, copies), "postings")
+    wanted = settle(assign(asked, graph, d, prune, LEAST_LISTS, 1 << 30), "wanted")
     # One row for each list, bounded by MOST_LISTS.
     sizes = postings.groupBy("list").agg(F.count(F.lit(1)).alias("n")).select("list", F.ceil(F.col("n") / block).cast("int").alias("parts"))
     asks = wanted.groupBy("list").agg(F.count(F.lit(1)).alias("n")).select("list", F.ceil(F.col("n") / QUERY_BLOCK).cast("int").alias("turns"))
