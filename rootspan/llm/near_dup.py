@@ -7,18 +7,20 @@ a coordinate keeps the smallest value of the first round that reached it. Rounds
 are filled, which the second half guarantees and large sets reach after two or three.
 
 Banding puts documents into one bucket for each band of coordinates. Bands are sized so that a linked pair
-misses all of them with a probability below ``MISS``. Candidates are then verified on full sets.
+misses all of them with a probability below ``MISS``. Candidates whose whole
+sketches agree as seldom as linked pairs do with a probability below ``MISS`` go; the rest are verified on
+full sets.
 
 No group is expanded into all its pairs. Texts with equal sets are one class, which its smallest id
-represents. In a bucket the first round tests one hub against all others; linked members join the hub's
-component. Later rounds test four times as many hubs, chosen from the components that are left, against
-the members outside their own component, until each bucket is one component or every pair of members in
-different components has been tested. That is the exact component structure of all candidate pairs: a
-pair is left out only if its ends are connected already.
+represents. In a bucket one hub is tested against all others; linked members join the hub's component. Only
+buckets whose other members are in several components by then need more: they are dealt into blocks, and
+cells of two blocks compare members of different components within one task, sketches first and full sets
+then, best pairs first, passing over those that are connected meanwhile. That gives the component structure
+of all candidate pairs: a pair is left out only if its ends are connected already.
 
 Plan. Texts are read once for sketches and once more for the sets of candidates; sketches carry no text.
 Buckets, pairs and components are narrow tables keyed by hashes; each step is written to the shared folder.
-A verification task holds one pair's sets at a time.
+A verification task holds one pair's sets, a cell those of two blocks, at a time.
 
 Defined results: null, empty and blank texts have empty sets and are linked with nothing; exact copies are
 linked; an id that occurs more than once is one node, linked by any of its texts; a row with a null id is
@@ -28,19 +30,21 @@ linked with nothing and kept; words are lower-cased in A-Z only and parted by AS
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rootspan.llm.components import components
-from rootspan.scratch import drop_table, settle
+from rootspan.scratch import settle
 
-BINS = 128
-MISS = 1e-7
+BINS = 256
+MISS = 1e-6
+CELL = 4 << 20
 _MEMO = 300_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -132,7 +136,7 @@ def signatures(docs: DataFrame, words: int, rows: int, id_col: str, text: str) -
 
 
 def _full_sets(docs: DataFrame, classes: DataFrame, words: int, id_col: str, text: str) -> DataFrame:
-    """(node, n, items): the sets of the given classes (node, print)."""
+    """(node, n, items, drawn): the sets of the given classes (node, print), and their sketches cut to 16 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,36 +144,124 @@ def _full_sets(docs: DataFrame, classes: DataFrame, words: int, id_col: str, tex
                 part = batch.slice(at, 200)
                 sets = [shingles(t.as_py(), words) for t in part.column(1)]
                 prints = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints, pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "print", "n", "items"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints, pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([row.tobytes() for row in sketch(sets).astype(np.uint16)], pa.binary())], names=["node", "print", "n", "items", "drawn"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text).alias("text"))
-    sets = texts.join(classes.select("node").distinct(), "node", "left_semi").mapInArrow(run, "node long, print binary, n long, items binary")
-    return sets.join(classes, ["node", "print"], "left_semi").dropDuplicates(["node", "print"]).select("node", "n", "items")
+    sets = texts.join(classes.select("node").distinct(), "node", "left_semi").mapInArrow(run, "node long, print binary, n long, items binary, drawn binary")
+    return sets.join(classes, ["node", "print"], "left_semi").dropDuplicates(["node", "print"]).select("node", "n", "items", "drawn")
 
 
-def _close(n: str, m: str, num: int, den: int) -> Column:
-    """Set sizes that do not rule the similarity out by themselves."""
-    return (F.least(n, m) * den) >= (F.greatest(n, m) * num)
+def least_equal(share: float, bins: int = BINS, miss: float = MISS) -> int:
+    """Fewest equal coordinates that a pair of that similarity shows, but for a probability of ``miss``."""
+    seldom, k = 0.0, 0
+    while (seldom := seldom + math.comb(bins, k) * share**k * (1 - share) ** (bins - k)) <= miss:
+        k += 1
+    return k
+
+
+def _similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
+    """num/den at least on full sets (sorted distinct hashes)."""
+    small, large = (a, b) if len(a) < len(b) else (b, a)
+    if den * len(small) < num * len(large):
+        return False
+    at = np.searchsorted(large, small)
+    common = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+    return den * common >= num * (len(a) + len(b) - common)
+
+
+def _drawn(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, BINS)
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b) of the pairs of nodes whose full sets are as similar as asked."""
+    """(a, b) of the pairs of nodes that are linked: first by sketches, then on full sets."""
+    least = least_equal(num / den)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = (_drawn(batch.column(2)) == _drawn(batch.column(3))).sum(1) >= least
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(same, pa.bool_()))
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = []
-            for i in range(batch.num_rows):
-                a_of, b_of = (np.frombuffer(batch.column(k)[i].as_buffer(), np.uint64) for k in (2, 3))
-                small, large = (a_of, b_of) if len(a_of) < len(b_of) else (b_of, a_of)
-                at = np.searchsorted(large, small)
-                common = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-                linked.append(den * common >= num * (len(a_of) + len(b_of) - common))
+            of = lambda k, i: np.frombuffer(batch.column(k)[i].as_buffer(), np.uint64)  # noqa: B023, E731
+            linked = [_similar(of(2, i), of(3, i), num, den) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    left = sets.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("items").alias("ai"))
-    right = sets.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col("items").alias("bi"))
-    joined = pairs.join(right, "b").join(left, "a").where(_close("an", "bn", num, den))
-    return joined.select("a", "b", "ai", "bi").mapInArrow(run, "a long, b long")
+    def both(ends: DataFrame, what: str) -> DataFrame:
+        left, right = (sets.select(F.col("node").alias(c), F.col(what).alias(f"{c}x")) for c in ("a", "b"))
+        return ends.join(right, "b").join(left, "a").select("a", "b", "ax", "bx")
+
+    close = both(pairs, "drawn").mapInArrow(likely, "a long, b long").distinct()
+    return both(close, "items").mapInArrow(exact, "a long, b long").distinct()
+
+
+def _in_cells(members: DataFrame, sets: DataFrame, num: int, den: int, cell_bytes: int = CELL) -> DataFrame:
+    """(a, b): links that join different components of a bucket, for (key, node, top).
+
+    A bucket is dealt into blocks of about ``cell_bytes`` of sets, and a cell holds two blocks, so that memory
+    is bounded and no pair becomes a row. A cell compares the sketches of its members, verifies likely pairs
+    on full sets, best first, and passes over pairs that its links so far connect already.
+    """
+    least = least_equal(num / den)
+    full = members.join(sets.select("node", "items", "drawn"), "node")
+    sizes = members.join(sets.select("node", "n"), "node").groupBy("key").agg(F.ceil((F.sum("n") * 8 + F.count(F.lit(1)) * 512) / cell_bytes).cast("int").alias("blocks"))
+    dealt = full.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # Block i meets every block j: cell (min, max); a block alone is cell (i, i).
+    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "top", "items", "drawn")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(held: list[tuple]) -> list[tuple[int, int]]:
+            cell, nodes, tops = held[0][:3], [h[4] for h in held], np.array([h[5] for h in held])
+            if (tops == tops[0]).all():
+                return []
+            block, drawn = np.array([h[3] for h in held]), np.frombuffer(b"".join(h[7] for h in held), np.uint16).reshape(-1, BINS)
+            items = [np.frombuffer(h[6], np.uint64) for h in held]
+            up: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while (y := up.get(x, x)) != x:
+                    x = y
+                return x
+
+            found, tries = [], []
+            for x in range(len(held)):
+                # In a mixed cell pairs inside one block belong to that block's own cell.
+                others = tops[x + 1 :] != tops[x]
+                if cell[1] != cell[2]:
+                    others &= block[x + 1 :] != block[x]
+                ys = np.flatnonzero(others) + x + 1
+                if len(ys):
+                    same = (drawn[ys] == drawn[x]).sum(1)
+                    near = same >= least
+                    tries.append(np.stack([same[near], np.full(near.sum(), x), ys[near]]))
+            ranked = np.concatenate(tries, 1) if tries else np.zeros((3, 0), np.int64)
+            for k in np.argsort(-ranked[0], kind="stable").tolist():
+                x, y = int(ranked[1, k]), int(ranked[2, k])
+                p, q = find(int(tops[x])), find(int(tops[y]))
+                if p != q and _similar(items[x], items[y], num, den):
+                    up[max(p, q)] = min(p, q)
+                    found.append((min(nodes[x], nodes[y]), max(nodes[x], nodes[y])))
+            return found
+
+        def rows() -> Iterator[tuple]:
+            held: list[tuple] = []
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    row = tuple(c[i].as_py() for c in batch.columns)
+                    if held and row[:3] != held[0][:3]:
+                        yield from links(held)
+                        held = []
+                    held.append(row)
+            if held:
+                yield from links(held)
+
+        out = list(rows())
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+
+    ordered = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+    return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
 def link(docs: DataFrame, words: int, num: int, den: int, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -196,44 +288,27 @@ def link(docs: DataFrame, words: int, num: int, den: int, id_col: str = "doc_id"
 
 
 def _components_of(buckets: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(node, top): components of the candidate pairs that hold, for nodes with at least one link.
-
-    ``left`` holds the members of unfinished buckets that were no hub there yet. A hub is tested against all
-    of them outside its component, so a bucket is finished once those that are left share one component.
-    """
-    links = tested = comp = None
-    left, hubs = buckets.withColumn("top", F.col("node")), 1
-    while True:
-        mixed = F.xxhash64("node", "key")
-        if hubs == 1:
-            hub = left.groupBy("key").agg(F.min_by(F.struct("node", "n", "top"), mixed).alias("h")).select("key", "h.*")
-        else:
-            # Hubs are spread over the components of a bucket; both ranks are cut within tasks already.
-            turn = F.row_number().over(Window.partitionBy("key", "top").orderBy(mixed))
-            first = left.withColumn("turn", turn).where(F.col("turn") <= hubs)
-            rank = F.row_number().over(Window.partitionBy("key").orderBy("turn", mixed))
-            hub = first.withColumn("k", rank).where(F.col("k") <= hubs).select("key", "node", "n", "top")
-        hub = settle(hub, "hubs")
-        ends = hub.select("key", F.col("node").alias("h"), F.col("n").alias("hn"), F.col("top").alias("ht"))
-        pairs = left.join(ends, "key").where("top <> ht").where(_close("n", "hn", num, den)).select(F.least("node", "h").alias("a"), F.greatest("node", "h").alias("b")).distinct()
-        pairs = settle(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs, "pairs")
-        if pairs.head(1):
-            good = settle(_verify(pairs, sets, num, den).distinct(), "links")
-            links = good if links is None else links.unionAll(good)
-            tested = pairs if tested is None else tested.unionAll(pairs)
-            if good.head(1):
-                comp = settle(components(links).select(F.col("id").alias("node"), F.col("root").alias("top")), "comp")
-        rest = left.select("key", "node", "n").join(hub.select("key", "node"), ["key", "node"], "left_anti")
-        if comp is not None:
-            rest = rest.join(comp, "node", "left").select("key", "node", "n", F.coalesce("top", "node").alias("top"))
-        else:
-            rest = rest.withColumn("top", F.col("node"))
-        rest = settle(rest, "rest")
-        unfinished = rest.groupBy("key").agg(F.min("top").alias("lo"), F.max("top").alias("hi")).where("lo <> hi").select("key")
-        left, hubs = settle(rest.join(unfinished, "key", "left_semi"), "left"), hubs * 4
-        drop_table(rest)
-        if not left.head(1):
-            return comp if comp is not None else buckets.select("node", F.col("node").alias("top")).limit(0)
+    """(node, top): components of the candidate pairs that hold, for nodes with at least one link."""
+    none = buckets.select("node", F.col("node").alias("top")).limit(0)
+    if not buckets.head(1):
+        return none
+    # One hub for each bucket, the same for buckets alike; sizes alone rule some pairs out.
+    hub = buckets.groupBy("key").agg(F.min_by(F.struct("node", "n"), F.xxhash64("node")).alias("h"))
+    met = buckets.join(hub, "key").where("node <> h.node").where(F.least("n", "h.n") * den >= F.greatest("n", "h.n") * num)
+    pairs = settle(met.select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct(), "pairs")
+    links = settle(_verify(pairs, sets, num, den), "links")
+    comp = settle(components(links).select(F.col("id").alias("node"), F.col("root").alias("top")), "comp")
+    now = buckets.select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("top", "node").alias("top"))
+    # A hub was tested against all of its bucket: what is left must differ among the others.
+    left = now.join(hub.select("key", F.col("h.node").alias("hn")), "key").where("node <> hn").drop("hn")
+    mixed = left.groupBy("key").agg(F.min("top").alias("lo"), F.max("top").alias("hi")).where("lo <> hi").select("key")
+    left = settle(left.join(mixed, "key", "left_semi"), "left")
+    if not left.head(1):
+        return comp
+    more = settle(_in_cells(left, sets, num, den), "more")
+    if not more.head(1):
+        return comp
+    return settle(components(links.unionAll(more)).select(F.col("id").alias("node"), F.col("root").alias("top")), "comp")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text: str = "text") -> DataFrame:
