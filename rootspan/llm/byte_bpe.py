@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rootspan.llm.packing import pack_blobs, pack_ints, ragged, unpack_blobs, unpack_ints
+from rootspan.llm.packing import pack_blobs, pack_ints, pack_ranks, ragged, unpack_blobs, unpack_ints, unpack_ranks
 from rootspan.scratch import settle
 
 CHUNK = 24 << 20
@@ -46,8 +46,8 @@ LATIN_SPACE = "\\t-\\r \\x85\\xa0"
 LATIN_LETTER = "A-Za-z\\xaa\\xb5\\xba\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff"
 LATIN_NUMBER = "0-9\\xb2\\xb3\\xb9\\xbc-\\xbe"
 
-PACKED = "chunk long, bucket int, at binary, sizes binary, joined binary, docs array<long>, counts array<long>"
-_SCHEMA = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("at", pa.binary()), ("sizes", pa.binary()), ("joined", pa.binary()), ("docs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
+PACKED = "chunk long, bucket int, at array<binary>, sizes binary, joined binary, docs array<long>, counts array<long>"
+_SCHEMA = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("at", pa.list_(pa.binary())), ("sizes", pa.binary()), ("joined", pa.binary()), ("docs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
 
 
 class Splitter:
@@ -112,18 +112,23 @@ def explode_words(docs: DataFrame, pattern: str, buckets: int, id_col: str, text
 
         split, part, seq = Splitter(pattern), TaskContext.get().partitionId(), 0
 
-        def row(bucket: int, at: bytes, sizes: bytes, joined: bytes, docs: list, counts: list) -> pa.RecordBatch:
+        def row(bucket: int, at: list, sizes: bytes, joined: bytes, docs: list, counts: list) -> pa.RecordBatch:
             one = [(part << 32) + seq], [bucket], [at], [sizes], [joined], [docs], [counts]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(one, _SCHEMA.types)], schema=_SCHEMA)
 
         def chunk(numbers: _Numbers, docs: list, parts: list) -> Iterator[pa.RecordBatch]:
-            yield row(-1, pack_ints(np.concatenate(parts)), b"", b"", docs, [len(p) for p in parts])
-            words = [w.encode() for w in numbers]
+            numbered = np.concatenate(parts)
+            order = np.argsort(-np.bincount(numbered, minlength=len(numbers)), kind="stable")  # most frequent first
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            yield row(-1, pack_ranks(rank[numbered]), b"", b"", docs, [len(p) for p in parts])
+            words = list(numbers)
+            words = [words[i].encode() for i in order.tolist()]
             bucket = np.fromiter((xxhash.xxh32_intdigest(w) % buckets for w in words), np.int64, len(words))
             order = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.diff(bucket[order])) + 1
             for at in np.split(order, cuts) if len(order) else []:
-                yield row(int(bucket[at[0]]), pack_ints(np.diff(at, prepend=0)), *pack_blobs([words[i] for i in at.tolist()]), [], [])
+                yield row(int(bucket[at[0]]), [pack_ints(np.diff(at, prepend=0))], *pack_blobs([words[i] for i in at.tolist()]), [], [])
 
         numbers, docs, parts, size = _Numbers(), [], [], 0
         for batch in batches:
@@ -194,16 +199,16 @@ def reassemble(rows: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(docs[first : k + 1], pa.int64()), lists], schema=schema)
                     held, ends, size, first = [], [0], 0, k + 1
 
-        head, answers, of = None, [], None
+        head, answers = None, []
         for batch in batches:
             for i in range(batch.num_rows):
                 chunk, bucket, at, sizes, joined, docs, counts = (c[i].as_py() for c in batch.columns)
                 if bucket == -1:
                     if head:
                         yield from done(head, answers)
-                    head, answers, of = (docs, counts, unpack_ints(at)), [], chunk
+                    head, answers = (docs, counts, unpack_ranks(at)), []
                 else:
-                    answers.append((np.cumsum(unpack_ints(at), dtype=np.int64), unpack_ints(sizes), unpack_ints(joined)))
+                    answers.append((np.cumsum(unpack_ints(at[0]), dtype=np.int64), unpack_ints(sizes), unpack_ints(joined)))
         if head:
             yield from done(head, answers)
 

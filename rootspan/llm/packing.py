@@ -6,10 +6,14 @@ import numpy as np
 import zstandard
 
 
+#: Level of zstd.
+LEVEL = 9
+
+
 def pack_ints(values: np.ndarray) -> bytes:
     """Unsigned 32-bit integers as zstd over their four byte planes."""
     raw = np.ascontiguousarray(values, dtype="<u4").view(np.uint8).reshape(-1, 4)
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(raw.T).tobytes())
+    return zstandard.ZstdCompressor(level=LEVEL).compress(np.ascontiguousarray(raw.T).tobytes())
 
 
 def unpack_ints(packed: bytes) -> np.ndarray:
@@ -17,10 +21,35 @@ def unpack_ints(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
 
 
+#: Limits of the values that pack_ranks stores in one byte, and in two.
+_ONE, _TWO = 192, 192 + (60 << 8)
+
+
+def pack_ranks(values: np.ndarray) -> list[bytes]:
+    """Small-first integers (below 2**26) as five zstd streams: first bytes, second ones of two, the other three of four."""
+    y = values.astype(np.int64)
+    two, four = np.flatnonzero((y >= _ONE) & (y < _TWO)), np.flatnonzero(y >= _TWO)
+    first = y.astype(np.uint8)
+    t, u = y[two] - _ONE, y[four] - _TWO
+    first[two], first[four] = _ONE + (t >> 8), 252 + (u >> 24)
+    press = zstandard.ZstdCompressor(level=LEVEL).compress
+    streams = first, t & 255, (u >> 16) & 255, (u >> 8) & 255, u & 255
+    return [press(x.astype(np.uint8).tobytes()) for x in streams]
+
+
+def unpack_ranks(packed: list[bytes]) -> np.ndarray:
+    first, second, *rest = (np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).astype(np.int64) for x in packed)
+    out = first.copy()
+    two, four = np.flatnonzero((first >= _ONE) & (first < 252)), np.flatnonzero(first >= 252)
+    out[two] = ((first[two] - _ONE) << 8) + second + _ONE
+    out[four] = ((first[four] - 252) << 24) + (rest[0] << 16) + (rest[1] << 8) + rest[2] + _TWO
+    return out
+
+
 def pack_blobs(blobs: list[bytes]) -> tuple[bytes, bytes]:
     """Byte strings as packed lengths and their zstd-compressed concatenation."""
     sizes = np.fromiter(map(len, blobs), dtype=np.uint32, count=len(blobs))
-    return pack_ints(sizes), zstandard.ZstdCompressor(level=3).compress(b"".join(blobs))
+    return pack_ints(sizes), zstandard.ZstdCompressor(level=LEVEL).compress(b"".join(blobs))
 
 
 def unpack_blobs(sizes: bytes, joined: bytes) -> list[bytes]:
