@@ -1,7 +1,7 @@
 """Approximate nearest neighbours over balanced posting lists.
 
 Build. Centroids come from balanced hierarchical k-means over at most ``SAMPLE`` vectors (the ones with the
-smallest hash of their id): every split has clusters of bounded size. There are about the square root of
+smallest hash of their id): every split has clusters of bounded size. There are about half the square root of
 the number of vectors of them, ``MOST_LISTS`` at most. They are joined to their nearest centroids by a graph
 that is held in memory and searched for every vector. A vector goes to the posting lists of its nearest
 centroid and of those not more than ``BOUNDARY`` times as far, ``COPIES`` lists at most, so that vectors near
@@ -39,7 +39,7 @@ BOUNDARY = 1.1
 PRUNE = 1.2
 LEAST_LISTS = 8
 DEGREE = 24
-BLOCK = 1024
+BLOCK = 4096
 QUERY_BLOCK = 1024
 
 
@@ -166,7 +166,7 @@ def fit(vectors: DataFrame, d: int, n: int, sample: int = SAMPLE, most: int = MO
     rows = vectors.orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()
     column = rows.column("v").combine_chunks()
     x = _matrix(column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks), d).astype(np.float32)
-    return Graph(balanced(x, max(1, min(most, int(n**0.5), len(x)))))
+    return Graph(balanced(x, max(1, min(most, int(n**0.5 / 2), len(x)))))
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector: str = "embedding", prune: float = PRUNE, boundary: float = BOUNDARY, copies: int = COPIES, block: int = BLOCK) -> DataFrame:
