@@ -2,8 +2,9 @@
 
 Some 250 rules (``rules()``): for each license of ``LICENSES`` its SPDX tag, its grant ("licensed under
 the ..."), its name and, where it has one, a phrase of its own text. Each rule has a keyword, a priority
-and a pattern over the lower-cased text. A text is looked at closely only if it holds one of the few
-``GATES``; a rule's pattern runs only if the text holds the rule's keyword. Of the places found, one that
+and a pattern over the lower-cased text. A rule's pattern runs only if the text holds the rule's keyword and,
+for rules made from a template, what all rules of its kind begin with (``KINDS``); a pattern cannot match
+without either, so that no rule is kept from a text. Of the places found, one that
 lies inside another's interval goes unless its priority is higher; of equal intervals the rule of higher
 priority stays, then the earlier rule.
 
@@ -19,6 +20,7 @@ among the places that stay, over 100.
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +29,16 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-GATES = ("licen", "copyright", "spdx", "gnu", "gpl", "apache", "mozilla", "creative commons", "public domain", "cc by", "cc-by", "cc0", "bsd", "redistribut", "warrant", "unlicense", "boost software", "artistic", "eclipse public", "wtfpl")
+#: What the rules of a kind cannot do without; the rules of no kind have their keywords alone. A literal that
+#: a pattern holds is looked for first, as that is cheaper.
+HINTS = {"tag": "spdx-licen", "grant": "under", "named": "licen"}
+KINDS = {
+    "tag": r"spdx-licen[cs]e-identifier:",
+    "grant": r"(?:licen[cs]ed|released|distributed|available|published|provided|free)\s+under\s",
+    "cc": r"\bcc[\s-]by",
+    "named": r"licen[cs]e",
+    "base": "|".join(SEPARATOR.join(p.split()) for p, _ in BASE),
+}
 
 #: label, SPDX ids, keyword of the name, pattern of the name, keyword and pattern of a phrase of its own.
 LICENSES = [
@@ -35,7 +46,7 @@ LICENSES = [
     ("mit-0", ["mit-0"], "no attribution", r"\bmit no attribution\b", "", ""),
     ("x11", ["x11"], "x11", r"\bx11 licen[cs]e\b", "x consortium", r"name of the x consortium shall not"),
     ("isc", ["isc"], "isc", r"\bisc licen[cs]e\b", "permission to use, copy", r"permission to use, copy, modify,? and/or distribute this software"),
-    ("0bsd", ["0bsd"], "zero-clause", r"\bzero[\s-]clause bsd\b", "", ""),
+    ("0bsd", ["0bsd"], "clause bsd", r"\bzero[\s-]clause bsd\b", "", ""),
     ("bsd-2-clause", ["bsd-2-clause"], "bsd", r"\b(?:2|two)[\s-]clause bsd\b|\bsimplified bsd\b|\bbsd[\s-]2[\s-]clause\b", "", ""),
     ("bsd-3-clause", ["bsd-3-clause"], "bsd", r"\b(?:3|three)[\s-]clause bsd\b|\bnew bsd\b|\bbsd[\s-]3[\s-]clause\b", "neither the name", r"neither the name of .{1,80}? nor the names of its contributors"),
     ("bsd-4-clause", ["bsd-4-clause"], "bsd", r"\b(?:4|four)[\s-]clause bsd\b|\boriginal bsd\b", "advertising materials", r"all advertising materials mentioning features"),
@@ -45,8 +56,8 @@ LICENSES = [
     ("apache-2", ["apache-2.0"], "apache", r"\bapache(?: software)? licen[cs]e,?\s+(?:version\s+|v\.?\s*)?2(?:\.0)?\b", "apache.org/licenses", r"apache\.org/licenses/license-2\.0"),
     ("apache", [], "apache", r"\bapache(?: software)? licen[cs]e\b", "", ""),
     ("gpl-1", ["gpl-1.0", "gpl-1.0-only", "gpl-1.0-or-later"], "gpl", r"\bgpl[\s-]?v?1(?:\.0)?\b", "", ""),
-    ("gpl-2", ["gpl-2.0", "gpl-2.0-only", "gpl-2.0-or-later"], "gpl", r"(?<![al])\bgpl[\s-]?v?2(?:\.0)?\b", "general public license", r"(?<!lesser |library |affero )gnu general public licen[cs]e,?\s+(?:as published by the free software foundation[;,]?\s+(?:either\s+)?)?version\s+2\b"),
-    ("gpl-3", ["gpl-3.0", "gpl-3.0-only", "gpl-3.0-or-later"], "gpl", r"(?<![al])\bgpl[\s-]?v?3(?:\.0)?\b", "general public license", r"gnu general public licen[cs]e,?\s+(?:as published by the free software foundation[;,]?\s+(?:either\s+)?)?version\s+3\b"),
+    ("gpl-2", ["gpl-2.0", "gpl-2.0-only", "gpl-2.0-or-later"], "gpl", r"(?<![al])\bgpl[\s-]?v?2(?:\.0)?\b", "general public", r"(?<!lesser |library |affero )gnu general public licen[cs]e,?\s+(?:as published by the free software foundation[;,]?\s+(?:either\s+)?)?version\s+2\b"),
+    ("gpl-3", ["gpl-3.0", "gpl-3.0-only", "gpl-3.0-or-later"], "gpl", r"(?<![al])\bgpl[\s-]?v?3(?:\.0)?\b", "general public", r"gnu general public licen[cs]e,?\s+(?:as published by the free software foundation[;,]?\s+(?:either\s+)?)?version\s+3\b"),
     ("gpl", [], "general public", r"\bgnu general public licen[cs]e\b", "", ""),
     ("lgpl-2", ["lgpl-2.0", "lgpl-2.0-only", "lgpl-2.0-or-later"], "lgpl", r"\blgpl[\s-]?v?2(?:\.0)?(?!\.1)\b", "library general public", r"gnu library general public licen[cs]e"),
     ("lgpl-2.1", ["lgpl-2.1", "lgpl-2.1-only", "lgpl-2.1-or-later"], "lgpl", r"\blgpl[\s-]?v?2\.1\b", "lesser general public", r"lesser general public licen[cs]e,?\s+(?:as published by the free software foundation[;,]?\s+(?:either\s+)?)?version\s+2\.1\b"),
@@ -110,21 +121,26 @@ LICENSES = [
 
 
 def rules() -> list[dict]:
-    """The rules in order: label, keyword, priority and pattern."""
+    """The rules in order: label, kind, keyword, priority and pattern."""
     out = []
     for label, ids, key, name, own_key, own in LICENSES:
         for x in ids:
-            out.append({"label": label, "kw": x, "priority": 100, "rx": rf"spdx-licen[cs]e-identifier:\s*{x.replace('.', '[.]')}(?![\w.-])"})
+            out.append({"label": label, "kind": "tag", "kw": x, "priority": 100, "rx": rf"spdx-licen[cs]e-identifier:\s*{x.replace('.', '[.]')}(?![\w.-])"})
         if own:
-            out.append({"label": label, "kw": own_key, "priority": 90, "rx": own})
-        out.append({"label": label, "kw": key, "priority": 80, "rx": rf"(?:licen[cs]ed|released|distributed|available|published|provided|free)\s+under\s+(?:the\s+)?(?:terms\s+of\s+)?(?:the\s+)?(?:gnu\s+)?(?:{name})"})
-        out.append({"label": label, "kw": key, "priority": 60, "rx": name})
+            out.append({"label": label, "kind": "", "kw": own_key, "priority": 90, "rx": own})
+        out.append({"label": label, "kind": "grant", "kw": key, "priority": 80, "rx": rf"(?:licen[cs]ed|released|distributed|available|published|provided|free)\s+under\s+(?:the\s+)?(?:terms\s+of\s+)?(?:the\s+)?(?:gnu\s+)?(?:{name})"})
+        out.append({"label": label, "kind": "cc" if name.startswith(KINDS["cc"]) else "named" if all(KINDS["named"] in x for x in name.split(r"|\b")) else "", "kw": key, "priority": 60, "rx": name})
     for phrase, label in BASE:
         gap = "[^a-z0-9\\x80-\\x{10FFFF}]+"
-        out.append({"label": label, "kw": phrase.split()[-2], "priority": 70, "rx": r"(?<![a-z0-9\x80-\x{10FFFF}])" + gap.join(phrase.split()) + r"(?![a-z0-9\x80-\x{10FFFF}])"})
+        out.append({"label": label, "kind": "base", "kw": phrase.split()[-2], "priority": 70, "rx": r"(?<![a-z0-9\x80-\x{10FFFF}])" + gap.join(phrase.split()) + r"(?![a-z0-9\x80-\x{10FFFF}])"})
     return out
 
 
+def _any(literals: list[str]) -> str:
+    """A pattern of any of the literals, those with the same first letter together."""
+    return "|".join(re.escape(c) + "(?:" + "|".join(re.escape(x[1:]) for x in literals if x[0] == c) + ")" for c in sorted({x[0] for x in literals}))
+
+
 def _places(low: Column, rule: Column) -> Column:
     """array<struct<start, end, priority, ord, label>> of a rule's matches."""
     empty = F.array().cast("array<struct<start:int,end:int,priority:int,label:string>>")
@@ -170,19 +186,20 @@ def _base_places(words: Column) -> Column:
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with n_words, places (base: array of (word, label)), spans and score."""
-    held = F.from_json(F.lit(json.dumps(rules())), "array<struct<label:string,kw:string,priority:int,rx:string>>")
+    held = F.from_json(F.lit(json.dumps(rules())), "array<struct<label:string,kind:string,kw:string,priority:int,rx:string>>")
     low = F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER)
     found = docs.withColumn("__low", low)
     low = F.col("__low")
-    gate = low.contains(GATES[0])
-    for word in GATES[1:]:
-        gate = gate | low.contains(word)
-    near = low.rlike("|".join(SEPARATOR.join(p.split()) for p, _ in BASE))
+    near = low.rlike(KINDS["base"])
+    kinds = F.array(*(F.when(low.contains(HINTS.get(kind, "")), F.when(low.rlike(rx), kind)) for kind, rx in {**KINDS, "": _any(sorted({r["kw"] for r in rules() if not r["kind"]}))}.items()))
     words = F.filter(F.split(low, SEPARATOR, -1), lambda w: w != "")
 
     none = F.array().cast("array<struct<word:bigint,label:string>>")
-    spans = F.flatten(F.transform(F.filter(held, lambda r: F.contains(low, r["kw"])), lambda r: _places(low, r)))
-    found = found.withColumn("__words", F.when(near, words)).withColumn("__spans", F.when(gate, spans))
+    runs = lambda t: F.filter(held, lambda r: F.coalesce(F.array_contains(t["kinds"], r["kind"]), F.lit(False)) & F.contains(t["low"], r["kw"]))
+    # As an element of an array the lower-cased text and its kinds are made once a text, not once a rule.
+    once = F.array(F.struct(low.alias("low"), kinds.alias("kinds")))
+    spans = F.flatten(F.flatten(F.transform(once, lambda t: F.transform(runs(t), lambda r: _places(t["low"], r)))))
+    found = found.withColumn("__words", F.when(near, words)).withColumn("__spans", spans)
     no_spans = F.array().cast("array<struct<start:int,end:int,priority:int,label:string,i:int>>")
     found = found.withColumn("__spans", F.when(F.size("__spans") > 0, _standing(F.col("__spans"))).otherwise(no_spans))
     return found.select(

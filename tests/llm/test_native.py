@@ -3,6 +3,7 @@
 import hashlib
 import re
 from collections import Counter
+from re import _constants, _parser
 
 from rootspan.llm import licenses, lines, secrets
 
@@ -46,6 +47,35 @@ def test_licenses(spark):
     assert {s["label"] for s in rows[1]["spans"]} == {"apache-2"} and rows[5]["score"] == 0 and len(licenses.rules()) > 200
 
 
+def example(parsed, last):
+    """A text the pattern matches, by the first or the last of its alternatives; what is optional is left out or taken."""
+    out = ""
+    for op, value in parsed:
+        if op is _constants.LITERAL:
+            out += chr(value)
+        elif op is _constants.ANY:
+            out += "x"
+        elif op is _constants.BRANCH:
+            out += example(value[1][-1 if last else 0], last)
+        elif op is _constants.SUBPATTERN:
+            out += example(value[3], last)
+        elif op in (_constants.MAX_REPEAT, _constants.MIN_REPEAT):
+            out += example(value[2], last) * max(value[0], int(last))
+        elif op is _constants.IN:
+            kind, what = value[-1 if last else 0]
+            plain = kind in (_constants.LITERAL, _constants.RANGE) and value[0][0] is not _constants.NEGATE
+            out += chr(what if kind is _constants.LITERAL else what[0]) if plain else " "
+    return out
+
+
+def test_every_license_rule_fires_alone(spark):
+    rules = licenses.rules()
+    texts = [(i, example(_parser.parse(r["rx"].replace("\\x{10FFFF}", "\\U0010FFFF")), last)) for last in (False, True) for i, r in enumerate(rules)]
+    found = {(r["rule"], r["text"]): r for r in licenses.scan(spark.createDataFrame(texts, "rule int, text string")).collect()}
+    silent = [(rules[i]["label"], t) for i, t in texts if rules[i]["label"] not in {s["label"] for s in found[i, t]["spans"]}]
+    assert silent == []
+
+
 def test_lines(spark):
     pages = [("a", f"Menu\nbody {i}\n\n Menu \r\nend") for i in range(6)] + [("b", "Menu\nother"), (None, "Menu\nx"), ("a", None), ("a", "")]
     df = spark.createDataFrame([(i, s, t, 0) for i, (s, t) in enumerate(pages)], "doc_id long, source string, text string, lines int")
