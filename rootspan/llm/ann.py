@@ -13,7 +13,7 @@ too few). Lists and the queries that take them meet in cells of bounded size:
 a list is dealt into blocks of about ``BLOCK`` vectors by a hash of the id, however many equal vectors it
 holds, and its queries into blocks of ``QUERY_BLOCK``. Each cell computes distances by matrix product, then
 exactly, in double precision from the original components, for all that may be among the nearest, and
-passes on each query's ``k`` best, which a ranking per query merges.
+passes on each query's ``k`` best ids, each with its smallest distance, which a ranking per query merges.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite
 components take no part, nor do null ids; equal distances go to the smaller id; an id that occurs twice is
@@ -195,6 +195,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
             ids, x = np.asarray(own.column("id")), _matrix(own.column("v").combine_chunks(), d)
             order = np.argsort(ids, kind="stable")
             ids, x = ids[order], x[order]
+            again = (ids[1:] == ids[:-1]) & (x[1:] == x[:-1]).all(1)
+            ids, x = ids[np.r_[True, ~again]], x[np.r_[True, ~again]]
+            firsts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
             norms = (x**2).sum(1)
             qids, q = np.asarray(asking.column("id")), _matrix(asking.column("v").combine_chunks(), d)
             for at in range(0, len(q), 256):
@@ -204,11 +207,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
                 for i, far in enumerate(rough):
                     own_id = int(qids[at + i])
                     far[ids == own_id] = np.inf
-                    reach = np.partition(far, k - 1)[k - 1] if len(far) > k else far.max(initial=0, where=np.isfinite(far))
+                    best = np.minimum.reduceat(far, firsts) if len(firsts) < len(far) else far  # one for each id
+                    reach = np.partition(best, k - 1)[k - 1] if len(best) > k else far.max(initial=0, where=np.isfinite(far))
                     near = np.flatnonzero(far <= reach + slack)
                     near = near[np.isfinite(far[near])]
                     exact = np.sqrt(((x[near] - some[i]) ** 2).sum(1))
-                    for j in np.lexsort((ids[near], exact))[:k].tolist():
+                    order = np.lexsort((ids[near], exact))
+                    for j in order[np.sort(np.unique(ids[near[order]], return_index=True)[1])][:k].tolist():
                         rows.append((own_id, int(ids[near[j]]), float(exact[j])))
         columns = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 3, (pa.int64(), pa.int64(), pa.float64()))]
         return pa.Table.from_arrays(columns, names=["query_id", "vec_id", "score"])

@@ -136,3 +136,13 @@ def test_leaks(spark, odd):
     assert {(r["doc_id"], r["item_id"], r["n_tiles"]) for r in decontaminate.find_leaks(docs, bench, block=1).collect()} == {(1, 7, 1), (2, 7, 2)}
     assert {r["doc_id"] for r in decontaminate.drop_leaks(docs, bench).collect()} == {3, 4}
     assert decontaminate.drop_leaks(odd, bench).count() == odd.count() and decontaminate.find_leaks(odd, bench.limit(0)).count() == 0
+
+
+def test_nearest_of_repeated_rows(spark):
+    x = np.random.default_rng(3).normal(size=(60, 16)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    near = int(np.argsort(((x - x[0]) ** 2).sum(1))[1])
+    df = spark.createDataFrame(3 * rows + 17 * [rows[near]], "vec_id long, embedding array<float>")
+    found = ann.search(df, df.where("vec_id = 0")).orderBy("rank").collect()
+    d = np.sqrt(((x.astype(np.float64) - x[0].astype(np.float64)) ** 2).sum(1))
+    assert [f["vec_id"] for f in found] == np.argsort(d)[1:11].tolist()
