@@ -27,10 +27,10 @@ _ONE, _TWO = 192, 192 + (60 << 8)
 
 def pack_ranks(values: np.ndarray) -> list[bytes]:
     """Small-first integers (below 2**26) as five zstd streams: first bytes, second ones of two, the other three of four."""
-    y = values.astype(np.int64)
+    y = values.astype(np.uint32)
     two, four = np.flatnonzero((y >= _ONE) & (y < _TWO)), np.flatnonzero(y >= _TWO)
     first = y.astype(np.uint8)
-    t, u = y[two] - _ONE, y[four] - _TWO
+    t, u = y[two] - np.uint32(_ONE), y[four] - np.uint32(_TWO)
     first[two], first[four] = _ONE + (t >> 8), 252 + (u >> 24)
     press = zstandard.ZstdCompressor(level=LEVEL).compress
     streams = first, t & 255, (u >> 16) & 255, (u >> 8) & 255, u & 255
@@ -38,7 +38,7 @@ def pack_ranks(values: np.ndarray) -> list[bytes]:
 
 
 def unpack_ranks(packed: list[bytes]) -> np.ndarray:
-    first, second, *rest = (np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).astype(np.int64) for x in packed)
+    first, second, *rest = (np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).astype(np.int32) for x in packed)
     out = first.copy()
     two, four = np.flatnonzero((first >= _ONE) & (first < 252)), np.flatnonzero(first >= 252)
     out[two] = ((first[two] - _ONE) << 8) + second + _ONE

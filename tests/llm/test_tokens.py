@@ -1,5 +1,7 @@
 """Token files and byte BPE against their libraries, and round trips."""
 
+import hashlib
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -42,15 +44,25 @@ def test_files_round_trip(spark, odd, tmp_path):
         at += len(ids)
 
 
-@pytest.mark.parametrize("chunk", [40, 1 << 20])
-def test_bpe_equals_library(spark, chunk):
+@pytest.mark.parametrize("chunk,piece", [(40, 10), (1 << 20, 30)])
+def test_bpe_equals_library(spark, chunk, piece, monkeypatch):
     df = spark.createDataFrame([*enumerate(TEXTS), (None, None)], "doc_id long, text string")
     library = byte_bpe.word_encoder(RANKS, public_tokenizers.PATTERN)
-    for r in byte_bpe.decode(byte_bpe.encode(df, RANKS, public_tokenizers.PATTERN, chunk_bytes=chunk), RANKS).collect():
+    monkeypatch.setattr(byte_bpe, "PIECE", piece)
+    made = byte_bpe.encode(df, RANKS, public_tokenizers.PATTERN, chunk_bytes=chunk)
+    both = [byte_bpe.decode(made, RANKS), byte_bpe.round_trip(df, RANKS, public_tokenizers.PATTERN, chunk_bytes=chunk)]
+    for r in [r for rows in both for r in rows.collect()]:
         text = "" if r["doc_id"] is None else TEXTS[r["doc_id"]]
         assert r["ids"] == library.encode_ordinary(text) and bytes(r["decoded"]) == text.encode()
 
 
-def test_bpe_odd_inputs(odd):
-    assert byte_bpe.digests(byte_bpe.encode(odd, RANKS, public_tokenizers.PATTERN), RANKS).count() == odd.count()
+def test_bpe_digests_of_odd_inputs(odd):
+    library = byte_bpe.word_encoder(RANKS, public_tokenizers.PATTERN)
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = []
+    for r in odd.collect():
+        ids = library.encode_ordinary(r["text"] or "")
+        want.append((r["doc_id"], len(ids), sha(" ".join(map(str, ids)).encode()), sha((r["text"] or "").encode())))
+    got = byte_bpe.digests(byte_bpe.round_trip(odd, RANKS, public_tokenizers.PATTERN)).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     assert byte_bpe.encode(odd.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
