@@ -9,15 +9,17 @@ control, data, with ``at`` the ids of the shard before the row), ``<path>/ranks`
 ``<path>/shards`` (shard, base, n). Spark's writers commit them, so that a lost executor leaves no half
 file and any store that Spark can write to will do.
 
-Plan. Texts are dealt out once, by ranges of doc_id; each task encodes its range in order and the raw ids
-are written to the shared folder. Counts come from there with one row for each id and task; the rank table
-is collected (it is bounded by the vocabulary) and broadcast. The second pass over the raw ids writes the
-shards; the base of each shard is a running sum over one row per shard.
+Plan. Texts are dealt out once, by ranges of doc_id; each task encodes its range in order, counts its ids on
+the way, and both are written to the shared folder, the counts in a column of their own. The rank table made
+from them is collected (it is bounded by the vocabulary) and broadcast. The second pass over the raw ids
+writes the shards; the base of each shard is a running sum over one row per shard. Coding and decoding take
+runs of documents of about ``RUN`` bytes at a time, without a step per document.
 
 Encoding keeps a bounded memo from words to ids. Where the tokenizer lower-cases, splits at white space
 and keeps no state across it, texts of Latin-1 characters are cut by the tokenizer's own split pattern and
 each distinct word goes to the library's model once; other white-space separated pieces go to the library
-whole, and so do whole texts that hold a special token or belong to another kind of tokenizer.
+whole, and so do whole texts that hold a special token or belong to another kind of tokenizer. The memo has
+two generations of ``MEMO`` words: a full one becomes the old one, and words found there move on.
 
 Defined results: null text is an empty one (its ids are the end id alone); equal doc_ids are ordered by
 their text; a null doc_id comes first; other columns are not read.
@@ -28,6 +30,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,14 +39,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rootspan.llm.tasks import ends_of, lean, slices
 from rootspan.scratch import drop_path, new_path, settle
 
 #: Fixed values of the tokenizer kind that the memo knows: its split pattern, and the same for Latin-1.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 LETTER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
 DIGIT = "0-9\xb2\xb3\xb9\xbc-\xbe"
-LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{DIGIT}]|[^\s{LETTER}{DIGIT}]+")
-MEMO = 300_000
+LATIN = re.compile(rf"[{LETTER}]+|[{DIGIT}]|'s|'t|'re|'ve|'m|'ll|'d|[^\s{LETTER}{DIGIT}]+")
+MEMO = 250_000
+RUN = 2 << 20
 
 
 def _byte_letters() -> str:
@@ -54,7 +59,7 @@ def _byte_letters() -> str:
 
 
 class Encoder(dict):
-    """Ids of texts as little-endian 32-bit bytes. The dict itself is the memo of Latin-1 pieces."""
+    """Ids of texts as little-endian 32-bit bytes. The dict itself is the memo of words, its newer generation."""
 
     def __init__(self, path: str, memo: int = MEMO):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -68,29 +73,27 @@ class Encoder(dict):
         pre = (kind.get("pre_tokenizer") or {}).get("pretokenizers", [])
         self.known = norm == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in pre] == ["Split", "ByteLevel"] and pre[0]["pattern"].get("Regex") == SPLIT and not kind.get("post_processor")
         self.letters = dict(enumerate(_byte_letters()))
-        self.limit, self.others = memo, {}
+        self.limit, self.older, self.others, self.model = memo, {}, {}, self.whole.model
 
-    def word(self, w: str) -> bytes:
+    def __missing__(self, word: str) -> bytes:
         """A letter run, digit or other run that the split pattern takes as one."""
-        ids = self.get(w)
+        ids = self.older.get(word)
         if ids is None:
-            shown = w if w.isascii() else w.encode().decode("latin-1").translate(self.letters)
-            ids = self[w] = np.array([t.id for t in self.whole.model.tokenize(shown)], "<u4").tobytes()
-        return ids
-
-    def __missing__(self, piece: str) -> bytes:
+            shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            ids = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
         if len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
-        if piece.isalpha():
-            return self.word(piece)
-        core = piece.rstrip(".,!?;:*&%$#|")
-        ids = self.word(core) + self.word(piece[len(core) :]) if core.isalpha() else b"".join(map(self.word, LATIN.findall(piece)))
-        self[piece] = ids
+        self[word] = ids
         return ids
 
+    def words(self, low: str) -> bytes:
+        """A lower-cased text of Latin-1 characters."""
+        return b"".join(map(self.__getitem__, LATIN.findall(low) if len(low) <= RUN else (m.group() for m in LATIN.finditer(low))))
+
     def other(self, piece: str) -> bytes:
         if piece.isascii() and not re.search("[\x1c-\x1f]", piece):
-            return self[piece.lower()]
+            return self.words(piece.lower())
         ids = self.others.get(piece)
         if ids is None:
             if len(self.others) >= self.limit // 4:
@@ -112,7 +115,7 @@ class Encoder(dict):
         except UnicodeEncodeError:
             plain = False
         if plain:
-            return b"".join(map(self.__getitem__, text.lower().split()))
+            return self.words(text.lower())
         return b"".join(map(self.other, filter(None, re.split("[ \t\n\r]+", text))))
 
 
@@ -122,15 +125,24 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """(control, data) of unsigned 32-bit ranks."""
-    ranks = np.ascontiguousarray(ranks, dtype="<u4")
+def _padded(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks of each row filled up to whole control bytes, and where each rank stands among them."""
+    full = -(-counts // 4) * 4
+    shift = np.cumsum(full) - full - (np.cumsum(counts) - counts)
+    return full, np.arange(int(counts.sum())) + np.repeat(shift, counts)
+
+
+def encode_ranks(ranks: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Control bytes and data bytes of rows of unsigned 32-bit ranks, and how many of each a row has."""
+    ranks, counts = np.ascontiguousarray(ranks, dtype="<u4"), np.asarray(counts, np.int64)
     extra = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    codes = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
-    codes[: len(ranks)] = extra
+    full, at = _padded(counts)
+    codes = np.zeros(int(full.sum()), np.uint8)
+    codes[at] = extra
     control = codes[0::4] | codes[1::4] << 2 | codes[2::4] << 4 | codes[3::4] << 6
     kept = np.arange(4, dtype=np.uint8) <= extra[:, None]
-    return control.tobytes(), ranks.view(np.uint8).reshape(-1, 4)[kept].tobytes()
+    ends = np.concatenate([[0], np.cumsum(extra, dtype=np.int64) + np.arange(1, len(extra) + 1)])[np.concatenate([[0], np.cumsum(counts)])]
+    return control, ranks.view(np.uint8).reshape(-1, 4)[kept], full // 4, np.diff(ends)
 
 
 def _masks() -> np.ndarray:
@@ -142,12 +154,26 @@ def _masks() -> np.ndarray:
 MASKS = _masks()
 
 
-def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The ``n`` ranks that ``encode_ranks`` stored."""
-    stored = MASKS[np.frombuffer(control, np.uint8)].reshape(-1)[: 4 * n]
-    out = np.zeros(4 * n, np.uint8)
-    out[stored] = np.frombuffer(data, np.uint8)
-    return out.view("<u4")
+def decode_ranks(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The ranks of rows that ``encode_ranks`` stored."""
+    _, at = _padded(np.asarray(counts, np.int64))
+    stored = MASKS[control].reshape(-1, 4)[at]
+    out = np.zeros(stored.shape, np.uint8)
+    out[stored] = data
+    return out.reshape(-1).view("<u4")
+
+
+def _body(column: pa.Array) -> np.ndarray:
+    """The bytes of all rows of a binary column."""
+    ends = ends_of(column)
+    body = column.buffers()[2]
+    return np.frombuffer(body, np.uint8)[ends[0] : ends[-1]] if body else np.zeros(0, np.uint8)
+
+
+def _binary(body: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """A binary column of rows of the given sizes."""
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(body))])
 
 
 def _batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -155,7 +181,7 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 4 << 20) -> I
     held, size = [], 0
     for row in rows:
         held.append(row)
-        size += sum(len(x) for x in row if isinstance(x, bytes)) + 64
+        size += sum(len(x) for x in row if x.__class__ is bytes) + 64
         if size >= most:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
             held, size = [], 0
@@ -163,15 +189,24 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 4 << 20) -> I
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
 
 
+_RAW = "shard int, seq long, doc_id long, n long, at long, raw binary, counts binary"
+
+
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(shard, seq, doc_id, n, at, raw) in ascending doc_id order: ids with the end id, 32-bit little-endian."""
-    schema = pa.schema([("shard", pa.int32()), ("seq", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("at", pa.int64()), ("raw", pa.binary())])
+    """(shard, seq, doc_id, n, at, raw) in ascending doc_id order: ids with the end id, 32-bit little-endian.
+
+    A last row of each shard, without a seq, has how often each id occurs in it: ``counts``, 64-bit little-endian.
+    """
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    schema = pa.schema(list(zip([f.split()[0] for f in _RAW.split(", ")], kinds)))
     end = np.array([end_id], "<u4").tobytes()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         encode, shard = encoder(tokenizer).encode, TaskContext.get().partitionId()
+        total = np.zeros(0, np.int64)
 
         def rows() -> Iterator[tuple]:
             seq = at = 0
@@ -179,29 +214,38 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str =
                 for i in range(batch.num_rows):
                     raw = encode(batch.column(1)[i].as_py()) + end
                     n = len(raw) // 4
-                    yield shard, seq, batch.column(0)[i].as_py(), n, at, raw
+                    yield shard, seq, batch.column(0)[i].as_py(), n, at, raw, None
                     seq, at = seq + 1, at + n
 
-        yield from _batches(rows(), schema)
+        for out in _batches(rows(), schema):
+            more = np.bincount(_body(out.column(5)).view("<u4"), minlength=len(total))
+            more[: len(total)] += total
+            total = more
+            yield out
+        if len(total):
+            yield from _batches([(shard, None, None, 0, 0, None, total.astype("<i8").tobytes())], schema)
 
     dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return dealt.mapInArrow(run, "shard int, seq long, doc_id long, n long, at long, raw binary")
+    return dealt.mapInArrow(run, _RAW)
 
 
 def rank_table(encoded: DataFrame) -> DataFrame:
     """(rank, id, n) over all ids of the corpus: at most one row for each id of the vocabulary."""
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for raw in batch.column(0):
-                more = np.bincount(np.frombuffer(raw.as_py(), "<u4"), minlength=len(total))
+            for counts in batch.column(0):
+                own = np.frombuffer(counts.as_py(), "<i8")
+                more = np.zeros(max(len(total), len(own)), np.int64)
                 more[: len(total)] += total
+                more[: len(own)] += own
                 total = more
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
-    counts = encoded.select("raw").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = encoded.select("counts").where("counts IS NOT NULL").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     found = sorted(((r["n"], r["id"]) for r in counts.collect()), key=lambda x: (-x[0], x[1]))
     rows = [(k, i, n) for k, (n, i) in enumerate(found)]
     return encoded.sparkSession.createDataFrame(rows, "rank int, id long, n long").coalesce(1)
@@ -217,22 +261,20 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int, id_col: s
     of = np.zeros(max(ids, default=0) + 1, "<u4")
     of[ids] = np.arange(len(ids), dtype="<u4")
     ranks = spark.sparkContext.broadcast(of)
-    schema = pa.schema([("shard", pa.int32()), ("seq", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("at", pa.int64()), ("control", pa.binary()), ("data", pa.binary())])
 
+    @lean
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ranks.value
+        for batch in batches:
+            for part in slices(batch, 5, RUN):
+                counts = np.diff(ends_of(part.column(5))) // 4
+                control, data, controls, sizes = encode_ranks(table[_body(part.column(5)).view("<u4")], counts)
+                yield pa.RecordBatch.from_arrays([*part.columns[:5], _binary(control, controls), _binary(data, sizes)], names=["shard", "seq", "doc_id", "n", "at", "control", "data"])
 
-        def rows() -> Iterator[tuple]:
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    shard, seq, doc, n, at, raw = (c[i].as_py() for c in batch.columns)
-                    yield shard, seq, doc, n, at, *encode_ranks(table[np.frombuffer(raw, "<u4")])
-
-        yield from _batches(rows(), schema)
-
-    coded = encoded.mapInArrow(code, "shard int, seq long, doc_id long, n long, at long, control binary, data binary")
+    rows = encoded.where("seq IS NOT NULL")
+    coded = rows.drop("counts").mapInArrow(code, "shard int, seq long, doc_id long, n long, at long, control binary, data binary")
     coded.write.partitionBy("shard").option("compression", "zstd").parquet(f"{path}/ids")
-    per = encoded.groupBy("shard").agg(F.max(F.col("at") + F.col("n")).alias("n"))
+    per = rows.groupBy("shard").agg(F.max(F.col("at") + F.col("n")).alias("n"))
     per.selectExpr("shard", "coalesce(sum(n) OVER (ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS base", "n").coalesce(1).write.parquet(f"{path}/shards")
     drop_path(spark, raw_path)
 
@@ -241,18 +283,15 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids: 32-bit little-endian) decoded from the files at ``path``."""
     table = spark.read.schema("rank int, id long, n long").parquet(f"{path}/ranks").orderBy("rank").select("id").collect()
     ids = spark.sparkContext.broadcast(np.array([r["id"] for r in table], "<u4"))
-    schema = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("at", pa.int64()), ("ids", pa.binary())])
 
+    @lean
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = ids.value
-
-        def rows() -> Iterator[tuple]:
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    shard, doc, n, at, control, data = (c[i].as_py() for c in batch.columns)
-                    yield shard, doc, n, at, of[decode_ranks(control, data, n)].tobytes()
-
-        yield from _batches(rows(), schema)
+        for batch in batches:
+            for part in slices(batch, 5, RUN):
+                counts = np.asarray(part.column(2))
+                found = of[decode_ranks(_body(part.column(4)), _body(part.column(5)), counts)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], _binary(found.view(np.uint8), 4 * counts)], names=["shard", "doc_id", "n", "at", "ids"])
 
     stored = spark.read.schema("seq long, doc_id long, n long, at long, control binary, data binary, shard int").parquet(f"{path}/ids")
     shards = spark.read.schema("shard int, base long, n long").parquet(f"{path}/shards").select("shard", "base")

@@ -14,10 +14,14 @@ TEXTS = ["Don't STOP’s naïve ÀÉ 12³ \x1cfoo\x85bar\xa0baz", "  lead\n\n\t
 
 
 def test_rank_coding():
-    for n in (0, 1, 3, 4, 9):
-        r = np.array([0, 255, 256, 65535, 65536, 2**24 - 1, 2**24, 2**32 - 1, 7], np.uint32)[:n]
-        control, data = tf.encode_ranks(r)
-        assert (tf.decode_ranks(control, data, n) == r).all() and len(control) == -(-n // 4)
+    values = np.array([0, 255, 256, 65535, 65536, 2**24 - 1, 2**24, 2**32 - 1, 7], np.uint32)
+    for counts in ([0], [1], [3, 0, 4], [9, 5, 1, 0, 2], []):
+        r = np.resize(values, sum(counts))
+        control, data, controls, sizes = tf.encode_ranks(r, np.array(counts, np.int64))
+        assert controls.tolist() == [-(-n // 4) for n in counts] and controls.sum() == len(control) and sizes.sum() == len(data)
+        least = [sum(1 + (x > 0xFF) + (x > 0xFFFF) + (x > 0xFFFFFF) for x in row.tolist()) for row in np.split(r, np.cumsum(counts)[:-1])] if counts else []
+        assert sizes.tolist() == least
+        assert (tf.decode_ranks(control, data, np.array(counts, np.int64)) == r).all()
 
 
 def test_packing():
