@@ -40,8 +40,8 @@ from rootspan.llm.packing import pack_blobs, pack_ints, pack_ranks, ragged, unpa
 from rootspan.llm.tasks import lean, slices
 from rootspan.scratch import settle
 
-CHUNK = 16 << 20
-PIECE = 1 << 20
+CHUNK = 32 << 20
+PIECE = 2 << 20
 MEMO = 1 << 19
 
 #: The White_Space property, and letters and numbers of Latin-1.
