@@ -1,10 +1,10 @@
-"""What the Arrow tasks of this package share: memory handed back at their end, batches cut by bytes."""
+"""What the operators share: Arrow tasks that hand memory back, batches cut by bytes, names that do not clash."""
 
 from __future__ import annotations
 
 import ctypes
 import gc
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache, wraps
 
 import numpy as np
@@ -52,3 +52,17 @@ def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordB
         to = max(at + 1, int(np.searchsorted(ends, int(ends[at]) + most, "right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+
+
+def body_of(column: pa.Array) -> np.ndarray:
+    """The bytes of all rows of a binary column, one after the other."""
+    ends, body = ends_of(column), column.buffers()[2]
+    return np.frombuffer(body, np.uint8)[ends[0] : ends[-1]] if body else np.zeros(0, np.uint8)
+
+
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """``name``, with underscores after it as long as a column of ``taken`` is called so."""
+    known = {c.lower() for c in taken}
+    while name.lower() in known:
+        name += "_"
+    return name

@@ -4,9 +4,10 @@ Ids are replaced by their rank in the corpus (most frequent first, ties to the s
 is stored in one to four bytes. The lengths stand apart, two bits for each rank, four ranks to a control
 byte. Decoding looks each control byte up in a table of 256 byte masks and scatters the data bytes.
 
-The files are Parquet shards (``<path>/ids/shard=N``, rows in ascending doc_id order: seq, doc_id, n, at,
-control, data, with ``at`` the ids of the shard before the row), ``<path>/ranks`` (rank, id, n) and
-``<path>/shards`` (shard, base, n). Spark's writers commit them, so that a lost executor leaves no half
+The files are Parquet tables. ``<path>/ids`` has a row for each run of documents: shard, seq, docs, counts, at,
+control, data, with the runs of a shard and the doc_ids of a run in ascending order, ``counts`` the ids of each
+document and ``at`` those of the shard before the run. ``<path>/ranks`` has (rank, id, n) and ``<path>/shards``
+(shard, base, n). Spark's writers commit them, so that a lost executor leaves no half
 file and any store that Spark can write to will do.
 
 Plan. Texts are dealt out once, by ranges of doc_id; each task encodes its range in order, counts its ids on
@@ -18,8 +19,10 @@ runs of documents of about ``RUN`` bytes at a time, without a step per document.
 Encoding keeps a bounded memo from words to ids. Where the tokenizer lower-cases, splits at white space
 and keeps no state across it, texts of Latin-1 characters are cut by the tokenizer's own split pattern and
 each distinct word goes to the library's model once; other white-space separated pieces go to the library
-whole, and so do whole texts that hold a special token or belong to another kind of tokenizer. The memo has
-two generations of ``MEMO`` words: a full one becomes the old one, and words found there move on.
+whole, and so do whole texts that hold a special token or belong to another kind of tokenizer. Texts are taken
+``RUN`` bytes at a time: Arrow numbers the distinct pieces between white space, only those go through Python,
+and numpy puts the ids in place. The memo has two generations of ``MEMO`` words: a full one becomes the old one,
+and words found there move on.
 
 Defined results: null text is an empty one (its ids are the end id alone); equal doc_ids are ordered by
 their text; a null doc_id comes first; other columns are not read.
@@ -36,9 +39,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rootspan.llm.packing import ragged
 from rootspan.llm.tasks import ends_of, lean, slices
 from rootspan.scratch import drop_path, new_path, settle
 
@@ -48,7 +53,7 @@ LETTER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
 DIGIT = "0-9\xb2\xb3\xb9\xbc-\xbe"
 LATIN = re.compile(rf"[{LETTER}]+|[{DIGIT}]|'s|'t|'re|'ve|'m|'ll|'d|[^\s{LETTER}{DIGIT}]+")
 MEMO = 250_000
-RUN = 2 << 20
+RUN = 4 << 20
 
 
 def _byte_letters() -> str:
@@ -75,25 +80,26 @@ class Encoder(dict):
         self.letters = dict(enumerate(_byte_letters()))
         self.limit, self.older, self.others, self.model = memo, {}, {}, self.whole.model
 
-    def __missing__(self, word: str) -> bytes:
-        """A letter run, digit or other run that the split pattern takes as one."""
-        ids = self.older.get(word)
+    def __missing__(self, piece: str) -> bytes:
+        """A lower-cased Latin-1 piece. What the split pattern takes as one is kept, anything else is put together."""
+        ids = self.older.get(piece)
         if ids is None:
-            shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            if not piece.isalpha():
+                core = piece.rstrip(".,!?;:*&%$#|")
+                cut = [core, piece[len(core) :]] if core.isalpha() else LATIN.findall(piece)
+                if cut != [piece]:
+                    return b"".join(map(self.__getitem__, cut))
+            shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
             ids = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
         if len(self) >= self.limit:
             self.older = dict(self)
             self.clear()
-        self[word] = ids
+        self[piece] = ids
         return ids
 
-    def words(self, low: str) -> bytes:
-        """A lower-cased text of Latin-1 characters."""
-        return b"".join(map(self.__getitem__, LATIN.findall(low) if len(low) <= RUN else (m.group() for m in LATIN.finditer(low))))
-
     def other(self, piece: str) -> bytes:
         if piece.isascii() and not re.search("[\x1c-\x1f]", piece):
-            return self.words(piece.lower())
+            return self[piece.lower()]
         ids = self.others.get(piece)
         if ids is None:
             if len(self.others) >= self.limit // 4:
@@ -104,20 +110,38 @@ class Encoder(dict):
     def library(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
+    def plain(self, text: str) -> bool:
+        """Whether the text may be cut at white space and its pieces looked up."""
         if not self.known or any(s in text for s in self.special):
-            return self.library(text)
+            return False
         try:
             text.encode("latin-1")
-            plain = not any(c in text for c in "\x1c\x1d\x1e\x1f")
         except UnicodeEncodeError:
-            plain = False
-        if plain:
-            return self.words(text.lower())
+            return False
+        return not any(c in text for c in "\x1c\x1d\x1e\x1f")
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a text that is not ``plain``."""
+        if not self.known or any(s in text for s in self.special):
+            return self.library(text)
         return b"".join(map(self.other, filter(None, re.split("[ \t\n\r]+", text))))
 
+    def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and how many each has."""
+        kinds = [not t or self.plain(t) for t in texts]
+        pieces = pc.ascii_split_whitespace(pa.array([(t or "").lower() for t, plain in zip(texts, kinds) if plain], pa.string()))
+        coded = pieces.flatten().dictionary_encode()
+        found = list(map(self.__getitem__, coded.dictionary.to_pylist()))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        take = np.asarray(coded.indices)
+        ids = np.frombuffer(b"".join(found), "<u4")[ragged(take, np.cumsum(sizes) - sizes, sizes)]
+        counts = np.diff(np.concatenate([[0], np.cumsum(sizes[take])])[ends_of(pieces) - (ends_of(pieces)[:1])])
+        if all(kinds):
+            return ids, counts
+        parts = iter(np.split(ids, np.cumsum(counts)[:-1]) if len(counts) else [])
+        each = [next(parts) if plain else np.frombuffer(self.encode(t), "<u4") for t, plain in zip(texts, kinds)]
+        return np.concatenate(each), np.fromiter(map(len, each), np.int64, len(each))
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
@@ -125,24 +149,15 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _padded(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ranks of each row filled up to whole control bytes, and where each rank stands among them."""
-    full = -(-counts // 4) * 4
-    shift = np.cumsum(full) - full - (np.cumsum(counts) - counts)
-    return full, np.arange(int(counts.sum())) + np.repeat(shift, counts)
-
-
-def encode_ranks(ranks: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Control bytes and data bytes of rows of unsigned 32-bit ranks, and how many of each a row has."""
-    ranks, counts = np.ascontiguousarray(ranks, dtype="<u4"), np.asarray(counts, np.int64)
-    extra = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    full, at = _padded(counts)
-    codes = np.zeros(int(full.sum()), np.uint8)
-    codes[at] = extra
+def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
+    """(control, data) of unsigned 32-bit ranks."""
+    ranks = np.ascontiguousarray(ranks, dtype="<u4")
+    extra = (ranks > 0xFF).view(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
+    codes = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
+    codes[: len(ranks)] = extra
     control = codes[0::4] | codes[1::4] << 2 | codes[2::4] << 4 | codes[3::4] << 6
-    kept = np.arange(4, dtype=np.uint8) <= extra[:, None]
-    ends = np.concatenate([[0], np.cumsum(extra, dtype=np.int64) + np.arange(1, len(extra) + 1)])[np.concatenate([[0], np.cumsum(counts)])]
-    return control, ranks.view(np.uint8).reshape(-1, 4)[kept], full // 4, np.diff(ends)
+    kept = MASKS[control].reshape(-1)[: 4 * len(ranks)]
+    return control.tobytes(), ranks.view(np.uint8)[kept].tobytes()
 
 
 def _masks() -> np.ndarray:
@@ -154,20 +169,12 @@ def _masks() -> np.ndarray:
 MASKS = _masks()
 
 
-def decode_ranks(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The ranks of rows that ``encode_ranks`` stored."""
-    _, at = _padded(np.asarray(counts, np.int64))
-    stored = MASKS[control].reshape(-1, 4)[at]
-    out = np.zeros(stored.shape, np.uint8)
-    out[stored] = data
-    return out.reshape(-1).view("<u4")
-
-
-def _body(column: pa.Array) -> np.ndarray:
-    """The bytes of all rows of a binary column."""
-    ends = ends_of(column)
-    body = column.buffers()[2]
-    return np.frombuffer(body, np.uint8)[ends[0] : ends[-1]] if body else np.zeros(0, np.uint8)
+def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
+    """The ``n`` ranks that ``encode_ranks`` stored."""
+    stored = MASKS[np.frombuffer(control, np.uint8)].reshape(-1)[: 4 * n]
+    out = np.zeros(4 * n, np.uint8)
+    out[stored] = np.frombuffer(data, np.uint8)
+    return out.view("<u4")
 
 
 def _binary(body: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -176,57 +183,43 @@ def _binary(body: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(body))])
 
 
-def _batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Record batches of about ``most`` bytes of binary columns."""
-    held, size = [], 0
-    for row in rows:
-        held.append(row)
-        size += sum(len(x) for x in row if x.__class__ is bytes) + 64
-        if size >= most:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
-            held, size = [], 0
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
+def _row(schema: pa.Schema, *values) -> pa.RecordBatch:
+    """A batch of one row."""
+    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, schema.types)], schema=schema)
 
 
-_RAW = "shard int, seq long, doc_id long, n long, at long, raw binary, counts binary"
+_RUNS = [("shard", pa.int32()), ("seq", pa.int64()), ("docs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("at", pa.int64())]
+_RUN_KINDS = "shard int, seq long, docs array<long>, counts array<long>, at long"
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(shard, seq, doc_id, n, at, raw) in ascending doc_id order: ids with the end id, 32-bit little-endian.
+    """(shard, seq, docs, counts, at, raw) of runs of documents in ascending doc_id order.
 
-    A last row of each shard, without a seq, has how often each id occurs in it: ``counts``, 64-bit little-endian.
+    ``raw`` has the ids, the end id after each document, 32-bit little-endian. A last row of each shard, without
+    a seq, has how often each id occurs in it: ``total``, 64-bit little-endian.
     """
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-    schema = pa.schema(list(zip([f.split()[0] for f in _RAW.split(", ")], kinds)))
-    end = np.array([end_id], "<u4").tobytes()
+    schema = pa.schema([*_RUNS, ("raw", pa.binary()), ("total", pa.binary())])
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, shard = encoder(tokenizer).encode, TaskContext.get().partitionId()
-        total = np.zeros(0, np.int64)
-
-        def rows() -> Iterator[tuple]:
-            seq = at = 0
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    raw = encode(batch.column(1)[i].as_py()) + end
-                    n = len(raw) // 4
-                    yield shard, seq, batch.column(0)[i].as_py(), n, at, raw, None
-                    seq, at = seq + 1, at + n
-
-        for out in _batches(rows(), schema):
-            more = np.bincount(_body(out.column(5)).view("<u4"), minlength=len(total))
-            more[: len(total)] += total
-            total = more
-            yield out
+        encode, shard = encoder(tokenizer).encode_all, TaskContext.get().partitionId()
+        total, seq, at = np.zeros(0, np.int64), 0, 0
+        for batch in batches:
+            for part in slices(batch, 1, RUN):
+                found, counts = encode(part.column(1).to_pylist())
+                ids = np.insert(found, np.cumsum(counts), end_id)
+                more = np.bincount(ids, minlength=len(total))
+                more[: len(total)] += total
+                total = more
+                yield _row(schema, shard, seq, part.column(0).to_pylist(), counts + 1, at, ids.tobytes(), None)
+                seq, at = seq + 1, at + len(ids)
         if len(total):
-            yield from _batches([(shard, None, None, 0, 0, None, total.astype("<i8").tobytes())], schema)
+            yield _row(schema, shard, None, None, None, at, None, total.astype("<i8").tobytes())
 
-    dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return dealt.mapInArrow(run, _RAW)
+    dealt = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    return dealt.mapInArrow(run, f"{_RUN_KINDS}, raw binary, total binary")
 
 
 def rank_table(encoded: DataFrame) -> DataFrame:
@@ -236,8 +229,8 @@ def rank_table(encoded: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for counts in batch.column(0):
-                own = np.frombuffer(counts.as_py(), "<i8")
+            for packed in batch.column(0):
+                own = np.frombuffer(packed.as_py(), "<i8")
                 more = np.zeros(max(len(total), len(own)), np.int64)
                 more[: len(total)] += total
                 more[: len(own)] += own
@@ -245,7 +238,7 @@ def rank_table(encoded: DataFrame) -> DataFrame:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
-    counts = encoded.select("counts").where("counts IS NOT NULL").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = encoded.select("total").where("total IS NOT NULL").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     found = sorted(((r["n"], r["id"]) for r in counts.collect()), key=lambda x: (-x[0], x[1]))
     rows = [(k, i, n) for k, (n, i) in enumerate(found)]
     return encoded.sparkSession.createDataFrame(rows, "rank int, id long, n long").coalesce(1)
@@ -262,19 +255,19 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int, id_col: s
     of[ids] = np.arange(len(ids), dtype="<u4")
     ranks = spark.sparkContext.broadcast(of)
 
+    schema = pa.schema([*_RUNS, ("control", pa.binary()), ("data", pa.binary())])
+
     @lean
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ranks.value
         for batch in batches:
-            for part in slices(batch, 5, RUN):
-                counts = np.diff(ends_of(part.column(5))) // 4
-                control, data, controls, sizes = encode_ranks(table[_body(part.column(5)).view("<u4")], counts)
-                yield pa.RecordBatch.from_arrays([*part.columns[:5], _binary(control, controls), _binary(data, sizes)], names=["shard", "seq", "doc_id", "n", "at", "control", "data"])
-
-    rows = encoded.where("seq IS NOT NULL")
-    coded = rows.drop("counts").mapInArrow(code, "shard int, seq long, doc_id long, n long, at long, control binary, data binary")
-    coded.write.partitionBy("shard").option("compression", "zstd").parquet(f"{path}/ids")
-    per = rows.groupBy("shard").agg(F.max(F.col("at") + F.col("n")).alias("n"))
+            for i in range(batch.num_rows):
+                control, data = encode_ranks(table[np.frombuffer(batch.column(5)[i].as_buffer(), "<u4")])
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns[:5], pa.array([control], pa.binary()), pa.array([data], pa.binary())], schema=schema)
+
+    runs = encoded.where("seq IS NOT NULL").drop("total")
+    runs.mapInArrow(code, f"{_RUN_KINDS}, control binary, data binary").write.option("compression", "zstd").parquet(f"{path}/ids")
+    per = encoded.where("seq IS NULL").groupBy("shard").agg(F.max("at").alias("n"))
     per.selectExpr("shard", "coalesce(sum(n) OVER (ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS base", "n").coalesce(1).write.parquet(f"{path}/shards")
     drop_path(spark, raw_path)
 
@@ -288,14 +281,16 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = ids.value
         for batch in batches:
-            for part in slices(batch, 5, RUN):
-                counts = np.asarray(part.column(2))
-                found = of[decode_ranks(_body(part.column(4)), _body(part.column(5)), counts)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], _binary(found.view(np.uint8), 4 * counts)], names=["shard", "doc_id", "n", "at", "ids"])
-
-    stored = spark.read.schema("seq long, doc_id long, n long, at long, control binary, data binary, shard int").parquet(f"{path}/ids")
+            for i in range(batch.num_rows):
+                shard, _, docs, counts, at = (c[i].as_py() for c in batch.columns[:5])
+                n = np.array(counts, np.int64)
+                found = of[decode_ranks(batch.column(5)[i].as_buffer(), batch.column(6)[i].as_buffer(), int(n.sum()))]
+                columns = [pa.array(np.full(len(n), shard, np.int32)), pa.array(docs, pa.int64()), pa.array(n), pa.array(at + np.cumsum(n) - n), _binary(found.view(np.uint8), 4 * n)]
+                yield pa.RecordBatch.from_arrays(columns, names=["shard", "doc_id", "n", "at", "ids"])
+
+    stored = spark.read.schema(f"{_RUN_KINDS}, control binary, data binary").parquet(f"{path}/ids")
     shards = spark.read.schema("shard int, base long, n long").parquet(f"{path}/shards").select("shard", "base")
-    out = stored.select("shard", "doc_id", "n", "at", "control", "data").mapInArrow(decode, "shard int, doc_id long, n long, at long, ids binary")
+    out = stored.mapInArrow(decode, "shard int, doc_id long, n long, at long, ids binary")
     return out.join(shards, "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), F.col("n").alias("n_tokens"), "ids")
 
 
