@@ -19,10 +19,8 @@ runs of documents of about ``RUN`` bytes at a time, without a step per document.
 Encoding keeps a bounded memo from words to ids. Where the tokenizer lower-cases, splits at white space
 and keeps no state across it, texts of Latin-1 characters are cut by the tokenizer's own split pattern and
 each distinct word goes to the library's model once; other white-space separated pieces go to the library
-whole, and so do whole texts that hold a special token or belong to another kind of tokenizer. Texts are taken
-``RUN`` bytes at a time: Arrow numbers the distinct pieces between white space, only those go through Python,
-and numpy puts the ids in place. The memo has two generations of ``MEMO`` words: a full one becomes the old one,
-and words found there move on.
+whole, and so do whole texts that hold a special token or belong to another kind of tokenizer. The memo has two
+generations of ``MEMO`` words: a full one becomes the old one, and words found there move on.
 
 Defined results: null text is an empty one (its ids are the end id alone); equal doc_ids are ordered by
 their text; a null doc_id comes first; other columns are not read.
@@ -39,12 +37,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rootspan.llm.packing import ragged
-from rootspan.llm.tasks import ends_of, lean, slices
+from rootspan.llm.tasks import lean, slices
 from rootspan.scratch import drop_path, new_path, settle
 
 #: Fixed values of the tokenizer kind that the memo knows: its split pattern, and the same for Latin-1.
@@ -52,8 +48,8 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 LETTER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
 DIGIT = "0-9\xb2\xb3\xb9\xbc-\xbe"
 LATIN = re.compile(rf"[{LETTER}]+|[{DIGIT}]|'s|'t|'re|'ve|'m|'ll|'d|[^\s{LETTER}{DIGIT}]+")
-MEMO = 250_000
-RUN = 4 << 20
+MEMO = 400_000
+RUN = 2 << 20
 
 
 def _byte_letters() -> str:
@@ -80,26 +76,25 @@ class Encoder(dict):
         self.letters = dict(enumerate(_byte_letters()))
         self.limit, self.older, self.others, self.model = memo, {}, {}, self.whole.model
 
-    def __missing__(self, piece: str) -> bytes:
-        """A lower-cased Latin-1 piece. What the split pattern takes as one is kept, anything else is put together."""
-        ids = self.older.get(piece)
+    def __missing__(self, word: str) -> bytes:
+        """What the split pattern takes as one."""
+        ids = self.older.get(word)
         if ids is None:
-            if not piece.isalpha():
-                core = piece.rstrip(".,!?;:*&%$#|")
-                cut = [core, piece[len(core) :]] if core.isalpha() else LATIN.findall(piece)
-                if cut != [piece]:
-                    return b"".join(map(self.__getitem__, cut))
-            shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+            shown = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
             ids = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
         if len(self) >= self.limit:
             self.older = dict(self)
             self.clear()
-        self[piece] = ids
+        self[word] = ids
         return ids
 
+    def words(self, low: str) -> bytes:
+        """Lower-cased Latin-1 characters."""
+        return b"".join(map(self.__getitem__, LATIN.findall(low) if len(low) <= RUN else (m.group() for m in LATIN.finditer(low))))
+
     def other(self, piece: str) -> bytes:
         if piece.isascii() and not re.search("[\x1c-\x1f]", piece):
-            return self[piece.lower()]
+            return self.words(piece.lower())
         ids = self.others.get(piece)
         if ids is None:
             if len(self.others) >= self.limit // 4:
@@ -120,28 +115,15 @@ class Encoder(dict):
             return False
         return not any(c in text for c in "\x1c\x1d\x1e\x1f")
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a text that is not ``plain``."""
+    def encode(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if self.plain(text):
+            return self.words(text.lower())
         if not self.known or any(s in text for s in self.special):
             return self.library(text)
         return b"".join(map(self.other, filter(None, re.split("[ \t\n\r]+", text))))
 
-    def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, and how many each has."""
-        kinds = [not t or self.plain(t) for t in texts]
-        pieces = pc.ascii_split_whitespace(pa.array([(t or "").lower() for t, plain in zip(texts, kinds) if plain], pa.string()))
-        coded = pieces.flatten().dictionary_encode()
-        found = list(map(self.__getitem__, coded.dictionary.to_pylist()))
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        take = np.asarray(coded.indices)
-        ids = np.frombuffer(b"".join(found), "<u4")[ragged(take, np.cumsum(sizes) - sizes, sizes)]
-        counts = np.diff(np.concatenate([[0], np.cumsum(sizes[take])])[ends_of(pieces) - (ends_of(pieces)[:1])])
-        if all(kinds):
-            return ids, counts
-        parts = iter(np.split(ids, np.cumsum(counts)[:-1]) if len(counts) else [])
-        each = [next(parts) if plain else np.frombuffer(self.encode(t), "<u4") for t, plain in zip(texts, kinds)]
-        return np.concatenate(each), np.fromiter(map(len, each), np.int64, len(each))
-
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
@@ -199,21 +181,23 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str =
     a seq, has how often each id occurs in it: ``total``, 64-bit little-endian.
     """
     schema = pa.schema([*_RUNS, ("raw", pa.binary()), ("total", pa.binary())])
+    end = np.array([end_id], "<u4").tobytes()
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, shard = encoder(tokenizer).encode_all, TaskContext.get().partitionId()
+        encode, shard = encoder(tokenizer).encode, TaskContext.get().partitionId()
         total, seq, at = np.zeros(0, np.int64), 0, 0
         for batch in batches:
             for part in slices(batch, 1, RUN):
-                found, counts = encode(part.column(1).to_pylist())
-                ids = np.insert(found, np.cumsum(counts), end_id)
+                found = [encode(t.as_py()) + end for t in part.column(1)]
+                counts = np.fromiter(map(len, found), np.int64, len(found)) // 4
+                ids = np.frombuffer(b"".join(found), "<u4")
                 more = np.bincount(ids, minlength=len(total))
                 more[: len(total)] += total
                 total = more
-                yield _row(schema, shard, seq, part.column(0).to_pylist(), counts + 1, at, ids.tobytes(), None)
+                yield _row(schema, shard, seq, part.column(0).to_pylist(), counts, at, ids.tobytes(), None)
                 seq, at = seq + 1, at + len(ids)
         if len(total):
             yield _row(schema, shard, None, None, None, at, None, total.astype("<i8").tobytes())
