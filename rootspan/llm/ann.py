@@ -17,8 +17,9 @@ passes on each query's ``k`` best ids, each with its smallest distance, which a
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite
 components take no part, nor do null ids; equal distances go to the smaller id; an id that occurs twice is
-returned once, with its smallest distance; a query never returns its own id; fewer candidates than ``k`` are
-all returned as far as the lists hold them (with one list, all); without vectors there are no rows.
+returned once, with its smallest distance; a query never returns its own id; a query that finds fewer than ``k`` ids
+in its lists searches all lists, so that ``k`` are returned, or all if there are fewer; without vectors there are no
+rows.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rootspan.scratch import settle
+from rootspan.llm.tasks import lean
+from rootspan.scratch import settle, settle_counted
 
 SAMPLE = 50_000
 MOST_LISTS = 8192
@@ -128,7 +130,7 @@ class Graph:
 
 def usable(vectors: DataFrame, id_col: str, vector: str) -> tuple[DataFrame, int]:
     """(id, v) of the vectors that take part, and their length."""
-    kept = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v")).where(F.col("id").isNotNull() & F.coalesce(fine_of("v"), F.lit(False)))
+    kept = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector}`").alias("v")).where(F.col("id").isNotNull() & F.coalesce(fine_of("v"), F.lit(False)))
     size = kept.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
     d = size[0]["d"] if size else 0
     return kept.where(F.size("v") == d), d
@@ -147,6 +149,7 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
 def assign(vectors: DataFrame, graph, d: int, ratio: float, least: int, copies: int) -> DataFrame:
     """(list, id, v): the lists of every vector, ``least`` at least as far as there are, ``copies`` at most."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -176,18 +179,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     base, d = usable(vectors, id_col, vector)
     if not d:
         return spark.createDataFrame([], out_kind)
-    asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v")).where(F.col("id").isNotNull() & F.coalesce(fine_of("v"), F.lit(False)) & (F.size("v") == d))
+    asked = queries.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector}`").alias("v")).where(F.col("id").isNotNull() & F.coalesce(fine_of("v"), F.lit(False)) & (F.size("v") == d))
     graph = spark.sparkContext.broadcast(fit(base, d, base.count()))
     postings = settle(assign(base, graph, d, boundary, 1, copies), "postings")
-    wanted = settle(assign(asked, graph, d, prune, LEAST_LISTS, 1 << 30), "wanted")
     # One row for each list, bounded by MOST_LISTS.
     sizes = postings.groupBy("list").agg(F.count(F.lit(1)).alias("n")).select("list", F.ceil(F.col("n") / block).cast("int").alias("parts"))
-    asks = wanted.groupBy("list").agg(F.count(F.lit(1)).alias("n")).select("list", F.ceil(F.col("n") / QUERY_BLOCK).cast("int").alias("turns"))
-    cells = settle(sizes.join(asks, "list").coalesce(1), "cells")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     dealt = lambda n, to: F.pmod(F.xxhash64("id"), F.col(n)).cast("int").alias(to)
-    left = postings.join(F.broadcast(cells), "list").select("list", dealt("parts", "part"), spread("turns").alias("turn"), "id", "v")
-    right = wanted.join(F.broadcast(cells), "list").select("list", spread("parts").alias("part"), dealt("turns", "turn"), "id", "v")
 
     def nearest(own: pa.Table, asking: pa.Table) -> pa.Table:
         rows: list[tuple] = []
@@ -218,9 +216,23 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
         columns = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 3, (pa.int64(), pa.int64(), pa.float64()))]
         return pa.Table.from_arrays(columns, names=["query_id", "vec_id", "score"])
 
-    key = ("list", "part", "turn")
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(nearest, "query_id long, vec_id long, score double")
-    once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    def look(wanted: DataFrame) -> DataFrame:
+        """(query_id, vec_id, score): the best of each list that a query wants."""
+        asks = wanted.groupBy("list").agg(F.count(F.lit(1)).alias("n")).select("list", F.ceil(F.col("n") / QUERY_BLOCK).cast("int").alias("turns"))
+        cells = settle(sizes.join(asks, "list").coalesce(1), "cells")
+        left = postings.join(F.broadcast(cells), "list").select("list", dealt("parts", "part"), spread("turns").alias("turn"), "id", "v")
+        right = wanted.join(F.broadcast(cells), "list").select("list", spread("parts").alias("part"), dealt("turns", "turn"), "id", "v")
+        key = ("list", "part", "turn")
+        found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(nearest, "query_id long, vec_id long, score double")
+        return settle(found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")), "near")
+
+    once, lists = look(settle(assign(asked, graph, d, prune, LEAST_LISTS, 1 << 30), "wanted")), len(graph.value.c)
+    if lists > LEAST_LISTS:  # queries whose lists held too little take all lists
+        enough = once.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+        short, n = settle_counted(asked.join(enough, F.col("id") == F.col("query_id"), "left_anti"), "short")
+        if n:
+            more = look(settle(short.withColumn("list", F.explode(F.sequence(F.lit(0), F.lit(lists - 1)))), "wanted"))
+            once = once.unionAll(more).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

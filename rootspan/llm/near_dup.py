@@ -14,13 +14,16 @@ full sets.
 No group is expanded into all its pairs. Texts with equal sets are one class, which its smallest id
 represents. In a bucket one hub is tested against all others; linked members join the hub's component. Only
 buckets whose other members are in several components by then need more: they are dealt into blocks, and
-cells of two blocks compare members of different components within one task, sketches first and full sets
-then, best pairs first, passing over those that are connected meanwhile. That gives the component structure
-of all candidate pairs: a pair is left out only if its ends are connected already.
+cells of two blocks compare members of different components within one task, member by member, sketches
+first and full sets then, best partners first, passing over those that are connected meanwhile. That gives
+the component structure of all candidate pairs: a pair is left out only if its ends are connected already.
 
-Plan. Texts are read once for sketches and once more for the sets of candidates; sketches carry no text.
-Buckets, pairs and components are narrow tables keyed by hashes; each step is written to the shared folder.
-A verification task holds one pair's sets, a cell those of two blocks, at a time.
+Plan. Texts are read once for sketches and once more for the sets of candidates; sketches carry no text. Up to
+``NAMED`` candidates are broadcast by their ids, so that the other texts stay where they are; beyond that a
+semi-join shuffles the texts. Buckets, pairs and components are narrow tables keyed by hashes; each step is
+written to the shared folder. A bucket of more than ``SALT`` members is split over several tasks wherever it is
+joined, and so are the tests of one hub, whose set goes once to each of them. A verification task holds the
+hub's set and one batch, a cell the sets of two blocks, at a time.
 
 Defined results: null, empty and blank texts have empty sets and are linked with nothing; exact copies are
 linked; an id that occurs more than once is one node, linked by any of its texts; a row with a null id is
@@ -31,7 +34,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,11 +43,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rootspan.llm.components import components
-from rootspan.scratch import settle
+from rootspan.llm.tasks import body_of, fresh, lean, slices
+from rootspan.scratch import settle, settle_counted
 
 BINS = 256
 MISS = 1e-6
 CELL = 4 << 20
+NAMED = 1 << 20
+SALT = 4096
 _MEMO = 300_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -115,12 +121,13 @@ def signatures(docs: DataFrame, words: int, rows: int, id_col: str, text: str) -
     bands = BINS // rows
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("print", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             while at < batch.num_rows:
                 sets, size, first = [], 0, at
-                while at < batch.num_rows and size < 500_000:
+                while at < batch.num_rows and size < 250_000:
                     sets.append(shingles(batch.column(1)[at].as_py(), words))
                     size += len(sets[-1])
                     at += 1
@@ -132,22 +139,23 @@ def signatures(docs: DataFrame, words: int, rows: int, id_col: str, text: str) -
                 keys = [k.tolist() if len(s) else None for s, k in zip(sets, key.view(np.int64))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, at - first), pa.array(map(len, sets), pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, n long, print binary, keys array<long>")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, "id long, n long, print binary, keys array<long>")
 
 
-def _full_sets(docs: DataFrame, classes: DataFrame, words: int, id_col: str, text: str) -> DataFrame:
-    """(node, n, items, drawn): the sets of the given classes (node, print), and their sketches cut to 16 bits."""
+def _full_sets(docs: DataFrame, classes: DataFrame, n: int, words: int, id_col: str, text: str) -> DataFrame:
+    """(node, n, items, drawn): the sets of the ``n`` given classes (node, print), and their sketches cut to 16 bits."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
+            for part in slices(batch, 1, 1 << 20):
                 sets = [shingles(t.as_py(), words) for t in part.column(1)]
                 prints = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints, pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([row.tobytes() for row in sketch(sets).astype(np.uint16)], pa.binary())], names=["node", "print", "n", "items", "drawn"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text).alias("text"))
-    sets = texts.join(classes.select("node").distinct(), "node", "left_semi").mapInArrow(run, "node long, print binary, n long, items binary, drawn binary")
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("node"), F.col(f"`{text}`").alias("text"))
+    nodes = classes.select("node").distinct()
+    sets = texts.join(F.broadcast(nodes) if n <= NAMED else nodes, "node", "left_semi").mapInArrow(run, "node long, print binary, n long, items binary, drawn binary")
     return sets.join(classes, ["node", "print"], "left_semi").dropDuplicates(["node", "print"]).select("node", "n", "items", "drawn")
 
 
@@ -169,81 +177,90 @@ def _similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * common >= num * (len(a) + len(b) - common)
 
 
-def _drawn(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, BINS)
+def _tested(pairs: DataFrame, sets: DataFrame, what: str, test: Callable[[np.ndarray, pa.Array], list]) -> DataFrame:
+    """The pairs (hub, node) whose node passes ``test`` of the hub's ``what`` and the nodes' ones."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = None
+        for batch in batches:
+            good, x = np.zeros(batch.num_rows, bool), batch.column(2)
+            heads = np.flatnonzero(np.asarray(batch.column(3)) == 0)
+            for a, b in zip([0, *(heads + 1)], [*heads, batch.num_rows]):
+                if a:
+                    own = np.frombuffer(x[int(a) - 1].as_py(), np.uint8)
+                if b > a:
+                    good[a:b] = test(own, x.slice(a, b - a))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["hub", "node"]).filter(pa.array(good))
+
+    many = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / SALT).cast("int").alias("parts")).where("parts > 1")
+    salt = F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), F.lit(0))
+    dealt = pairs.join(many, "hub", "left").select("hub", "node", salt.alias("salt"))
+    x = sets.select("node", F.col(what).alias("x"))
+    nodes = dealt.join(x, "node").select("hub", "node", "x", F.lit(1).alias("turn"), "salt")
+    hubs = dealt.select("hub", "salt").distinct().join(x, F.col("hub") == F.col("node")).select("hub", "node", "x", F.lit(0).alias("turn"), "salt")
+    ordered = hubs.unionAll(nodes).repartition("hub", "salt").sortWithinPartitions("hub", "salt", "turn")
+    return ordered.select("hub", "node", "x", "turn").mapInArrow(run, "hub long, node long")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b) of the pairs of nodes that are linked: first by sketches, then on full sets."""
+    """(a, b) of the pairs (hub, node) that are linked: first by sketches, then on full sets."""
     least = least_equal(num / den)
 
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            same = (_drawn(batch.column(2)) == _drawn(batch.column(3))).sum(1) >= least
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(same, pa.bool_()))
+    def likely(own: np.ndarray, drawn: pa.Array) -> list:
+        return (body_of(drawn).view(np.uint16).reshape(-1, BINS) == own.view(np.uint16)).sum(1) >= least
 
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            of = lambda k, i: np.frombuffer(batch.column(k)[i].as_buffer(), np.uint64)  # noqa: B023, E731
-            linked = [_similar(of(2, i), of(3, i), num, den) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
+    def exact(own: np.ndarray, items: pa.Array) -> list:
+        return [_similar(own.view(np.uint64), np.frombuffer(x.as_buffer(), np.uint64), num, den) for x in items]
+
+    close = settle(_tested(pairs, sets, "drawn", likely), "close")
+    return _tested(close, sets, "items", exact).select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
 
-    def both(ends: DataFrame, what: str) -> DataFrame:
-        left, right = (sets.select(F.col("node").alias(c), F.col(what).alias(f"{c}x")) for c in ("a", "b"))
-        return ends.join(right, "b").join(left, "a").select("a", "b", "ax", "bx")
 
-    close = both(pairs, "drawn").mapInArrow(likely, "a long, b long").distinct()
-    return both(close, "items").mapInArrow(exact, "a long, b long").distinct()
+def _by_key(rows: DataFrame, keyed: DataFrame) -> DataFrame:
+    """``rows`` (key, node, m, ..) with the columns of ``keyed``, one row for each key; m is the bucket's size."""
+    parts = F.ceil(F.col("m") / SALT).cast("int")
+    split = rows.withColumn("salt", F.pmod(F.xxhash64("node"), parts).cast("int"))
+    copies = keyed.withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("m")
+    return split.join(copies, ["key", "salt"]).drop("salt")
 
 
 def _in_cells(members: DataFrame, sets: DataFrame, num: int, den: int, cell_bytes: int = CELL) -> DataFrame:
-    """(a, b): links that join different components of a bucket, for (key, node, top).
+    """(a, b): links that join different components of a bucket, for (key, node, top, m).
 
     A bucket is dealt into blocks of about ``cell_bytes`` of sets, and a cell holds two blocks, so that memory
-    is bounded and no pair becomes a row. A cell compares the sketches of its members, verifies likely pairs
-    on full sets, best first, and passes over pairs that its links so far connect already.
+    is bounded and no pair becomes a row. A cell takes its members in turn, compares the sketch of each with
+    those of other components, verifies likely partners on full sets, best first, and passes over those that
+    its links so far connect already.
     """
     least = least_equal(num / den)
-    full = members.join(sets.select("node", "items", "drawn"), "node")
-    sizes = members.join(sets.select("node", "n"), "node").groupBy("key").agg(F.ceil((F.sum("n") * 8 + F.count(F.lit(1)) * 512) / cell_bytes).cast("int").alias("blocks"))
-    dealt = full.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sizes = members.join(sets.select("node", "n"), "node").groupBy("key").agg(F.max("m").alias("m"), F.ceil((F.sum("n") * 8 + F.count(F.lit(1)) * 2 * BINS) / cell_bytes).cast("int").alias("blocks"))
+    dealt = _by_key(members, sizes).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # Block i meets every block j: cell (min, max); a block alone is cell (i, i).
     cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "top", "items", "drawn")
+    cells = cells.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "top")
+    cells = cells.join(sets.select("node", "items", "drawn"), "node").select("key", "i", "j", "block", "node", "top", "items", "drawn")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(held: list[tuple]) -> list[tuple[int, int]]:
-            cell, nodes, tops = held[0][:3], [h[4] for h in held], np.array([h[5] for h in held])
+        def links(held: list[tuple]) -> Iterator[tuple[int, int]]:
+            mixed, nodes, tops = held[0][1] != held[0][2], [h[4] for h in held], np.array([h[5] for h in held])
             if (tops == tops[0]).all():
-                return []
+                return
             block, drawn = np.array([h[3] for h in held]), np.frombuffer(b"".join(h[7] for h in held), np.uint16).reshape(-1, BINS)
             items = [np.frombuffer(h[6], np.uint64) for h in held]
-            up: dict[int, int] = {}
-
-            def find(x: int) -> int:
-                while (y := up.get(x, x)) != x:
-                    x = y
-                return x
-
-            found, tries = [], []
             for x in range(len(held)):
                 # In a mixed cell pairs inside one block belong to that block's own cell.
                 others = tops[x + 1 :] != tops[x]
-                if cell[1] != cell[2]:
+                if mixed:
                     others &= block[x + 1 :] != block[x]
                 ys = np.flatnonzero(others) + x + 1
-                if len(ys):
-                    same = (drawn[ys] == drawn[x]).sum(1)
-                    near = same >= least
-                    tries.append(np.stack([same[near], np.full(near.sum(), x), ys[near]]))
-            ranked = np.concatenate(tries, 1) if tries else np.zeros((3, 0), np.int64)
-            for k in np.argsort(-ranked[0], kind="stable").tolist():
-                x, y = int(ranked[1, k]), int(ranked[2, k])
-                p, q = find(int(tops[x])), find(int(tops[y]))
-                if p != q and _similar(items[x], items[y], num, den):
-                    up[max(p, q)] = min(p, q)
-                    found.append((min(nodes[x], nodes[y]), max(nodes[x], nodes[y])))
-            return found
+                same = (drawn[ys] == drawn[x]).sum(1)
+                near = np.flatnonzero(same >= least)
+                for y in ys[near[np.argsort(-same[near], kind="stable")]].tolist():
+                    if tops[x] != tops[y] and _similar(items[x], items[y], num, den):
+                        tops[tops == max(tops[x], tops[y])] = min(tops[x], tops[y])
+                        yield min(nodes[x], nodes[y]), max(nodes[x], nodes[y])
 
         def rows() -> Iterator[tuple]:
             held: list[tuple] = []
@@ -257,7 +274,7 @@ def _in_cells(members: DataFrame, sets: DataFrame, num: int, den: int, cell_byte
             if held:
                 yield from links(held)
 
-        out = list(rows())
+        out = list(rows())  # fewer than members, as each joins two components of its cell
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
 
     ordered = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
@@ -273,40 +290,38 @@ def link(docs: DataFrame, words: int, num: int, den: int, id_col: str = "doc_id"
     spots = classes.select("node", "n", F.explode("keys").alias("key"))
     # Buckets of several nodes; of buckets with the same nodes (copies meet in most bands) one is enough.
     whole = spots.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("z")).where("m > 1")
-    once = whole.groupBy("m", "x", "y", "z").agg(F.min("key").alias("key")).select("key")
-    buckets = settle(spots.join(once, "key"), "buckets")
-    chosen = classes.select("node", "print").join(buckets.select("node").distinct(), "node", "left_semi")
-    sets = settle(_full_sets(docs, chosen, words, id_col, text), "sets")
-    top_of = _components_of(buckets, sets, num, den)
+    once = whole.groupBy("m", "x", "y", "z").agg(F.min("key").alias("key")).select("key", "m")
+    buckets = settle(spots.join(once, "key").select("key", "node", "n", "m"), "buckets")
+    chosen, n = settle_counted(classes.select("node", "print").join(buckets.select("node").distinct(), "node", "left_semi"), "chosen")
+    sets = settle(_full_sets(docs, chosen, n, words, id_col, text), "sets")
+    top_of = _components_of(buckets, sets, num, den) if n else buckets.select("node", F.col("node").alias("top"))
     own = classes.select("print", "node").join(top_of, "node", "left").select("print", F.coalesce("top", "node").alias("root"))
     ids = known.select("id", "print").join(own, "print").select("id", "root")
     # An id with several texts ties their classes together.
     if known.groupBy("id").agg(F.min("print").alias("lo"), F.max("print").alias("hi")).where("lo <> hi").head(1):
-        tied = components(ids.select(F.col("id").alias("a"), F.col("root").alias("b")).distinct()).withColumnRenamed("root", "__top")
-        ids = ids.join(tied, "id", "left").select("id", F.coalesce("__top", "root").alias("root"))
+        tied = components(ids.select(F.col("id").alias("a"), F.col("root").alias("b")).distinct()).withColumnRenamed("root", "tied")
+        ids = ids.join(tied, "id", "left").select("id", F.coalesce("tied", "root").alias("root"))
     return marks.select("id", "n"), ids.groupBy("id").agg(F.min("root").alias("root"))
 
 
 def _components_of(buckets: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """(node, top): components of the candidate pairs that hold, for nodes with at least one link."""
-    none = buckets.select("node", F.col("node").alias("top")).limit(0)
-    if not buckets.head(1):
-        return none
     # One hub for each bucket, the same for buckets alike; sizes alone rule some pairs out.
-    hub = buckets.groupBy("key").agg(F.min_by(F.struct("node", "n"), F.xxhash64("node")).alias("h"))
-    met = buckets.join(hub, "key").where("node <> h.node").where(F.least("n", "h.n") * den >= F.greatest("n", "h.n") * num)
-    pairs = settle(met.select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct(), "pairs")
+    first = F.xxhash64("node")
+    hub = settle(buckets.groupBy("key").agg(F.max("m").alias("m"), F.min_by("node", first).alias("hub"), F.min_by("n", first).alias("hub_n")), "hubs")
+    met = _by_key(buckets, hub).where("node <> hub").where(F.least("n", "hub_n") * den >= F.greatest("n", "hub_n") * num)
+    pairs = settle(met.select("hub", "node").distinct(), "pairs")
     links = settle(_verify(pairs, sets, num, den), "links")
     comp = settle(components(links).select(F.col("id").alias("node"), F.col("root").alias("top")), "comp")
-    now = buckets.select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("top", "node").alias("top"))
+    now = buckets.join(comp, "node", "left").select("key", "node", "m", F.coalesce("top", "node").alias("top"))
     # A hub was tested against all of its bucket: what is left must differ among the others.
-    left = now.join(hub.select("key", F.col("h.node").alias("hn")), "key").where("node <> hn").drop("hn")
-    mixed = left.groupBy("key").agg(F.min("top").alias("lo"), F.max("top").alias("hi")).where("lo <> hi").select("key")
-    left = settle(left.join(mixed, "key", "left_semi"), "left")
-    if not left.head(1):
+    left = settle(_by_key(now, hub.select("key", "m", "hub")).where("node <> hub").select("key", "node", "m", "top"), "others")
+    mixed = left.groupBy("key").agg(F.max("m").alias("m"), F.min("top").alias("lo"), F.max("top").alias("hi")).where("lo <> hi").select("key", "m")
+    left, n = settle_counted(_by_key(left, mixed), "left")
+    if not n:
         return comp
-    more = settle(_in_cells(left, sets, num, den), "more")
-    if not more.head(1):
+    more, n = settle_counted(_in_cells(left, sets, num, den), "more")
+    if not n:
         return comp
     return settle(components(links.unionAll(more)).select(F.col("id").alias("node"), F.col("root").alias("top")), "comp")
 
@@ -321,8 +336,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
 def drop_near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the ids that are not the smallest of their component."""
     _, roots = link(docs, words, num, den, id_col, text)
-    gone = settle(roots.where("id <> root").select(F.col("id").alias("__id")), "dropped")
-    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("__id"), "left_anti")
+    own = fresh("gone", docs.columns)
+    gone = settle(roots.where("id <> root").select(F.col("id").alias(own)), "dropped")
+    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col(own), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rootspan.llm import ann, components, decontaminate, near_dup
@@ -146,3 +147,31 @@ def test_nearest_of_repeated_rows(spark):
     found = ann.search(df, df.where("vec_id = 0")).orderBy("rank").collect()
     d = np.sqrt(((x.astype(np.float64) - x[0].astype(np.float64)) ** 2).sum(1))
     assert [f["vec_id"] for f in found] == np.argsort(d)[1:11].tolist()
+
+
+def test_nearest_widens_until_there_are_enough(spark):
+    """Lists of a few ids, each stored many times: the nearest lists of a query hold fewer than k."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(30, 8)).astype(np.float32) * 100
+    rows = [(i, (v + np.float32(1e-3) * n).tolist()) for i, v in enumerate(x) for n in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert len(ann.Graph(x).c) == 30
+    found = ann.search(df, df.where("vec_id % 100 = 0")).collect()
+    by = {}
+    for f in found:
+        by.setdefault(f["query_id"], []).append(f["vec_id"])
+    assert all(len(set(v)) == 10 for v in by.values()) and set(by) == {0}
+
+
+def test_graph_of_many_lists_recalls(spark):
+    """Where pruning bites: some 90 lists, a dense spot among them."""
+    r = np.random.default_rng(6)
+    x = np.concatenate([r.normal(size=(20_000, 24)), r.normal(size=(12_000, 24)) * 0.05 + 1]).astype(np.float32)
+    rows = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float32()))}))
+    asked = rows.where("vec_id % 400 = 0")
+    by = {}
+    for f in ann.search(rows, asked).collect():
+        by.setdefault(f["query_id"], set()).add(f["vec_id"])
+    y = x.astype(np.float64)
+    hit = sum(len(by[q] & set(np.argsort(((y - y[q]) ** 2).sum(1), kind="stable")[1:11].tolist())) for q in by)
+    assert len(by) == 80 and hit >= 0.9 * 800
