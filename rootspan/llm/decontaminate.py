@@ -9,7 +9,8 @@ a document that covers ``threshold`` of an item holds it, in whatever order its
 
 Plan. The documents are scanned once and never shuffled; each is tested by itself, with all of its text.
 The benchmark is the smaller side and is taken in blocks of at most ``BLOCK`` bytes of text, each broadcast:
-a larger benchmark makes more blocks, not larger broadcasts. Only the items that share seeds with a
+a larger benchmark makes more blocks, not larger broadcasts; ``drop_leaks`` writes what a block leaves before it takes
+the next, so that one block is held at a time. Only the items that share seeds with a
 document are tiled, and of those only the ones whose seeds together could reach the threshold.
 
 Defined results: null or empty texts hold nothing; an item of fewer than ``least`` words (or a null one)
@@ -28,6 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rootspan.llm.tasks import lean
+from rootspan.scratch import drop_table, settle
+
 LEAST = 5
 THRESHOLD = 0.5
 BLOCK = 8 << 20
@@ -168,10 +172,11 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, block: int) -> Iterat
 def find_leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, threshold: float = THRESHOLD, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block: int = BLOCK) -> DataFrame:
     """(doc_id, item_id, coverage, n_tiles, longest): the items that each document holds."""
     spark, kinds, out = docs.sparkSession, "doc_id long, item_id long, coverage double, n_tiles long, longest long", None
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     for items in _blocks(benchmark, item_id, item_text, block):
         index = spark.sparkContext.broadcast(Index(items, least))
 
+        @lean
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows = [(batch.column(0)[i].as_py(), *m) for i in range(batch.num_rows) for m in index.value.matches(batch.column(1)[i].as_py(), threshold)]
@@ -185,10 +190,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, thresh
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, threshold: float = THRESHOLD, text: str = "text", item_id: str = "item_id", item_text: str = "text", block: int = BLOCK) -> DataFrame:
     """``docs`` without the rows that hold an item."""
-    place = docs.columns.index(text)
+    place, index, table = docs.columns.index(text), None, None
     for items in _blocks(benchmark, item_id, item_text, block):
+        if index is not None:
+            left = settle(docs, "clean")
+            index.unpersist()
+            if table is not None:
+                drop_table(table)
+            docs = table = left
         index = docs.sparkSession.sparkContext.broadcast(Index(items, least))
 
+        @lean
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 clean = [not index.value.matches(t.as_py(), threshold) for t in batch.column(place)]

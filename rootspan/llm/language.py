@@ -2,19 +2,21 @@
 
 The network embeds bytes, applies filters of several widths, takes each filter's maximum over a window of
 ``WINDOW`` bytes and feeds the maxima to a softmax over the languages it was taught. It is trained here in
-numpy (Adam, gradients through the positions of the maxima) on at most ``DOCS`` documents of each language
-and ``PER_DOC`` windows of each, also in shortened form. A text is cut into windows from its first byte to
+numpy (Adam, gradients through the positions of the maxima) on windows of at most ``DOCS`` documents of each
+language and ``MOST`` documents in all: of all windows of their whole texts, the ``WINDOWS`` with the smallest hash
+for each language, also in shortened form. A text is cut into windows from its first byte to
 its last; the prediction is the language with the largest mean probability, windows weighted by their bytes.
 
 For prediction the filters are folded into tables over byte pairs, so that a filter's response at a place
 is one or two look-ups; windows are processed in batches of ``BATCH`` bytes whatever the texts' lengths.
 
-Plan. Training documents are picked from (id, language) alone: a row_number per language, which Spark
-limits within each task before the shuffle. Their windows are collected (the bound above) and the network,
-some 10,000 numbers, is broadcast. Prediction is one scan without a shuffle.
+Plan. Training documents are picked from (id, language) alone, in two ranks: within a language and one of
+``SALT`` hashes of the id first, so that a frequent language is ranked by many tasks, among the first of those
+then. Their windows are ranked likewise and collected (the bound above), and the network, some 10,000 numbers, is
+broadcast. Prediction is one scan without a shuffle.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; null languages and null
-ids are not learned from; ties go to the language that sorts first; if nothing can be learned, every text
+ids are not learned from, nor other rows of a picked id; of equal ids and languages the smallest text is learned; ties go to the language that sorts first; if nothing can be learned, every text
 is ``und``; other columns are not read.
 """
 
@@ -27,9 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rootspan.llm.tasks import lean
+
 WINDOW = 256
 DOCS = 500
-PER_DOC = 6
+MOST = 20_000
+WINDOWS = 3000
+SALT = 16
 BATCH = 1 << 18
 WIDTHS = (2, 3, 4)
 FILTERS = 10
@@ -144,25 +150,31 @@ class Network:
         return [(self.languages[b], float(min(mean[i, b], 1.0))) if weight[i] else ("und", 0.0) for i, b in enumerate(best.tolist())]
 
 
-def training_windows(docs: DataFrame, id_col: str, text: str, lang: str, allowed: Column, per_lang: int = DOCS, per_doc: int = PER_DOC) -> list[tuple[str, bytes]]:
-    """(language, window) of at most ``per_lang`` documents of each language, ``per_doc`` windows of each."""
-    known = docs.select(F.col(id_col).alias("id"), F.col(lang).alias("lang"), allowed.alias("ok")).where("ok AND id IS NOT NULL AND lang IS NOT NULL")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    picked = known.select("id", "lang", rank.alias("k")).where(F.col("k") <= per_lang).select("id", "lang")
+def _first(rows: DataFrame, key: Column, most: int) -> DataFrame:
+    """The ``most`` rows of each lang that come first by ``key``, ranked in ``SALT`` parts before they are ranked together; rank in k."""
+    parts = rows.withColumn("salt", F.pmod(key, F.lit(SALT)))
+    one = parts.withColumn("k", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(key, *rows.columns))).where(F.col("k") <= most)
+    return one.drop("salt").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(key, *rows.columns))).where(F.col("k") <= most)
+
+
+def training_windows(docs: DataFrame, id_col: str, text: str, lang: str, allowed: Column, per_lang: int = DOCS, windows: int = WINDOWS, most: int = MOST) -> list[tuple[str, bytes]]:
+    """(language, window): ``windows`` at most of each language, from ``per_lang`` documents of each and ``most`` in all."""
+    known = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"), allowed.alias("ok")).where("ok AND id IS NOT NULL AND lang IS NOT NULL")
+    picked = _first(known.select("id", "lang").distinct(), F.xxhash64("id"), per_lang).orderBy("k", "lang").limit(most).select("id", "lang")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
             for i in range(batch.num_rows):
                 raw, key = (batch.column(2)[i].as_py() or "").encode(), batch.column(0)[i].as_py()
-                for n, at in enumerate(sorted(set(np.linspace(0, max(0, len(raw) - WINDOW), per_doc).astype(int).tolist())) if raw.strip() else []):
-                    out.append((batch.column(1)[i].as_py(), key, n, raw[at : at + WINDOW]))
-            columns = [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, (pa.string(), pa.int64(), pa.int32(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["lang", "id", "n", "raw"])
+                cut = [raw[at : at + WINDOW] for at in range(0, len(raw), WINDOW)] if raw.strip() else []
+                columns = [pa.array([batch.column(1)[i].as_py()] * len(cut), pa.string()), pa.array([key] * len(cut), pa.int64()), pa.array(range(len(cut)), pa.int32()), pa.array(cut, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "id", "n", "raw"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    found = texts.join(F.broadcast(picked), "id").select("id", "lang", "text").mapInArrow(run, "lang string, id long, n int, raw binary")
-    return [(r["lang"], bytes(r["raw"])) for r in sorted(found.collect(), key=lambda r: (r["lang"], r["id"], r["n"], bytes(r["raw"])))]
+    texts = known.select("id", "lang", "text").join(F.broadcast(picked), ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text"))
+    cut = texts.select("id", "lang", "text").mapInArrow(run, "lang string, id long, n int, raw binary")
+    found = _first(cut, F.xxhash64("id", "n"), windows)
+    return [(r["lang"], bytes(r["raw"])) for r in sorted(found.collect(), key=lambda r: (r["lang"], r["id"], r["n"]))]
 
 
 def fit(windows: list[tuple[str, bytes]], seed: int = 7) -> Network:
@@ -182,6 +194,7 @@ def predict(docs: DataFrame, network: Network, id_col: str = "doc_id", text: str
     """(doc_id, lang_pred, score) of every row of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(network)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
@@ -189,7 +202,7 @@ def predict(docs: DataFrame, network: Network, id_col: str = "doc_id", text: str
                 found = shared.value.predict(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

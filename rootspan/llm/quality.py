@@ -6,8 +6,9 @@ ones with the smallest hash of their id), which gives each document a log-odds.
 
 Hierarchy. The expected share of good documents is estimated for the corpus, each host and each path
 within a host from sums over all documents. A host's mean is shrunk toward the corpus mean, a path's
-toward its host's, by as many pseudo-documents as the spread between sites supports (method of moments):
-a site with few documents stays near its parent. A document's posterior log-odds are its own plus the
+toward its host's, by as many pseudo-documents as the spread between sites supports (method of moments, one at
+least): a site with few documents stays near its parent, and sites that differ by no more than chance would make
+them are pooled whole. A document's posterior log-odds are its own plus the
 difference between its path's prior and the corpus prior.
 
 Plan. Two scans of the documents and no shuffle of texts: the first gives one row per (host, path) and
@@ -17,8 +18,9 @@ skewed sites. A third small read fetches the training sample.
 
 Defined results: null text counts as empty; a text without a word is rejected with log-odds of ``NOTHING``
 and takes no part in the sums; null hosts form one site, null paths one path of their host; labels other
-than 0 and 1, without a document or repeated are ignored or counted as they stand; with labels of one
-class only, every document's evidence is 0; other columns pass through ``judge`` untouched.
+than 0 and 1 or without a document are ignored, a repeated one counts once; of an id with several texts the
+smallest is learned; with labels of one class only, every document's evidence is 0; other columns pass through
+``judge`` untouched, and where one is called like a new one, the new one gets an underscore after its name.
 """
 
 from __future__ import annotations
@@ -28,10 +30,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rootspan.llm.tasks import fresh, lean
 from rootspan.scratch import settle
 
 SAMPLE = 4000
@@ -89,17 +92,19 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model:
     """The document model from at most ``sample`` labelled documents of each class."""
-    known = labels.select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("__y")).where("__id IS NOT NULL")
-    counts = {r["__y"]: r["n"] for r in known.where("__y IN (0, 1)").groupBy("__y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    parts = [known.where(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(sample) for y in (0, 1)]
+    known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label}`").cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)").distinct()
+    counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    parts = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample) for y in (0, 1)]
     picked = F.broadcast(parts[0].unionAll(parts[1]))  # 2 * sample rows at most
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(batch.column(1)[i].as_py(), f.tolist()) for i in range(batch.num_rows) if (f := features(batch.column(0)[i].as_py())) is not None]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.float64()))], names=["y", "x"])
 
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__text")).join(picked, "__id").select("__text", "__y").mapInArrow(run, "y int, x array<double>").collect()
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text")).join(picked, "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+    rows = texts.select("text", "y").mapInArrow(run, "y int, x array<double>").collect()
     rows.sort(key=lambda r: (r["y"], r["x"]))
     model = Model(np.array([r["x"] for r in rows]).reshape(-1, _FEATURES), np.array([r["y"] for r in rows], np.int64))
     if counts.get(0) and counts.get(1):  # classes were balanced for training
@@ -107,16 +112,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     return model
 
 
-def _fresh(name: str, taken: list[str]) -> str:
-    while name.lower() in {c.lower() for c in taken}:
-        name += "_"
-    return name
-
-
 def _with_evidence(docs: DataFrame, model: Model, text: str, to: str) -> DataFrame:
     """``docs`` and each row's log-odds; every other column crosses untouched as Arrow memory."""
     place, shared = docs.columns.index(text), docs.sparkSession.sparkContext.broadcast(model)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = pa.array([shared.value.evidence(t.as_py()) for t in batch.column(place)], pa.float64())
@@ -126,7 +126,7 @@ def _with_evidence(docs: DataFrame, model: Model, text: str, to: str) -> DataFra
 
 
 def _strength(n: str, s: str, of: DataFrame) -> tuple[float, float]:
-    """(mean, pseudo-documents) of the shares s / n between groups, by moments."""
+    """(mean, pseudo-documents) of the shares s / n between groups, by moments; infinite if chance explains the spread."""
     r = of.agg(F.sum(s).alias("s"), F.sum(n).alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col(s) * F.col(s) / F.col(n)).alias("q"), F.sum(F.col(n) * F.col(n)).alias("n2")).first()
     if not r["n"]:
         return 0.5, 1.0
@@ -134,20 +134,26 @@ def _strength(n: str, s: str, of: DataFrame) -> tuple[float, float]:
     between = r["q"] - r["n"] * mean * mean
     spread = r["n"] - r["n2"] / r["n"]
     tau = max(0.0, (between - (k - 1) * mean * (1 - mean)) / spread) if spread > 0 else 0.0
-    return mean, min(1e4, max(1.0, mean * (1 - mean) / tau - 1 if tau > 0 else 1e4))
+    return mean, max(1.0, mean * (1 - mean) / tau - 1) if tau > 0 else float("inf")
+
+
+def _shrunk(n: str, s: str, parent: Column, k: float) -> Column:
+    """The share s / n, drawn toward ``parent`` by k pseudo-documents."""
+    own = F.col(n) / (F.col(n) + F.lit(k))
+    return own * F.col(s) / F.col(n) + (1 - own) * parent
 
 
 def priors(docs: DataFrame, model: Model, host: str, path: str, text: str) -> DataFrame:
     """(host, path, p_host, p_path, shift): shrunken shares of good documents of every site and section."""
-    seen = _with_evidence(docs.select(F.col(host).alias("host"), F.col(path).alias("path"), F.col(text).alias("text")), model, "text", "e")
+    seen = _with_evidence(docs.select(F.col(f"`{host}`").alias("host"), F.col(f"`{path}`").alias("path"), F.col(f"`{text}`").alias("text")), model, "text", "e")
     sums = seen.where(F.col("e") > NOTHING).groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum(1 / (1 + F.exp(-F.col("e")))).alias("s"))
     sums = settle(sums, "quality-sums")
     hosts = sums.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
     mean, k_host = _strength("hn", "hs", hosts)
     _, k_path = _strength("n", "s", sums)
-    hosts = hosts.withColumn("p_host", (F.col("hs") + k_host * mean) / (F.col("hn") + k_host))
+    hosts = hosts.withColumn("p_host", _shrunk("hn", "hs", F.lit(mean), k_host))
     joined = sums.alias("a").join(hosts.alias("b"), F.col("a.host").eqNullSafe(F.col("b.host")))
-    p = joined.select("a.host", "path", "p_host", ((F.col("s") + k_path * F.col("p_host")) / (F.col("n") + k_path)).alias("p_path"))
+    p = joined.select("a.host", "path", "p_host", _shrunk("n", "s", F.col("p_host"), k_path).alias("p_path"))
     corpus = float(np.log(max(mean, 1e-6) / max(1 - mean, 1e-6)))
     odds = F.log(F.greatest("p_path", F.lit(1e-6)) / F.greatest(1 - F.col("p_path"), F.lit(1e-6)))
     return settle(p.withColumn("shift", odds - corpus), "quality-priors")
@@ -157,13 +163,15 @@ def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
     """``docs`` with evidence, p_host, p_path and posterior; and the names those columns got."""
     model = fit(docs, labels, id_col, text, label, sample)
     table = priors(docs, model, host, path, text)
-    name = {x: _fresh(x, docs.columns) for x in ("evidence", "p_host", "p_path", "posterior")}
+    taken, name = list(docs.columns), {}
+    for x in ("evidence", "p_host", "p_path", "posterior", "host", "path", "shift"):
+        name[x] = fresh(x, taken)
+        taken.append(name[x])
     own = _with_evidence(docs, model, text, name["evidence"])
-    table = table.select(*[F.col(c).alias(f"__{c}__") for c in table.columns])
-    joined = own.join(table, F.col(f"`{host}`").eqNullSafe(F.col("__host__")) & F.col(f"`{path}`").eqNullSafe(F.col("__path__")), "left")
-    odds = F.col(name["evidence"]) + F.when(F.col(name["evidence"]) > NOTHING, F.coalesce("__shift__", F.lit(0.0))).otherwise(0.0)
-    posterior = 1 / (1 + F.exp(-odds))
-    out = joined.select(*[F.col(f"`{c}`") for c in own.columns], F.col("__p_host__").alias(name["p_host"]), F.col("__p_path__").alias(name["p_path"]), posterior.alias(name["posterior"]))
+    table = table.select(*[F.col(c).alias(name[c]) for c in table.columns])
+    joined = own.join(table, F.col(f"`{host}`").eqNullSafe(F.col(name["host"])) & F.col(f"`{path}`").eqNullSafe(F.col(name["path"])), "left")
+    odds = F.col(name["evidence"]) + F.when(F.col(name["evidence"]) > NOTHING, F.coalesce(name["shift"], F.lit(0.0))).otherwise(0.0)
+    out = joined.select(*[F.col(f"`{c}`") for c in own.columns], name["p_host"], name["p_path"], (1 / (1 + F.exp(-odds))).alias(name["posterior"]))
     return out, name
 
 
