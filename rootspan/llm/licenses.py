@@ -1,44 +1,54 @@
 """License scans by ordered signature rules.
 
-Some 250 rules (``rules()``): for each license of ``LICENSES`` its SPDX tag, its grant ("licensed under
-the ..."), its name and, where it has one, a phrase of its own text. Each rule has a keyword, a priority
-and a pattern over the lower-cased text. A rule's pattern runs only if the text holds the rule's keyword and,
-for rules made from a template, what all rules of its kind begin with (``KINDS``); a pattern cannot match
-without either, so that no rule is kept from a text. Of the places found, one that
-lies inside another's interval goes unless its priority is higher; of equal intervals the rule of higher
-priority stays, then the earlier rule.
+``rules()`` gives some 400 rules in order. Written by hand are the names of ``LICENSES`` with, for some, a phrase
+of their own, and the phrases of ``TEXTS``: grants, conditions, disclaimers, headers and addresses as the licenses
+write them. Two templates add each license's SPDX tags and its grant ("licensed under the ..."). A rule has a
+label, a priority, a pattern over the lower-cased text, a keyword and a kind. Its pattern runs only on texts
+that hold the keyword and what its kind requires (``KINDS``); no match can do without either, so that no rule is
+kept from a text. Of the places found, one that lies inside another's interval goes unless its priority is
+higher; of equal intervals the rule of higher priority stays, then the earlier rule.
 
 Three base phrases are found besides, as consecutive words whatever stands between the words.
 
-Plan. One projection over the scan: no shuffle, no join, no Python; the rules are a constant array.
+Plan. One projection over the scan: no shuffle, no join, no Python; the rules are a constant array. Places come
+from running sums, and suppression from running maxima of the ends over the places in order, one for each
+priority, so that n places cost n log n steps.
 
 Defined results: null text counts as empty: no words, no labels, score 0; only A-Z are lower-cased;
-repeated rows are scanned each by itself; no other column is read. ``score`` is the highest priority
-among the places that stay, over 100.
+repeated rows are scanned each by itself; other columns pass through untouched, and where one is called like a
+new one (n_words, places, spans, score), the new one gets an underscore after its name. ``score`` is the
+highest priority among the places that stay, over 100.
 """
 
 from __future__ import annotations
 
 import json
-import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rootspan.llm.spans import let, matches, running
+from rootspan.llm.tasks import fresh
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-#: What the rules of a kind cannot do without; the rules of no kind have their keywords alone. A literal that
-#: a pattern holds is looked for first, as that is cheaper.
-HINTS = {"tag": "spdx-licen", "grant": "under", "named": "licen"}
+GRANT = r"(?:licen[cs]ed|released|distributed|available|published|provided|free)\s+under\s"
+#: What the rules of a kind cannot do without: a literal, and for some a pattern besides. A literal is looked
+#: for first, as that is cheaper. All other rules have a literal of ``HINTS`` that is a part of their keyword.
 KINDS = {
-    "tag": r"spdx-licen[cs]e-identifier:",
-    "grant": r"(?:licen[cs]ed|released|distributed|available|published|provided|free)\s+under\s",
-    "cc": r"\bcc[\s-]by",
-    "named": r"licen[cs]e",
-    "base": "|".join(SEPARATOR.join(p.split()) for p, _ in BASE),
+    "tag": ("spdx-licen", None),
+    "grant": ("under", GRANT),
+    "cc": ("cc", r"\bcc[\s-]by"),
+    "named": ("licen", None),
+    "base": ("", "|".join(SEPARATOR.join(p.split()) for p, _ in BASE)),
 }
+HINTS = (
+    "permi", "redistribut", "warrant", "copyright", "public", "reserved", "proprietary", "gpl", "gfdl", "cddl", "eupl", "odbl", "odc-by", "pddl",
+    "wtfpl", "cecill", "openrail", "cc0", "commons", "bsd", "ofl", "perl", "consortium", ".org", "free", "advertis", "contribut", "licen", "software",
+    "attribution", "derivative", "patent", "liab", "trademark", "merchant",
+)
 
 #: label, SPDX ids, keyword of the name, pattern of the name, keyword and pattern of a phrase of its own.
 LICENSES = [
@@ -120,6 +130,157 @@ LICENSES = [
 ]
 
 
+#: label, keyword and pattern of phrases in license texts; a space in the pattern is any white space.
+TEXTS = [
+    ("mit", "sublicense", r"use, copy, modify, merge, publish, distribute, sublicense,? and/or sell copies of the software"),
+    ("mit", "permission", r"the above copyright notice and this permission notice(?: \(including the next paragraph\))? shall be included in all copies or substantial portions"),
+    ("mit", "noninfringement", r"the software is provided \W{0,2}as is\W{0,2}, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement"),
+    ("mit", "liable", r"in no event shall the authors or copyright holders be liable for any claim, damages or other liability"),
+    ("mit-0", "permission", r"permission is hereby granted, free of charge, to any person obtaining a copy of this software .{1,200}?\. the software is provided"),
+    ("isc", "permission", r"permission to use, copy, modify,? and(?:/or)? distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice"),
+    ("isc", "disclaims", r"the author disclaims all warranties with regard to this software"),
+    ("0bsd", "permission", r"permission to use, copy, modify,? and/or distribute this software for any purpose with or without fee is hereby granted\."),
+    ("bsd", "redistribution", r"redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd", "redistributions", r"redistributions of source code must retain the above copyright notice, this list of conditions"),
+    ("bsd", "redistributions", r"redistributions in binary form must reproduce the above copyright notice, this list of conditions"),
+    ("bsd", "contributors", r"this software is provided by the (?:copyright holders and contributors|regents and contributors|author) \W{0,2}as is"),
+    ("bsd-3-clause", "endorse", r"may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-4-clause", "acknowledg", r"this product includes software developed by .{1,80}? and its contributors"),
+    ("bsd-2-clause", "freebsd", r"the freebsd copyright"),
+    ("bsd-3-clause", "regents", r"copyright .{1,40}?the regents of the university of california"),
+    ("bsd-3-clause-clear", "clear", r"no express or implied licenses to any party's patent rights are granted by this license"),
+    ("apache-2", "apache", r"licensed under the apache license,? version 2\.0 \(the \W?license\W?\)"),
+    ("apache-2", "compliance", r"you may not use this file except in compliance with the license"),
+    ("apache-2", "licenses", r"unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an \W?as is\W? basis"),
+    ("apache-2", "appendix", r"appendix: how to apply the apache license to your work"),
+    ("apache-2", "foundation", r"licensed to the apache software foundation \(asf\) under one or more contributor license agreements"),
+    ("apache-1.1", "acknowledgment", r"this product includes software developed by the apache software foundation"),
+    ("gpl", "redistribute", r"this program is free software[:;,]? you can redistribute it and/or modify it under the terms of the gnu general public licen[cs]e"),
+    ("gpl-2", "option", r"gnu general public licen[cs]e as published by the free software foundation[;,] either version 2 of the licen[cs]e, or \(at your option\) any later version"),
+    ("gpl-3", "option", r"gnu general public licen[cs]e as published by the free software foundation, either version 3 of the licen[cs]e, or \(at your option\) any later version"),
+    ("gpl", "merchantability", r"without even the implied warranty of merchantability or fitness for a particular purpose\. see the gnu general public licen[cs]e"),
+    ("gpl", "received", r"you should have received a copy of the gnu general public licen[cs]e along with this program"),
+    ("gpl", "gnu.org/licenses/gpl", r"gnu\.org/licenses/gpl(?:-[123]\.0)?(?:\.html|\.txt)?"),
+    ("gpl-2", "gnu.org/licenses/old-licenses/gpl-2", r"gnu\.org/licenses/old-licenses/gpl-2\.0"),
+    ("gpl-2-classpath", "classpath", r"gpl[\s-]?v?2(?:\.0)? with(?: the)? classpath exception"),
+    ("gpl-2-classpath", "classpath", r"linking this library statically or dynamically with other modules .{1,200}?classpath"),
+    ("gpl-3", "copyleft", r"the gnu general public license is a free, copyleft license for software and other kinds of works"),
+    ("gpl-2", "whole", r"gnu general public license terms and conditions for copying, distribution and modification"),
+    ("lgpl", "redistribute", r"this library is free software[:;,]? you can redistribute it and/or modify it under the terms of the gnu (?:lesser|library) general public licen[cs]e"),
+    ("lgpl", "received", r"you should have received a copy of the gnu (?:lesser|library) general public licen[cs]e"),
+    ("lgpl", "gnu.org/licenses/lgpl", r"gnu\.org/licenses/lgpl(?:-[23]\.[01])?"),
+    ("lgpl-3", "incorporates", r"this version of the gnu lesser general public license incorporates the terms and conditions of version 3"),
+    ("agpl-3", "network", r"remote network interaction; use with the gnu general public license"),
+    ("agpl-3", "gnu.org/licenses/agpl", r"gnu\.org/licenses/agpl(?:-3\.0)?"),
+    ("agpl-3", "affero", r"either version 3 of the licen[cs]e, or \(at your option\) any later version.{1,300}?affero general public licen[cs]e"),
+    ("gfdl", "invariant", r"with no invariant sections, (?:with )?no front-cover texts,? and (?:with )?no back-cover texts"),
+    ("gfdl", "document", r"permission is granted to copy, distribute and/or modify this document under the terms of the gnu free documentation licen[cs]e"),
+    ("mpl-1.0", "mozilla.org/npl", r"mozilla\.org/npl"),
+    ("mpl-1.1", "mozilla", r"the contents of this file are subject to the mozilla public licen[cs]e version 1\.1"),
+    ("mpl-1.1", "mozilla.org/mpl/mpl-1.1", r"mozilla\.org/mpl/mpl-1\.1"),
+    ("mpl-2.0", "source", r"this source code form is subject to the terms of the mozilla public licen[cs]e, v\. 2\.0"),
+    ("mpl-2.0", "incompatible", r"this source code form is \W?incompatible with secondary licenses\W?"),
+    ("epl-1.0", "eclipse.org/legal/epl-v10", r"eclipse\.org/legal/epl-v10"),
+    ("epl-2.0", "eclipse.org/legal/epl", r"eclipse\.org/legal/epl-(?:v20|2\.0)"),
+    ("epl", "accompanying", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e"),
+    ("edl-1.0", "eclipse", r"\beclipse distribution licen[cs]e\b"),
+    ("cddl-1.0", "common", r"the contents of this file are subject to the terms of the common development and distribution licen[cs]e"),
+    ("cddl-1.0", "opensource.org/licenses/cddl", r"opensource\.org/licenses/cddl-?1(?:\.0)?"),
+    ("cpl-1.0", "accompanying", r"this program and the accompanying materials are made available under the terms of the common public licen[cs]e"),
+    ("eupl", "licensor", r"licensed under the eupl,? version 1\.[012]"),
+    ("artistic-1", "package", r"the intent of this document is to state the conditions under which a package may be copied"),
+    ("artistic-2", "artistic", r"everyone is permitted to copy and distribute verbatim copies of this license document.{1,200}?the artistic license 2\.0"),
+    ("perl", "perl", r"(?:free software; )?you (?:can|may) (?:re)?distribute it and/or modify it under the same terms as perl itself"),
+    ("bsl-1.0", "boost.org/license", r"boost\.org/licen[cs]e_1_0\.txt"),
+    ("bsl-1.0", "accompanying", r"distributed under the boost software licen[cs]e, version 1\.0"),
+    ("bsl-1.0", "organization", r"permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("zlib", "origin", r"the origin of this software must not be misrepresented; you must not claim that you wrote the original software"),
+    ("zlib", "altered", r"altered source versions must be plainly marked as such, and must not be misrepresented as being the original software"),
+    ("zlib", "granted", r"permission is granted to anyone to use this software for any purpose, including commercial applications"),
+    ("libpng", "png", r"\blibpng versions? .{1,60}?are copyright"),
+    ("unlicense", "unencumbered", r"this is free and unencumbered software"),
+    ("unlicense", "dedicate", r"dedicate any and all copyright interest in the software to the public domain"),
+    ("unlicense", "unlicense.org", r"unlicense\.org"),
+    ("wtfpl", "fuck", r"do what the fuck you want to public licen[cs]e"),
+    ("wtfpl", "wtfpl.net", r"wtfpl\.net"),
+    ("cc0", "waived", r"to the extent possible under law, .{1,120}? (?:has|have) waived all copyright and related or neighboring rights"),
+    ("cc0", "cc0", r"cc0 1\.0 universal"),
+    ("cc-by", "attribution", r"creative commons attribution(?: [1-4]\.[05])?(?: international| unported| generic)? (?:public )?licen[cs]e"),
+    ("cc-by-sa", "sharealike", r"creative commons attribution[\s-]+share\s?alike(?: [1-4]\.[05])?"),
+    ("cc-by-sa", "share", r"creative commons attribution[\s-]+share[\s-]alike(?: [1-4]\.[05])?"),
+    ("cc-by-nd", "derivs", r"creative commons attribution[\s-]+no[\s-]?deriv(?:ative)?s"),
+    ("cc-by-nd", "derivatives", r"creative commons attribution[\s-]+no[\s-]?derivatives"),
+    ("cc-by-nc", "commercial", r"creative commons attribution[\s-]+non[\s-]?commercial(?! ?-? ?(?:share|no))"),
+    ("cc-by-nc-sa", "share", r"creative commons attribution[\s-]+non[\s-]?commercial[\s-]+share[\s-]?alike"),
+    ("cc-by-nc-nd", "deriv", r"creative commons attribution[\s-]+non[\s-]?commercial[\s-]+no[\s-]?deriv"),
+    ("creative-commons", "reserved", r"some rights reserved"),
+    ("odbl", "opendatacommons.org/licenses/odbl", r"opendatacommons\.org/licenses/odbl"),
+    ("odc-by", "opendatacommons.org/licenses/by", r"opendatacommons\.org/licenses/by"),
+    ("pddl", "opendatacommons.org/licenses/pddl", r"opendatacommons\.org/licenses/pddl"),
+    ("pddl", "dedication", r"public domain dedication and licen[cs]e"),
+    ("ofl-1.1", "scripts.sil.org/ofl", r"scripts\.sil\.org/ofl"),
+    ("ofl-1.1", "reserved", r"with reserved font name"),
+    ("python-2.0", "python", r"this licen[cs]e agreement is between the python software foundation"),
+    ("ruby", "ruby", r"(?:under|on) the same terms as ruby(?: itself)?"),
+    ("php-3", "php.net/license", r"php\.net/license/3_0"),
+    ("php-3", "php", r"this product includes php(?: software)?, freely available from"),
+    ("openssl", "openssl", r"this product includes software developed by the openssl project"),
+    ("ssleay", "eric", r"this product includes cryptographic software written by eric young"),
+    ("postgresql", "paragraphs", r"permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted"),
+    ("sspl", "mongodb.com/licensing", r"mongodb\.com/licensing/server-side-public-license"),
+    ("sspl", "service", r"offering the program as a service"),
+    ("busl-1.1", "change", r"change license: .{1,80}"),
+    ("busl-1.1", "additional", r"additional use grant:"),
+    ("elastic-2.0", "elastic.co/licensing", r"elastic\.co/licensing/elastic-license"),
+    ("elastic-2.0", "hosted", r"you may not provide the software to third parties as a hosted or managed service"),
+    ("commons-clause", "sell", r"the grant of rights under the license will not include,? and the license does not grant to you,? the right to sell the software"),
+    ("ms-pl", "contributor", r"each contributor grants you a non-exclusive, worldwide, royalty-free copyright license"),
+    ("ncsa", "illinois", r"permission is hereby granted, free of charge, .{1,200}?the names of .{1,60}?university of illinois"),
+    ("vim", "vim", r"there are no restrictions on (?:using, )?distributing unmodified copies of vim"),
+    ("x11", "consortium", r"x consortium be liable for any claim"),
+    ("hpnd", "historical", r"historical permission notice and disclaimer"),
+    ("beerware", "beer", r"\bbeer-?ware licen[cs]e\b"),
+    ("beerware", "beer", r"you can buy me a beer in return"),
+    ("json", "evil", r"the software shall be used for good, not evil"),
+    ("curl", "curl", r"\bcurl licen[cs]e\b"),
+    ("ftl", "freetype", r"\bfreetype (?:project )?licen[cs]e\b"),
+    ("ijg", "jpeg", r"this software is based in part on the work of the independent jpeg group"),
+    ("icu", "icu", r"\bicu licen[cs]e\b"),
+    ("unicode", "unicode.org/copyright", r"unicode\.org/copyright"),
+    ("unicode", "unicode", r"unicode, inc\. licen[cs]e agreement"),
+    ("w3c", "w3.org/consortium/legal", r"w3\.org/consortium/legal"),
+    ("w3c", "w3c", r"\bw3c (?:software|document) (?:notice and )?licen[cs]e\b"),
+    ("bittorrent", "bittorrent", r"\bbittorrent open source licen[cs]e\b"),
+    ("ecl-2.0", "educational", r"\beducational community licen[cs]e\b"),
+    ("sleepycat", "sleepycat", r"\bsleepycat licen[cs]e\b"),
+    ("qpl", "q public", r"\bq public licen[cs]e\b"),
+    ("zpl", "zope", r"\bzope public licen[cs]e\b"),
+    ("lppl", "latex", r"\blatex project public licen[cs]e\b"),
+    ("nasa", "nasa", r"\bnasa open source agreement\b"),
+    ("nposl", "non-profit open", r"\bnon-profit open software licen[cs]e\b"),
+    ("etalab", "etalab", r"\b(?:licence ouverte|open licen[cs]e)\W+etalab\b"),
+    ("ogl-uk", "government", r"\bopen government licen[cs]e\b"),
+    ("ogl-uk", "nationalarchives.gov.uk/doc/open", r"nationalarchives\.gov\.uk/doc/open-government-licen[cs]e"),
+    ("cdla", "community", r"\bcommunity data licen[cs]e agreement\b"),
+    ("cdla", "cdla", r"\bcdla[\s-](?:permissive|sharing)\b"),
+    ("openrail", "restrictions", r"use[\s-]based restrictions"),
+    ("llama", "llama", r"\bllama [23](?:\.\d)? community licen[cs]e\b"),
+    ("gemma", "gemma", r"\bgemma terms of use\b"),
+    ("proprietary", "unauthorized", r"unauthorized (?:copying|reproduction|use|distribution) of (?:this|the) .{1,60}?(?:is )?(?:strictly )?prohibited"),
+    ("proprietary", "confidential", r"confidential and proprietary"),
+    ("proprietary", "evaluation", r"for evaluation purposes only"),
+    ("non-commercial", "commercial", r"for (?:personal|academic|research|educational)(?:,| and| or)? non[\s-]?commercial use only"),
+    ("non-commercial", "commercial", r"not for commercial use"),
+    ("public-domain", "dedicated", r"(?:hereby )?dedicated to the public domain"),
+    ("public-domain", "disclaims", r"the author(?:s)? (?:hereby )?disclaims? copyright to this source code"),
+]
+
+
+def _kind(keyword: str) -> str:
+    """The literal of ``HINTS`` that the keyword holds; a keyword that holds none is its own hint."""
+    return next((h for h in HINTS if h in keyword), keyword)
+
+
 def rules() -> list[dict]:
     """The rules in order: label, kind, keyword, priority and pattern."""
     out = []
@@ -127,44 +288,40 @@ def rules() -> list[dict]:
         for x in ids:
             out.append({"label": label, "kind": "tag", "kw": x, "priority": 100, "rx": rf"spdx-licen[cs]e-identifier:\s*{x.replace('.', '[.]')}(?![\w.-])"})
         if own:
-            out.append({"label": label, "kind": "", "kw": own_key, "priority": 90, "rx": own})
-        out.append({"label": label, "kind": "grant", "kw": key, "priority": 80, "rx": rf"(?:licen[cs]ed|released|distributed|available|published|provided|free)\s+under\s+(?:the\s+)?(?:terms\s+of\s+)?(?:the\s+)?(?:gnu\s+)?(?:{name})"})
-        out.append({"label": label, "kind": "cc" if name.startswith(KINDS["cc"]) else "named" if all(KINDS["named"] in x for x in name.split(r"|\b")) else "", "kw": key, "priority": 60, "rx": name})
+            out.append({"label": label, "kind": _kind(own_key), "kw": own_key, "priority": 90, "rx": own})
+        out.append({"label": label, "kind": "grant", "kw": key, "priority": 80, "rx": rf"{GRANT[:-2]}\s+(?:the\s+)?(?:terms\s+of\s+)?(?:the\s+)?(?:gnu\s+)?(?:{name})"})
+        out.append({"label": label, "kind": "cc" if name.startswith(KINDS["cc"][1]) else "named" if all("licen[cs]e" in x for x in name.split(r"|\b")) else _kind(key), "kw": key, "priority": 60, "rx": name})
+    for label, key, phrase in TEXTS:
+        out.append({"label": label, "kind": _kind(key), "kw": key, "priority": 90, "rx": phrase.replace(" ", r"\s+")})
     for phrase, label in BASE:
         gap = "[^a-z0-9\\x80-\\x{10FFFF}]+"
         out.append({"label": label, "kind": "base", "kw": phrase.split()[-2], "priority": 70, "rx": r"(?<![a-z0-9\x80-\x{10FFFF}])" + gap.join(phrase.split()) + r"(?![a-z0-9\x80-\x{10FFFF}])"})
     return out
 
 
-def _any(literals: list[str]) -> str:
-    """A pattern of any of the literals, those with the same first letter together."""
-    return "|".join(re.escape(c) + "(?:" + "|".join(re.escape(x[1:]) for x in literals if x[0] == c) + ")" for c in sorted({x[0] for x in literals}))
-
-
-def _places(low: Column, rule: Column) -> Column:
-    """array<struct<start, end, priority, ord, label>> of a rule's matches."""
-    empty = F.array().cast("array<struct<start:int,end:int,priority:int,label:string>>")
-    gaps = F.transform(F.split(low, rule["rx"], -1), F.length)
-    hits = F.transform(F.regexp_extract_all(low, rule["rx"], F.lit(0)), lambda h, i: F.struct(F.get(gaps, i).alias("gap"), F.length(h).alias("size")))
+def _standing(spans: Column, priorities: list[int]) -> Column:
+    """Places (start, end, priority, rule, label) without those inside another one of at least their priority.
 
-    def step(acc: Column, hit: Column) -> Column:
-        begin = acc["at"] + hit["gap"]
-        one = F.struct(begin.alias("start"), (begin + hit["size"]).alias("end"), rule["priority"].alias("priority"), rule["label"].alias("label"))
-        return F.struct((begin + hit["size"]).alias("at"), F.concat(acc["found"], F.array(one)).alias("found"))
+    In order of start, longest and highest first, whatever covers a place stands before it: it is covered if
+    an earlier end of at least its priority reaches its own.
+    """
+    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), (-s["priority"]).alias("low"), s["rule"].alias("rule"), s["label"].alias("label"))))
 
-    return F.aggregate(hits, F.struct(F.lit(0).alias("at"), empty.alias("found")), step, lambda acc: acc["found"])
+    def reach(s: Column) -> Column:
+        ends = lambda p: F.transform(s, lambda x: F.when(-x["low"] >= p, -x["back"]).otherwise(-1))
+        return F.struct(s.alias("s"), *(let(ends(p), lambda x: running(x, F.greatest)).alias(f"p{p}") for p in priorities))
 
+    def kept(t: Column) -> Column:
+        def before(x: Column, i: Column) -> Column:
+            out = F.lit(-1)
+            for p in priorities:
+                out = F.when(-x["low"] == p, F.coalesce(F.get(t[f"p{p}"], i - 1), F.lit(-1))).otherwise(out)
+            return out
 
-def _standing(spans: Column) -> Column:
-    """Without the places that lie inside another one of at least their priority."""
-    at = F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["priority"].alias("priority"), s["label"].alias("label"), i.alias("i")))
+        left = F.filter(t["s"], lambda x, i: before(x, i) < -x["back"])
+        return F.transform(left, lambda x: F.struct(x["start"].alias("start"), (-x["back"]).alias("end"), (-x["low"]).alias("priority"), x["rule"].alias("rule"), x["label"].alias("label")))
 
-    def covers(o: Column, s: Column) -> Column:
-        inside = (o["start"] <= s["start"]) & (o["end"] >= s["end"])
-        equal = (o["start"] == s["start"]) & (o["end"] == s["end"])
-        return inside & F.when(equal, (o["priority"] > s["priority"]) | ((o["priority"] == s["priority"]) & (o["i"] < s["i"]))).otherwise(o["priority"] >= s["priority"])
-
-    return F.filter(at, lambda s: ~F.exists(at, lambda o: covers(o, s)))
+    return let(order, lambda s: let(reach(s), kept))
 
 
 def _starts(words: Column, phrase: list[str], label: str) -> Column:
@@ -184,30 +341,49 @@ def _base_places(words: Column) -> Column:
     return F.array_sort(F.concat(*(_starts(words, phrase.split(), label) for phrase, label in BASE)))
 
 
-def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with n_words, places (base: array of (word, label)), spans and score."""
-    held = F.from_json(F.lit(json.dumps(rules())), "array<struct<label:string,kind:string,kw:string,priority:int,rx:string>>")
-    low = F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER)
-    found = docs.withColumn("__low", low)
-    low = F.col("__low")
-    near = low.rlike(KINDS["base"])
-    kinds = F.array(*(F.when(low.contains(HINTS.get(kind, "")), F.when(low.rlike(rx), kind)) for kind, rx in {**KINDS, "": _any(sorted({r["kw"] for r in rules() if not r["kind"]}))}.items()))
+def _all_places(low: Column, near: Column, listed: list[dict]) -> Column:
+    """Places of all rules whose keyword and kind the text holds."""
+    held = F.from_json(F.lit(json.dumps([r | {"rule": i} for i, r in enumerate(listed)])), "array<struct<label:string,kind:string,kw:string,priority:int,rx:string,rule:int>>")
+
+    def met(t: Column, kind: str) -> Column:
+        literal, rx = KINDS.get(kind, (kind, None))
+        return F.when((t.contains(literal) if literal else F.lit(True)) & (t.rlike(rx) if rx and kind != "base" else F.lit(True)), F.lit(kind))
+
+    kinds = sorted({r["kind"] for r in listed} - {"base"})
+    known = lambda t: F.filter(F.array(*(met(t, k) for k in kinds), F.when(near, F.lit("base"))), lambda k: k.isNotNull())
+    one = lambda t: lambda r: matches(t["low"], r["rx"], lambda i, start, end, _: F.struct(start.alias("start"), end.alias("end"), r["priority"].alias("priority"), r["rule"].alias("rule"), r["label"].alias("label")))
+    runs = lambda t: F.filter(held, lambda r: F.array_contains(t["kinds"], r["kind"]) & F.contains(t["low"], r["kw"]))
+    none = F.array().cast("array<struct<start:int,end:int,priority:int,rule:int,label:string>>")
+    found = lambda t: F.when(F.size(t["kinds"]) > 0, F.flatten(F.transform(runs(t), one(t)))).otherwise(none)
+    return let(F.struct(low.alias("low"), known(low).alias("kinds")), found)
+
+
+def scan(docs: DataFrame, text: str = "text", listed: list[dict] | None = None) -> DataFrame:
+    """``docs`` with n_words, places (base: array of (word, label)), spans and score; ``listed`` replaces ``rules()``."""
+    listed = rules() if listed is None else listed
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    taken = list(docs.columns)
+
+    def name(x: str) -> str:
+        taken.append(fresh(x, taken))
+        return taken[-1]
+
+    n_words, places, spans, score, low_, near_ = map(name, ("n_words", "places", "spans", "score", "low", "near"))
+    found = docs.select(*own, F.translate(F.coalesce(F.col(f"`{text}`"), F.lit("")), UPPER, LOWER).alias(low_))
+    low = F.col(low_)
+    found = found.select("*", low.rlike(KINDS["base"][1]).alias(near_))
+    near = F.col(near_)
+    found = found.select("*", _all_places(low, near, listed).alias(spans))
+    standing = F.when(F.size(spans) > 1, _standing(F.col(spans), sorted({r["priority"] for r in listed}))).otherwise(F.col(spans))
+    found = found.select(*own, low, near, standing.alias(spans))
     words = F.filter(F.split(low, SEPARATOR, -1), lambda w: w != "")
-
     none = F.array().cast("array<struct<word:bigint,label:string>>")
-    runs = lambda t: F.filter(held, lambda r: F.coalesce(F.array_contains(t["kinds"], r["kind"]), F.lit(False)) & F.contains(t["low"], r["kw"]))
-    # As an element of an array the lower-cased text and its kinds are made once a text, not once a rule.
-    once = F.array(F.struct(low.alias("low"), kinds.alias("kinds")))
-    spans = F.flatten(F.flatten(F.transform(once, lambda t: F.transform(runs(t), lambda r: _places(t["low"], r)))))
-    found = found.withColumn("__words", F.when(near, words)).withColumn("__spans", spans)
-    no_spans = F.array().cast("array<struct<start:int,end:int,priority:int,label:string,i:int>>")
-    found = found.withColumn("__spans", F.when(F.size("__spans") > 0, _standing(F.col("__spans"))).otherwise(no_spans))
     return found.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        F.regexp_count(low, F.lit(WORD)).cast("long").alias("n_words"),
-        F.when(near, _base_places(F.col("__words"))).otherwise(none).alias("places"),
-        F.col("__spans").alias("spans"),
-        (F.coalesce(F.array_max(F.transform("__spans", lambda s: s["priority"])), F.lit(0)) / 100.0).cast("double").alias("score"),
+        *own,
+        F.regexp_count(low, F.lit(WORD)).cast("long").alias(n_words),
+        F.when(near, let(words, _base_places)).otherwise(none).alias(places),
+        F.col(spans),
+        (F.coalesce(F.array_max(F.transform(spans, lambda s: s["priority"])), F.lit(0)) / 100.0).cast("double").alias(score),
     )
 
 

@@ -12,7 +12,8 @@ many sites, by a sort-merge join on the site whose skew AQE splits. The texts ar
 Defined results: null or empty text has no lines and stays as it is; a null host is no site, its pages
 stay as they are; lines are compared without surrounding blanks, tabs and carriage returns; blank lines
 are kept and never counted; a line twice on a page counts once; repeated rows count as pages of their
-own; other columns pass through untouched, whatever their names.
+own; other columns pass through untouched, and where one is called ``n_lines`` or ``n_dropped`` already, the new one
+gets an underscore after its name.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rootspan.llm.tasks import fresh
 from rootspan.scratch import settle
 
 #: In the middle of the gap measured on sf0.1: the site-wide line has 0.086 or more of a host's pages, all others 0.048 or less.
@@ -45,7 +47,7 @@ def _filled(line: Column) -> Column:
 
 def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, pages, lines): the hashes of each site's boilerplate lines."""
-    pages = docs.select(F.col(host).alias("host"), F.col(text).alias("text")).where("host IS NOT NULL")
+    pages = docs.select(F.col(f"`{host}`").alias("host"), F.col(f"`{text}`").alias("text")).where("host IS NOT NULL")
     total = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     each = (
         pages.where("text IS NOT NULL")
@@ -65,15 +67,17 @@ def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio
 def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, counts: bool = False) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``; with ``counts`` also n_lines and n_dropped."""
     found = settle(boilerplate(docs, host, text, ratio, min_pages), "boilerplate")
-    found = found.select(F.col("host").alias("__host"), F.col("lines").alias("__drop"))
-    joined = docs.join(found, F.col(host) == F.col("__host"), "left")
-    kept = F.filter(_lines(F.col(text)), lambda line: ~(_filled(line) & F.array_contains(F.col("__drop"), _key(line))))
-    clean = F.when(F.col("__drop").isNull() | F.col(text).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
+    site, bad = fresh("site", docs.columns), fresh("bad", docs.columns)
+    found = found.select(F.col("host").alias(site), F.col("lines").alias(bad))
+    joined = docs.join(found, F.col(f"`{host}`") == F.col(site), "left")
+    body, drop = F.col(f"`{text}`"), F.col(bad)
+    kept = F.filter(_lines(body), lambda line: ~(_filled(line) & F.array_contains(drop, _key(line))))
+    clean = F.when(drop.isNull() | body.isNull(), body).otherwise(F.array_join(kept, "\n"))
     out = [clean.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
     if counts:
-        n = F.when(F.coalesce(F.col(text), F.lit("")) == "", 0).otherwise(F.size(_lines(F.col(text))))
-        left = F.when(F.col("__drop").isNull() | (F.coalesce(F.col(text), F.lit("")) == ""), n).otherwise(F.size(kept))
-        out += [n.cast("long").alias("n_lines"), (n - left).cast("long").alias("n_dropped")]
+        n = F.when(F.coalesce(body, F.lit("")) == "", 0).otherwise(F.size(_lines(body)))
+        left = F.when(drop.isNull() | (F.coalesce(body, F.lit("")) == ""), n).otherwise(F.size(kept))
+        out += [n.cast("long").alias(fresh("n_lines", docs.columns)), (n - left).cast("long").alias(fresh("n_dropped", docs.columns))]
     return joined.select(*out)
 
 
