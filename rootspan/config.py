@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 
 @dataclass(frozen=True)
 class StaticConfig:
-    """Parameters of a one-off placement."""
+    """Parameters of a one-off placement; ``merge_by`` is ``vertices`` or ``classes``."""
 
     k: int = 10
     alpha: float = 0.8
@@ -16,6 +16,7 @@ class StaticConfig:
     weight_mode: str = "sum"
     type_predicate: int | None = None
     excluded_objects: tuple[int, ...] = ()
+    merge_by: str = "vertices"
     input: str | None = None
     output: str | None = None
 
@@ -44,6 +45,7 @@ class EvolutionConfig:
     weight_mode: str = "normalised"
     type_predicate: int | None = 0
     excluded_objects: tuple[int, ...] = (37,)
+    merge_by: str = "classes"
 
     @classmethod
     def from_args(cls, args: list[str]) -> EvolutionConfig:

@@ -7,40 +7,58 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rootspan.scratch import settle
+from rootspan.scratch import drop_table, settle, settle_counted
 
 _COMPACT = 12
 
 
-def propagate(edge: DataFrame, seeds: DataFrame, max_rounds: int | None = None) -> DataFrame:
-    """(v, st): every pair of ``seeds`` carried along the edges to all that can be reached.
-
-    Each round joins only the pairs found in the round before and keeps those not seen yet, so cycles
-    end. Rounds are written to the shared folder, which keeps plans short and survives lost executors.
-    """
-    step = edge.distinct()
-    frontier = settle(seeds.select("v", "st").distinct(), "reach")
+def spread(step: DataFrame, seeds: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """``propagate`` over edges that are distinct and settled already."""
+    frontier, n = settle_counted(seeds.select("v", "st").distinct(), "reach")
     parts, rounds = [frontier], 0
-    while frontier.head(1) and (max_rounds is None or rounds < max_rounds):
+    while n and (max_rounds is None or rounds < max_rounds):
         moved = frontier.join(step, F.col("v") == F.col("src")).select(F.col("dst").alias("v"), "st").distinct()
-        frontier = settle(moved.join(reduce(DataFrame.unionAll, parts), ["v", "st"], "left_anti"), "reach")
-        parts.append(frontier)
+        frontier, n = settle_counted(moved.join(reduce(DataFrame.unionAll, parts), ["v", "st"], "left_anti"), "reach")
+        if n:
+            parts.append(frontier)
         if len(parts) >= _COMPACT:
-            parts = [settle(reduce(DataFrame.unionAll, parts), "reach")]
+            whole = settle(reduce(DataFrame.unionAll, parts), "reach")
+            for part in parts[:-1]:
+                drop_table(part)
+            parts = [whole]
         rounds += 1
     return reduce(DataFrame.unionAll, parts)
 
 
+def propagate(edge: DataFrame, seeds: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """(v, st): every pair of ``seeds`` carried along the edges to all that can be reached.
+
+    The distinct edges are written once. Each round joins only the pairs found in the round before and
+    keeps those not seen yet, so cycles end. Rounds are written to the shared folder, which keeps plans
+    short and survives lost executors.
+    """
+    step = settle(edge.distinct(), "steps")
+    found = spread(step, seeds, max_rounds)
+    drop_table(step)
+    return found
+
+
 def min_ancestor(edge: DataFrame, of: DataFrame) -> DataFrame:
     """(v, m): the smallest vertex that reaches v, v itself included, for the vertices of ``of``.
 
     ``of`` must hold every ancestor of its vertices.
     """
-    label = settle(of.select("v", F.col("v").alias("m")), "ancestor")
+    step = settle(edge.distinct(), "steps")
+    label, n = settle_counted(of.select("v", F.col("v").alias("m")), "ancestor")
     frontier = label
-    while frontier.head(1):
-        offer = frontier.join(edge, F.col("v") == F.col("src")).groupBy(F.col("dst").alias("v")).agg(F.min("m").alias("n"))
-        frontier = settle(label.join(offer, "v").where("n < m").select("v", F.col("n").alias("m")), "ancestor")
-        better = frontier.withColumnRenamed("m", "n")
-        label = settle(label.join(better, "v", "left").select("v", F.coalesce("n", "m").alias("m")), "ancestor")
+    while n:
+        offer = frontier.join(step, F.col("v") == F.col("src")).groupBy(F.col("dst").alias("v")).agg(F.min("m").alias("n"))
+        better, n = settle_counted(label.join(offer, "v").where("n < m").select("v", F.col("n").alias("m")), "ancestor")
+        newer = settle(label.join(better.withColumnRenamed("m", "n"), "v", "left").select("v", F.coalesce("n", "m").alias("m")), "ancestor")
+        for table in {id(x): x for x in (label, frontier)}.values():
+            drop_table(table)
+        label, frontier = newer, better
+    if frontier is not label:
+        drop_table(frontier)
+    drop_table(step)
     return label

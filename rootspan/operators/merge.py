@@ -3,18 +3,21 @@
 Whether a set merges depends on all that merged before it, so the fold is sequential. What reaches the
 driver is streamed in order with ``toLocalIterator`` (one partition at a time) and is as small as the fold
 allows: sets of one start change nothing and equal sets are one row, the first in order. The driver keeps one
-number for each start that has merged and nothing for the others.
+number for each start that has merged and nothing for the others. Packing takes the sizes of groups of several
+to the driver in the same way; groups of one are dealt out in Spark by arithmetic on their number.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterable
+from collections.abc import Hashable, Iterable
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rootspan.operators.numbering import numbered
 from rootspan.operators.starts import as_arrays
 
 
@@ -47,6 +50,14 @@ class Groups:
         self.size[a] = self.size.get(a, 1) + self.size.get(b, 1)
         return a
 
+    def seat(self, x: int, size: int, part: int) -> int:
+        """Make ``x`` known as a group of that size on that partition (below 0: none yet), unless it is known."""
+        if x not in self.size and x not in self.parent:
+            self.size[x] = size
+            if part >= 0:
+                self.part[x] = part
+        return x
+
     def mark(self) -> int:
         return len(self.log)
 
@@ -88,19 +99,30 @@ class Groups:
         return {x: min(r, *xs) for r, xs in roots.items() for x in (r, *xs)}
 
 
+#: Arrow types of the columns that come from the driver.
+_KINDS = {"bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+
+
+def of_driver(spark: SparkSession, schema: str, rows: Iterable[tuple]) -> DataFrame:
+    """A DataFrame of driver rows, sent as Arrow columns."""
+    names, kinds = zip(*(field.split() for field in schema.split(", ")))
+    columns = list(zip(*rows)) or [[]] * len(names)
+    return spark.createDataFrame(pa.table([pa.array(c, _KINDS[k]) for c, k in zip(columns, kinds)], names=list(names)), schema)
+
+
 def cap_of(sets: DataFrame, k: int) -> int:
     """Most starts in a group: the ceiling of starts over partitions."""
     return math.ceil(sets.select("st").distinct().count() / k)
 
 
 def merge_order(sets: DataFrame, weight: DataFrame) -> DataFrame:
-    """(v, w, starts) by weight, heaviest first, then by vertex."""
-    return as_arrays(sets).join(weight.select("v", "w"), "v").select("v", "w", "starts").orderBy(F.desc("w"), "v")
+    """(n, v, w, starts): vertices numbered from 1 by weight, heaviest first, then by id."""
+    rows = as_arrays(sets).join(weight.select("v", "w"), "v").select("v", "w", "starts")
+    return numbered(rows, F.desc("w"), F.col("v")).select((F.col("n") + 1).alias("n"), "v", "w", "starts")
 
 
 def _with_singles(sets: DataFrame, groups: Groups) -> DataFrame:
-    spark, found = sets.sparkSession, groups.merged()
-    merged = spark.createDataFrame(list(found.items()), "st bigint, grp bigint")
+    merged = of_driver(sets.sparkSession, "st bigint, grp bigint", groups.merged().items())
     return sets.select("st").distinct().join(merged, "st", "left").select("st", F.coalesce("grp", "st").alias("grp"))
 
 
@@ -114,29 +136,35 @@ def merge_vertices(sets: DataFrame, weight: DataFrame, k: int) -> DataFrame:
     return _with_singles(sets, groups)
 
 
-def merge_classes(sets: DataFrame, members: DataFrame, means: DataFrame, k: int, literals: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(st, grp) and (class_id, merged): all members of a class merge, or the class is taken back.
+def merge_classes(sets: DataFrame, members: DataFrame, means: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(st, grp) and (class_id, literal, merged): all members of a class merge, or the class is taken back.
 
-    Classes come by mean weight, lightest first, then by id. ``literals`` (v, w): vertices that follow as
-    transactions of their own, in the same order.
+    Classes come by mean weight, lightest first, then by id. A member that is its own class is a literal:
+    literals follow, each as a transaction of its own, in the same order. A class without a vertex is no row.
     """
-    spark, cap, groups = sets.sparkSession, cap_of(sets, k), Groups()
-    own = members.join(as_arrays(sets), F.col("id") == F.col("v")).join(means, "class_id")
-    rows = own.select("avg_w", "class_id", "starts").distinct().orderBy("avg_w", "class_id", "starts")
-    verdict: dict[int, bool] = {}
-    current, mark = None, 0
-    for row in rows.toLocalIterator():
-        if row["class_id"] != current:
-            current, mark = row["class_id"], groups.mark()
-            verdict[current] = True
-        if verdict[current] and not groups.merge(row["starts"], cap):
-            verdict[current] = False
+    cap, groups = cap_of(sets, k), Groups()
+    own = members.join(as_arrays(sets), F.col("id") == F.col("v")).join(means, "class_id").withColumn("literal", F.col("id") == F.col("class_id"))
+    rows = own.select("literal", "avg_w", "class_id", "starts").distinct().orderBy("literal", "avg_w", "class_id", "starts")
+    steps = (((r["class_id"], r["literal"]), r["starts"]) for r in rows.toLocalIterator())
+    verdict = transact(groups, steps, cap)
+    return _with_singles(sets, groups), of_driver(sets.sparkSession, VERDICT, [(*key, good) for key, good in verdict.items()])
+
+
+#: Columns of what became of classes and literals.
+VERDICT = "class_id bigint, literal boolean, merged boolean"
+
+
+def transact(groups: Groups, steps: Iterable[tuple[Hashable, list[int]]], cap: int) -> dict[Hashable, bool]:
+    """Merge the sets that come, key by key; a key of which one set does not fit is taken back whole."""
+    verdict: dict[Hashable, bool] = {}
+    mark = 0
+    for key, starts in steps:
+        if key not in verdict:
+            verdict[key], mark = True, groups.mark()
+        if verdict[key] and not groups.merge(starts, cap):
+            verdict[key] = False
             groups.undo(mark)
-    if literals is not None:
-        alone = as_arrays(sets).where(F.size("starts") > 1).join(literals, "v").join(members.select(F.col("id").alias("v")), "v", "left_anti")
-        for row in alone.groupBy("starts").agg(F.min(F.struct("w", "v")).alias("at")).orderBy("at").select("starts").toLocalIterator():
-            groups.merge(row["starts"], cap)
-    return _with_singles(sets, groups), spark.createDataFrame(list(verdict.items()), "class_id bigint, merged boolean")
+    return verdict
 
 
 def group_sizes(groups: DataFrame) -> DataFrame:
@@ -145,20 +173,47 @@ def group_sizes(groups: DataFrame) -> DataFrame:
 
 
 def assign_largest_first(sizes: Iterable[tuple[int, int]], k: int, loads: dict[int, int] | None = None) -> dict[int, int]:
-    """Group -> partition: (group, size) in order of size, then id, each onto the least loaded partition."""
-    heap = [((loads or {}).get(p, 0), p) for p in range(k)]
+    """Group -> partition: (group, size) in order of size, then id, each onto the least loaded partition.
+
+    ``loads`` are the partitions' loads before, and after it.
+    """
+    loads = {} if loads is None else loads
+    heap = [(loads.get(p, 0), p) for p in range(k)]
     heapq.heapify(heap)
     out = {}
     for grp, n in sizes:
         load, p = heapq.heappop(heap)
         out[grp] = p
+        loads[p] = load + n
         heapq.heappush(heap, (load + n, p))
     return out
 
 
+def deal_singles(singles: DataFrame, by: str, k: int, loads: dict[int, int]) -> DataFrame:
+    """``singles`` with part: rows of size one in order of ``by``, each onto the least loaded partition.
+
+    Partition p offers a place at each level from its load up; places are taken by level, then by p. Between
+    two loads that follow one another the same partitions offer places, so the n-th row's place is a division.
+    """
+    order = sorted((loads.get(p, 0), p) for p in range(k))
+    tiers, first = [], 0
+    for m in range(1, k + 1):
+        if m == k or order[m][0] > order[m - 1][0]:
+            room = (order[m][0] - order[m - 1][0]) * m if m < k else None
+            tiers.append((first, sorted(p for _, p in order[:m])))
+            first += room or 0
+    rows, part = numbered(singles, by, to="place"), None
+    for first, open_ in tiers:  # k tiers at most
+        own = F.get(F.array(*map(F.lit, open_)), F.pmod(F.col("place") - first, F.lit(len(open_))).cast("int"))
+        part = own if part is None else F.when(F.col("place") >= first, own).otherwise(part)
+    return rows.withColumn("part", part.cast("int")).drop("place")
+
+
 def pack(groups: DataFrame, k: int, loads: dict[int, int] | None = None) -> DataFrame:
     """(st, part): groups on partitions, the largest first onto the least loaded, ties to the lower id."""
-    spark = groups.sparkSession
-    sizes = ((r["grp"], r["n"]) for r in group_sizes(groups).orderBy(F.desc("n"), "grp").toLocalIterator())
-    placed = spark.createDataFrame(list(assign_largest_first(sizes, k, loads).items()), "grp bigint, part int")
-    return groups.join(placed, "grp").select("st", "part")
+    held, sizes = dict(loads or {}), group_sizes(groups)
+    several = sizes.where("n > 1").orderBy(F.desc("n"), "grp")
+    dealt = assign_largest_first(((r["grp"], r["n"]) for r in several.toLocalIterator()), k, held)
+    placed = of_driver(groups.sparkSession, "grp bigint, part int", dealt.items())
+    singles = sizes.where("n = 1").select("grp")
+    return groups.join(placed.unionAll(deal_singles(singles, "grp", k, held).select("grp", "part")), "grp").select("st", "part")

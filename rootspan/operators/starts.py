@@ -5,33 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rootspan.operators.fixpoint import min_ancestor, propagate
+from rootspan.operators.fixpoint import min_ancestor, spread
 from rootspan.operators.graph import start_vertices, vertices
-from rootspan.scratch import settle
+from rootspan.scratch import drop_table, settle, settle_counted
 
 CYCLE_RULES = ("min", "self")
 
 
 def _with_cycles(edge: DataFrame, reached: DataFrame, cycle_rule: str) -> DataFrame:
-    """Add what vertices that no source reaches contribute: their smallest ancestor, or themselves."""
+    """Add what vertices that no source reaches contribute: their smallest ancestor, or themselves.
+
+    ``edge`` is distinct and settled.
+    """
     if cycle_rule not in CYCLE_RULES:
         raise ValueError(f"unknown cycle rule {cycle_rule}")
-    rest = settle(vertices(edge).join(reached.select("v").distinct(), "v", "left_anti"), "sourceless")
-    if not rest.head(1):
+    rest, n = settle_counted(vertices(edge).join(reached.select("v").distinct(), "v", "left_anti"), "sourceless")
+    if not n:
         return reached
     if cycle_rule == "self":
         seeds = rest.select("v", F.col("v").alias("st"))
     else:
         # Every ancestor of a sourceless vertex is sourceless.
         inside = edge.join(rest.withColumnRenamed("v", "src"), "src", "left_semi")
-        seeds = min_ancestor(inside.join(rest.withColumnRenamed("v", "dst"), "dst", "left_semi").select("src", "dst").distinct(), rest).select("v", F.col("m").alias("st"))
-    return reached.unionAll(propagate(edge, seeds))
+        seeds = min_ancestor(inside.join(rest.withColumnRenamed("v", "dst"), "dst", "left_semi").select("src", "dst"), rest).select("v", F.col("m").alias("st"))
+    return reached.unionAll(spread(edge, seeds))
 
 
 def start_sets(edge: DataFrame, cycle_rule: str = "min") -> DataFrame:
     """(v, st), unique: the start set of every vertex."""
-    reached = propagate(edge, start_vertices(edge).select("v", F.col("v").alias("st")))
-    return _with_cycles(edge, reached, cycle_rule)
+    step = settle(edge.select("src", "dst").distinct(), "steps")
+    reached = spread(step, start_vertices(step).select("v", F.col("v").alias("st")))
+    sets = _with_cycles(step, reached, cycle_rule)
+    drop_table(step)
+    return sets
 
 
 def as_arrays(sets: DataFrame) -> DataFrame:
@@ -46,18 +52,25 @@ def update_start_sets(old_sets: DataFrame, old_edges: DataFrame, new_edges: Data
     the sources among them and from the unaffected vertices next to them. All other pairs with real
     sources stay. What sourceless cycles add is derived afresh; usually there are few of them.
     """
-    old, new = old_edges.distinct(), new_edges.distinct()
-    changed = old.exceptAll(new).unionAll(new.exceptAll(old)).select(F.col("dst").alias("v"), F.lit(0).cast("bigint").alias("st"))
-    affected = settle(propagate(old.unionAll(new), changed).select("v").distinct(), "affected")
+    flag = lambda edge, was, now: edge.select("src", "dst", F.lit(was).alias("was"), F.lit(now).alias("now"))
+    both = flag(old_edges, True, False).unionAll(flag(new_edges, False, True))
+    both = settle(both.groupBy("src", "dst").agg(F.bool_or("was").alias("was"), F.bool_or("now").alias("now")), "steps")
+    old, new = both.where("was").select("src", "dst"), both.where("now").select("src", "dst")
+    changed = both.where("was <> now").select(F.col("dst").alias("v"), F.lit(0).cast("bigint").alias("st"))
+    affected = settle(spread(both.select("src", "dst"), changed).select("v").distinct(), "affected")
     alive = vertices(new)
     sources = settle(start_vertices(new), "sources")
     real = old_sets.join(start_vertices(old).withColumnRenamed("v", "st"), "st", "left_semi").select("v", "st")
     kept = settle(real.join(affected, "v", "left_anti").join(alive, "v", "left_semi"), "kept")
     # A vertex that is new and no edge's end but its own start is not below a changed edge.
-    fresh = sources.join(affected.unionAll(kept.select("v")).distinct(), "v", "left_anti")
+    fresh = settle(sources.join(affected.unionAll(kept.select("v")).distinct(), "v", "left_anti"), "fresh")
     into = new.join(affected.withColumnRenamed("v", "dst"), "dst", "left_semi")
     border = into.join(kept, F.col("src") == F.col("v")).select(F.col("dst").alias("v"), "st")
     own = sources.join(affected.unionAll(fresh), "v", "left_semi").select("v", F.col("v").alias("st"))
     from_fresh = new.join(fresh, F.col("src") == F.col("v")).select(F.col("dst").alias("v"), F.col("src").alias("st"))
-    again = propagate(new.join(affected.withColumnRenamed("v", "src"), "src", "left_semi").select("src", "dst"), border.unionAll(own).unionAll(from_fresh))
-    return _with_cycles(new, kept.unionAll(again).distinct(), cycle_rule)
+    inside = settle(new.join(affected.withColumnRenamed("v", "src"), "src", "left_semi").select("src", "dst"), "inside")
+    again = spread(inside, border.unionAll(own).unionAll(from_fresh))
+    sets = _with_cycles(new, kept.unionAll(again).distinct(), cycle_rule)
+    for table in (inside, affected, fresh):
+        drop_table(table)
+    return sets

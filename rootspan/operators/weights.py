@@ -9,37 +9,46 @@ from rootspan.operators.graph import vertices
 from rootspan.scratch import settle
 
 MODES = ("sum", "normalised", "as_written")
+#: Rounds in one plan.
+_SETTLE = 6
 
 
-def _rounds(bundle: DataFrame, everyone: DataFrame, alpha: float, rounds: int, normalised: bool) -> DataFrame:
-    """(v, w): w' = 1 - alpha + alpha * incoming, where incoming is a sum, or the sum over its root of squares."""
-    w = everyone.withColumn("w", F.lit(1.0))
+def _rounds(bundle: DataFrame, alpha: float, rounds: int, normalised: bool) -> DataFrame | None:
+    """(v, w) of the vertices with an incoming edge; all others keep 1.0 for ever. None without a round.
+
+    w' = 1 - alpha + alpha * incoming, where incoming is a sum, or the sum over its root of squares. A round
+    reads the one before once, and all rounds share one exchange of ``bundle``.
+    """
+    state = None
     for k in range(rounds):
-        sent = bundle.join(w, F.col("src") == F.col("v"))
+        sent = bundle.withColumn("w", F.lit(1.0)) if state is None else bundle.join(state, F.col("src") == F.col("v"), "left").select("dst", "n", F.coalesce("w", F.lit(1.0)).alias("w"))
         total, square = F.sum(F.col("n") * F.col("w")), F.sum(F.col("n") * F.col("w") * F.col("w"))
-        got = sent.groupBy(F.col("dst").alias("to")).agg((total / F.sqrt(square) if normalised else total).alias("x"))
-        w = w.join(got, F.col("v") == F.col("to"), "left").select("v", F.when(F.col("x").isNull(), F.col("w")).otherwise(1 - alpha + alpha * F.col("x")).alias("w"))
-        if k % 3 == 2:
-            w = settle(w, "weights")
-    return w
+        got = sent.groupBy(F.col("dst").alias("v")).agg((total / F.sqrt(square) if normalised else total).alias("x"))
+        state = got.select("v", (1 - alpha + alpha * F.col("x")).alias("w"))
+        if k % _SETTLE == _SETTLE - 1 and k + 1 < rounds:
+            state = settle(state, "weights")
+    return state
 
 
-def weights(edge: DataFrame, alpha: float = 0.8, rounds: int = 5, mode: str = "sum") -> DataFrame:
+def weights(edge: DataFrame, alpha: float = 0.8, rounds: int = 5, mode: str = "sum", sides: tuple[str, ...] = ("in", "out")) -> DataFrame:
     """(v, w_in, w_out, w): in- and out-weights and their product; parallel edges count each.
 
-    ``as_written`` takes the normalised in-weight and, for the out-weight, each source's own weight: from the
-    first round on that is 1 - alpha + alpha * sqrt(out-degree), so one aggregate gives it.
+    ``sides`` names the weights wanted; w is there if both are. ``as_written`` takes the normalised in-weight
+    and, for the out-weight, each source's own weight: from the first round on that is
+    1 - alpha + alpha * sqrt(out-degree), so one aggregate gives it.
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode}")
-    bundle = edge.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
-    everyone = vertices(edge)
-    into = _rounds(bundle, everyone, alpha, rounds, mode != "sum").withColumnRenamed("w", "w_in")
-    if mode == "as_written":
-        degree = edge.groupBy(F.col("src").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-        own = F.when(F.col("n").isNull() | F.lit(rounds == 0), F.lit(1.0)).otherwise(1 - alpha + alpha * F.sqrt("n"))
-        out = everyone.join(degree, "v", "left").select("v", own.alias("w_out"))
-    else:
-        back = bundle.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-        out = _rounds(back, everyone, alpha, rounds, mode != "sum").withColumnRenamed("w", "w_out")
-    return into.join(out, "v").withColumn("w", F.col("w_in") * F.col("w_out"))
+    bundle = settle(edge.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")), "bundle")
+    out = vertices(bundle)
+    for side in sides:
+        if side == "in":
+            own = _rounds(bundle, alpha, rounds, mode != "sum")
+        elif mode == "as_written":
+            degree = bundle.groupBy(F.col("src").alias("v")).agg(F.sum("n").alias("n"))
+            own = degree.select("v", (1 - alpha + alpha * F.sqrt("n")).alias("w")) if rounds else None
+        else:
+            own = _rounds(bundle.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"), alpha, rounds, mode != "sum")
+        name = f"w_{side}"
+        out = out.withColumn(name, F.lit(1.0)) if own is None else out.join(own, "v", "left").select(*out.columns, F.coalesce("w", F.lit(1.0)).alias(name))
+    return out.withColumn("w", F.col("w_in") * F.col("w_out")) if {"in", "out"} <= set(sides) else out

@@ -127,12 +127,12 @@ def starts_cycle_self(spark, d):
 
 @query(sql.with_all(sql.TREE, sql.weight("tree", "w", ALPHA, ROUNDS), select="SELECT v, w AS w_in FROM w"))
 def weight_in(spark, d):
-    return weights(_edges(tables.tree(spark, d)), ALPHA, ROUNDS).select("v", "w_in")
+    return weights(_edges(tables.tree(spark, d)), ALPHA, ROUNDS, sides=("in",)).select("v", "w_in")
 
 
 @query(sql.with_all(sql.TREE, sql.weight("tree", "w", ALPHA, ROUNDS, back=True), select="SELECT v, w AS w_out FROM w"))
 def weight_out(spark, d):
-    return weights(_edges(tables.tree(spark, d)), ALPHA, ROUNDS).select("v", "w_out")
+    return weights(_edges(tables.tree(spark, d)), ALPHA, ROUNDS, sides=("out",)).select("v", "w_out")
 
 
 @query(sql.with_all(sql.MIX, sql.product("mix", "w", ALPHA, ROUNDS), select="SELECT v, w FROM w"))
@@ -148,7 +148,7 @@ def weight_norm(spark, d):
 
 @query(sql.with_all(sql.TREE, select="SELECT v, round(CASE WHEN n = 0 THEN 1.0::DOUBLE ELSE 1::DOUBLE - 0.8::DOUBLE + 0.8::DOUBLE * sqrt(n) END, 6) AS w_out FROM (SELECT v, sum(k) AS n FROM (SELECT s AS v, 1 AS k FROM tree UNION ALL SELECT o, 0 FROM tree) GROUP BY v)"))
 def weight_out_as_written(spark, d):
-    return weights(_edges(tables.tree(spark, d)), 0.8, ROUNDS, "as_written").select("v", F.round("w_out", 6).alias("w_out"))
+    return weights(_edges(tables.tree(spark, d)), 0.8, ROUNDS, "as_written", sides=("out",)).select("v", F.round("w_out", 6).alias("w_out"))
 
 
 @query(sql.with_all(sql.TYPES, select="SELECT s AS id, o AS class_id FROM types"))
@@ -186,10 +186,7 @@ _MIX_GROUPS = (sql.MIX, sql.starts("mix"), _MIX_W, sql.fold("vs", "w", K, "g"))
 @query(sql.with_all(sql.MIX, sql.starts("mix"), _MIX_W, select="SELECT row_number() OVER (ORDER BY w DESC, v) AS n, v, w FROM (SELECT DISTINCT v FROM vs) JOIN w USING (v)"))
 def merge_order(spark, d):
     _, sets, w = _mix_sets(spark, d)
-    ordered = merge.merge_order(sets, w)
-    from pyspark.sql import Window
-
-    return ordered.select(F.row_number().over(Window.orderBy(F.desc("w"), "v")).cast("bigint").alias("n"), "v", "w")
+    return merge.merge_order(sets, w).select("n", "v", "w")
 
 
 @query(sql.with_all(*_MIX_GROUPS, select="SELECT st, grp FROM g"))
@@ -221,7 +218,7 @@ cf AS (
 def class_merge_result(spark, d):
     _, sets, w = _mix_sets(spark, d)
     members = classes.class_members(tables.part_types(spark, d))
-    return merge.merge_classes(sets, members, classes.class_means(members, w), K)[1]
+    return merge.merge_classes(sets, members, classes.class_means(members, w), K)[1].select("class_id", "merged")
 
 
 _PACKED = (*_MIX_GROUPS, sql.packed("g", K, "pk"))

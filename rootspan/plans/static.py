@@ -25,7 +25,7 @@ def run_static(spark: SparkSession, config: StaticConfig) -> Plan:
 
 def statistics(plan: Plan, method: str, number: int, seconds: float) -> DataFrame:
     """One row of nine columns on a plan."""
-    members = class_members(plan.triples, plan.config.type_predicate or 0)
+    members = plan.members if plan.config.merge_by == "classes" else class_members(plan.triples, plan.config.type_predicate or 0)
     counts = merged_counts(plan.sets, plan.groups, members)
     ms = int(seconds * 1000)
     return placement_stats(plan.placed, plan.triples, plan.config.k).join(counts).select(
@@ -37,16 +37,17 @@ def statistics(plan: Plan, method: str, number: int, seconds: float) -> DataFram
 def run_evolution(spark: SparkSession, config: EvolutionConfig) -> DataFrame:
     """Statistics of every batch, once kept up incrementally and once made from scratch."""
     triples = read_triples(spark, f"{config.folder}/input", "strict")
-    base = StaticConfig(k=config.k, alpha=config.alpha, rounds=config.rounds, cycle_rule=config.cycle_rule, weight_mode=config.weight_mode, type_predicate=config.type_predicate, excluded_objects=config.excluded_objects)
+    base = StaticConfig(k=config.k, alpha=config.alpha, rounds=config.rounds, cycle_rule=config.cycle_rule, weight_mode=config.weight_mode, type_predicate=config.type_predicate, excluded_objects=config.excluded_objects, merge_by=config.merge_by)
+    members = class_members(triples, config.type_predicate or 0)  # of the whole input, as later batches add members
     _, first, _ = change_pools(triples, config.insert_share, config.delete_share, config.batches)
     batches = change_batches(triples, config.insert_share, config.delete_share, config.batches)
     began = time.time()
-    plan = initial_plan(first, base)
+    plan = initial_plan(first, base, members)
     out = statistics(plan, "static", 0, time.time() - began)
     for b in range(config.batches):
         began = time.time()
         plan = evolve(plan, batches.where(F.col("batch") == b))
         out = out.unionAll(statistics(plan, "incremental", b + 1, time.time() - began))
         began = time.time()
-        out = out.unionAll(statistics(initial_plan(snapshot(first, batches, b), base), "static", b + 1, time.time() - began))
+        out = out.unionAll(statistics(initial_plan(snapshot(first, batches, b), base, members), "static", b + 1, time.time() - began))
     return out

@@ -5,7 +5,8 @@
 files, so that a join with the result is broadcast only below ``autoBroadcastJoinThreshold``. Executors
 can be lost at any time: the files are not on their disks.
 
-Every table belongs to a scope. ``release`` deletes the tables of a scope once nothing reads them.
+Every table belongs to a scope, a setting of the calling thread. ``release`` deletes the tables of a scope
+once nothing reads them; what is left when the application ends goes then.
 """
 
 from __future__ import annotations
@@ -13,11 +14,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections import defaultdict
+from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _written: dict[str, list[str]] = defaultdict(list)
-_scope = ["default"]
+_scope: ContextVar[str] = ContextVar("scope", default="default")
+_leaving: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,8 +38,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path of its own for one table, remembered under the current scope."""
-    path = f"{shared_dir(spark)}/rootspan-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    _written[_scope[0]].append(path)
+    own = f"{shared_dir(spark)}/rootspan-{spark.sparkContext.applicationId}"
+    if own not in _leaving:
+        where = spark._jvm.org.apache.hadoop.fs.Path(own)
+        store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        store.mkdirs(where)
+        store.deleteOnExit(where)
+        _leaving.add(own)
+    path = f"{own}/{name}-{uuid.uuid4().hex}"
+    _written[_scope.get()].append(path)
     return path
 
 
@@ -47,9 +58,16 @@ def settle(df: DataFrame, name: str = "table", path: str | None = None) -> DataF
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle_counted(df: DataFrame, name: str = "table") -> tuple[DataFrame, int]:
+    """``settle`` and the number of rows, counted while they are written."""
+    seen = Observation()
+    out = settle(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return out, seen.get["n"]
+
+
 def enter(scope: str) -> None:
-    """Put the tables settled from now on into ``scope``."""
-    _scope[0] = scope
+    """Put the tables that this thread settles from now on into ``scope``."""
+    _scope.set(scope)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

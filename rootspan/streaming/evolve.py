@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,10 +10,11 @@ from pyspark.sql import functions as F
 
 from rootspan.config import StaticConfig
 from rootspan.operators.bags import bag_subtract
+from rootspan.operators.classes import class_means, class_members
 from rootspan.operators.graph import edges
-from rootspan.operators.merge import Groups, assign_largest_first, cap_of, merge_vertices, pack
+from rootspan.operators.merge import VERDICT, Groups, merge_classes, merge_vertices, of_driver, pack, transact
 from rootspan.operators.placement import apply_deltas, movement, place_triples, place_vertices, placement_deltas
-from rootspan.operators.starts import as_arrays, start_sets, update_start_sets
+from rootspan.operators.starts import start_sets, update_start_sets
 from rootspan.operators.weights import weights
 from rootspan.scratch import settle
 
@@ -75,7 +77,11 @@ def affected_vertices(sets: DataFrame, batch: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Plan:
-    """A placement and what it was made from. Every batch makes a new one."""
+    """A placement and what it was made from. Every batch makes a new one.
+
+    ``members`` (id, class_id) are the classes of the whole input; ``merged`` (class_id, literal, merged) says which
+    of them are merged now. Both are empty where vertices are merged.
+    """
 
     config: StaticConfig
     triples: DataFrame
@@ -85,55 +91,73 @@ class Plan:
     start_part: DataFrame
     vertex_part: DataFrame
     placed: DataFrame
+    members: DataFrame
+    merged: DataFrame
     moved: int = 0
 
 
-def initial_plan(triples: DataFrame, config: StaticConfig) -> Plan:
-    """The one-off pipeline: edges, start sets, weights, groups, packing, placement."""
+def initial_plan(triples: DataFrame, config: StaticConfig, members: DataFrame | None = None) -> Plan:
+    """The one-off pipeline: edges, start sets, weights, groups, packing, placement.
+
+    Where classes are merged they are ``members`` (id, class_id), or those of ``triples``.
+    """
+    spark = triples.sparkSession
     edge = settle(edges(triples, config.type_predicate, config.excluded_objects), "plan-edges")
     sets = settle(start_sets(edge, config.cycle_rule), "plan-sets")
-    groups = settle(merge_vertices(sets, weights(edge, config.alpha, config.rounds, config.weight_mode), config.k), "plan-groups")
+    weight = weights(edge, config.alpha, config.rounds, config.weight_mode)
+    if config.merge_by == "classes":
+        members = settle(class_members(triples, config.type_predicate or 0) if members is None else members, "plan-members")
+        groups, merged = merge_classes(sets, members, class_means(members, weight), config.k)
+    elif config.merge_by == "vertices":
+        members, groups, merged = spark.createDataFrame([], "id bigint, class_id bigint"), merge_vertices(sets, weight, config.k), spark.createDataFrame([], VERDICT)
+    else:
+        raise ValueError(f"unknown way to merge {config.merge_by}")
+    groups, merged = settle(groups, "plan-groups"), settle(merged, "plan-merged")
     start_part = settle(pack(groups, config.k), "plan-parts")
     vertex_part = settle(place_vertices(sets, start_part), "plan-vertices")
     placed = settle(place_triples(triples, vertex_part), "plan-placed")
-    return Plan(config, triples, edge, sets, groups, start_part, vertex_part, placed)
+    return Plan(config, triples, edge, sets, groups, start_part, vertex_part, placed, members, merged)
+
 
+def _regroup(plan: Plan, sets: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Groups, partitions and merged classes that keep what they can: (st, grp), (st, part), (class_id, literal, merged).
 
-def _regroup(plan: Plan, sets: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Groups and partitions that keep what they can: (st, grp) and (st, part)."""
-    spark, k = sets.sparkSession, plan.config.k
-    alive = sets.select("st").distinct()
-    old = plan.groups.join(plan.start_part, "st").join(alive, "st", "left_semi")
+    A group stands for its members: the driver sees the groups of affected vertices, with their sizes and
+    partitions, and answers with the groups that were joined. Affected vertices are transactions of their own,
+    by id; where classes are merged, the merged classes that have affected members are merged again, by id, and
+    literals after them. One that does not fit any more leaves the merged ones.
+    """
+    k = plan.config.k
+    alive = settle(sets.select("st").distinct(), "alive")
+    old = plan.groups.join(plan.start_part, "st").join(alive, "st", "left_semi").select("st", "grp", "part")
     # A start that is new keeps the partition its vertex was on, if that was one.
     lone = plan.vertex_part.groupBy(F.col("v").alias("st")).agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("part")).where("n = 1").select("st", "part")
     fresh = alive.join(old.select("st"), "st", "left_anti").join(lone, "st", "left").select("st", F.col("st").alias("grp"), F.coalesce("part", F.lit(-1)).alias("part"))
-    known = settle(old.select("st", "grp", "part").unionAll(fresh), "known")
-    cap, groups = cap_of(sets, k), Groups()
-    for row in known.orderBy("grp", "st").toLocalIterator():
-        if row["grp"] != row["st"] or row["grp"] in groups.size:
-            groups.union(row["grp"], row["st"])
-        if row["part"] >= 0:
-            groups.part[groups.find(row["st"])] = row["part"]
-    for row in as_arrays(affected_vertices(sets, batch)).where(F.size("starts") > 1).orderBy("v").toLocalIterator():
-        groups.merge(row["starts"], cap)
-    ends = {x: groups.find(x) for x in {*groups.parent, *groups.size, *groups.part}}
-    loads: dict[int, int] = {}
-    for root in {*ends.values()}:
-        if (p := groups.part.get(root, -1)) >= 0:
-            loads[p] = loads.get(p, 0) + groups.size.get(root, 1)
-    smallest: dict[int, int] = {}
-    for x, root in ends.items():
-        smallest[root] = min(x, smallest.get(root, x))
-    undecided = [(r, groups.size.get(r, 1)) for r in {*ends.values()} if groups.part.get(r, -1) < 0]
-    rows = known.where("part < 0").select("st").toLocalIterator()
-    undecided += [(r["st"], 1) for r in rows if r["st"] not in ends]
-    undecided.sort(key=lambda x: (-x[1], smallest.get(x[0], x[0])))
-    dealt = assign_largest_first(undecided, k, loads)
-    seen = {*ends, *dealt}
-    found = [(x, smallest.get(ends.get(x, x), x), groups.part.get(ends.get(x, x), -1) if ends.get(x, x) not in dealt else dealt[ends.get(x, x)]) for x in seen]
-    now = spark.createDataFrame(found, "st bigint, g bigint, p int")
-    both = settle(known.join(now, "st", "left").select("st", F.coalesce("g", "grp").alias("grp"), F.coalesce("p", "part").alias("part")), "regrouped")
-    return both.select("st", "grp"), both.select("st", "part")
+    held = old.withColumn("new", F.lit(False)).unionAll(fresh.withColumn("new", F.lit(True)))
+    # The name of a group is its smallest member that is left; a new start may have an old group's name.
+    named = held.groupBy("grp", "new", "part").agg(F.min("st").alias("name"), F.count(F.lit(1)).alias("n"))
+    known = settle(held.join(named, ["grp", "new", "part"]).select("st", F.col("name").alias("grp"), "n", "part"), "known")
+    own = F.collect_set(F.struct("grp", "n", "part"))
+    rows = affected_vertices(sets, batch).join(known, "st").groupBy("v").agg(F.array_sort(own).alias("own"))
+    if plan.config.merge_by == "classes":
+        again = plan.members.join(plan.merged.where("merged"), "class_id").where(F.col("literal") == (F.col("id") == F.col("class_id")))
+        rows = rows.join(again, F.col("v") == F.col("id")).select("literal", "class_id", "v", "own").orderBy("literal", "class_id", "v")
+    else:
+        rows = rows.where(F.size("own") > 1).select(F.lit(True).alias("literal"), F.col("v").alias("class_id"), "v", "own").orderBy("v")
+    groups = Groups()
+    steps = (((r["class_id"], r["literal"]), [groups.seat(*g) for g in r["own"]]) for r in rows.toLocalIterator())
+    verdict = transact(groups, steps, math.ceil(alive.count() / k))
+    joined = [(x, name, groups.part.get(groups.find(x), -1)) for x, name in groups.merged().items()]
+    now = of_driver(sets.sparkSession, "grp bigint, name bigint, now int", joined)
+    both = known.join(now, "grp", "left").select("st", F.coalesce("name", "grp").alias("grp"), F.when(F.col("name").isNull(), F.col("part")).otherwise(F.col("now")).alias("part"))
+    both = settle(both, "regrouped")
+    loads = {r["part"]: r["n"] for r in both.where("part >= 0").groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    open_ = pack(both.where("part < 0").select("st", "grp"), k, loads).withColumnRenamed("part", "given")
+    part = settle(both.join(open_, "st", "left").select("st", F.coalesce("given", "part").alias("part")), "plan-parts")
+    failed = of_driver(sets.sparkSession, "class_id bigint, literal boolean", [key for key, good in verdict.items() if not good])
+    merged = plan.merged.join(failed.withColumn("failed", F.lit(True)), ["class_id", "literal"], "left")
+    merged = settle(merged.select("class_id", "literal", (F.col("merged") & F.col("failed").isNull()).alias("merged")), "plan-merged")
+    return both.select("st", "grp"), part, merged
 
 
 def evolve(plan: Plan, batch: DataFrame) -> Plan:
@@ -144,27 +168,61 @@ def evolve(plan: Plan, batch: DataFrame) -> Plan:
     triples = settle(bag_subtract(plan.triples, removed).unionAll(added), "plan-triples")
     edge = settle(edges(triples, c.type_predicate, c.excluded_objects), "plan-edges")
     sets = settle(update_start_sets(plan.sets, plan.edges, edge, c.cycle_rule), "plan-sets")
-    groups, start_part = _regroup(plan, sets, batch)
+    groups, start_part, merged = _regroup(plan, sets, batch)
     vertex_part = settle(place_vertices(sets, start_part), "plan-vertices")
     deltas = settle(placement_deltas(plan.vertex_part, vertex_part, plan.triples, batch), "deltas")
     placed = settle(apply_deltas(plan.placed, deltas), "plan-placed")
-    return replace(plan, triples=triples, edges=edge, sets=sets, groups=groups, start_part=start_part, vertex_part=vertex_part, placed=placed, moved=movement(deltas).first()["n"])
+    return replace(plan, triples=triples, edges=edge, sets=sets, groups=groups, start_part=start_part, vertex_part=vertex_part, placed=placed, merged=merged, moved=movement(deltas).first()["n"])
+
+
+_TABLES = ("triples", "edges", "sets", "groups", "start_part", "vertex_part", "placed", "members", "merged")
+
+
+def save_plan(plan: Plan, path: str, step: int) -> None:
+    """The plan's tables below ``path``/step=N; a row that names the step is written last."""
+    for name in _TABLES:
+        getattr(plan, name).write.mode("overwrite").parquet(f"{path}/step={step}/{name}")
+    spark = plan.placed.sparkSession
+    spark.createDataFrame([(step, plan.moved)], "step bigint, moved bigint").coalesce(1).write.mode("overwrite").parquet(f"{path}/done/{step}")
+
+
+def load_plan(spark: SparkSession, path: str, config: StaticConfig) -> tuple[Plan, int] | None:
+    """The plan of the last step that was written whole, and its number; None without one."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/done/*")
+    done = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where) or []
+    steps = [int(x.getPath().getName()) for x in done if x.getPath().getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS"))]
+    if not steps:
+        return None
+    step = max(steps)
+    tables = {name: spark.read.parquet(f"{path}/step={step}/{name}") for name in _TABLES}
+    return Plan(config, **tables, moved=spark.read.parquet(f"{path}/done/{step}").first()["moved"]), step
 
 
 def stream_evolve(spark: SparkSession, path: str, plan: Plan, on_plan=None, checkpoint: str | None = None):
     """A streaming query over files of changes at ``path`` that evolves the plan once for each micro-batch.
 
     ``on_plan`` gets every new plan. The placement is global state, so each micro-batch is one step of
-    ``evolve`` over settled tables rather than keyed state.
+    ``evolve`` over settled tables rather than keyed state. With ``checkpoint``, a folder that the cluster
+    shares, every plan is stored there with its batch id: after a restart the query goes on from the last plan
+    that was stored, ``plan`` counts for the first start alone, and a batch that comes again is passed over.
     """
-    state = {"plan": plan}
-
-    def step(batch: DataFrame, _: int) -> None:
+    state = {"plan": plan, "step": -1}
+    kept = f"{checkpoint}/plans" if checkpoint else None
+    if kept and (found := load_plan(spark, kept, plan.config)):
+        state["plan"], state["step"] = found
+
+    def step(batch: DataFrame, number: int) -> None:
+        if number <= state["step"]:
+            return
         if batch.head(1):
             state["plan"] = evolve(state["plan"], batch)
+            if kept:
+                save_plan(state["plan"], kept, number)
+                state["plan"] = load_plan(spark, kept, plan.config)[0]
             if on_plan:
                 on_plan(state["plan"])
+        state["step"] = number
 
     changes = spark.readStream.schema("batch int, is_insert boolean, s bigint, p bigint, o bigint").option("maxFilesPerTrigger", 1).parquet(path)
     writer = changes.writeStream.foreachBatch(step).trigger(availableNow=True)
-    return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+    return (writer.option("checkpointLocation", f"{checkpoint}/offsets") if checkpoint else writer).start()
