@@ -101,7 +101,7 @@ LICENSES = [
     ("cc-by-nc", ["cc-by-nc-2.0", "cc-by-nc-3.0", "cc-by-nc-4.0"], "nc", r"\bcc[\s-]by[\s-]nc\b(?![\s-](?:sa|nd)\b)", "licenses/by-nc/", r"creativecommons\.org/licenses/by-nc/"),
     ("cc-by-nc-sa", ["cc-by-nc-sa-3.0", "cc-by-nc-sa-4.0"], "nc", r"\bcc[\s-]by[\s-]nc[\s-]sa\b", "licenses/by-nc-sa/", r"creativecommons\.org/licenses/by-nc-sa/"),
     ("cc-by-nc-nd", ["cc-by-nc-nd-3.0", "cc-by-nc-nd-4.0"], "nc", r"\bcc[\s-]by[\s-]nc[\s-]nd\b", "licenses/by-nc-nd/", r"creativecommons\.org/licenses/by-nc-nd/"),
-    ("creative-commons", [], "creative commons", r"\bcreative commons(?: attribution)? licen[cs]e\b", "", ""),
+    ("creative-commons", [], "creative commons", r"\bcreative commons licen[cs]e\b", "", ""),
     ("odbl", ["odbl-1.0"], "odbl", r"\bodbl\b", "open database", r"open database licen[cs]e"),
     ("odc-by", ["odc-by-1.0"], "odc-by", r"\bodc-by\b", "open data commons attribution", r"open data commons attribution licen[cs]e"),
     ("pddl", ["pddl-1.0"], "pddl", r"\bpddl\b", "", ""),
@@ -143,18 +143,18 @@ TEXTS = [
     ("bsd", "redistribution", r"redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("bsd", "redistributions", r"redistributions of source code must retain the above copyright notice, this list of conditions"),
     ("bsd", "redistributions", r"redistributions in binary form must reproduce the above copyright notice, this list of conditions"),
-    ("bsd", "contributors", r"this software is provided by the (?:copyright holders and contributors|regents and contributors|author) \W{0,2}as is"),
+    ("bsd", "provided", r"this software is provided by the (?:copyright holders and contributors|regents and contributors|author) \W{0,2}as is"),
     ("bsd-3-clause", "endorse", r"may be used to endorse or promote products derived from this software without specific prior written permission"),
-    ("bsd-4-clause", "acknowledg", r"this product includes software developed by .{1,80}? and its contributors"),
+    ("bsd-4-clause", "contributors", r"this product includes software developed by .{1,80}? and its contributors"),
     ("bsd-2-clause", "freebsd", r"the freebsd copyright"),
     ("bsd-3-clause", "regents", r"copyright .{1,40}?the regents of the university of california"),
-    ("bsd-3-clause-clear", "clear", r"no express or implied licenses to any party's patent rights are granted by this license"),
+    ("bsd-3-clause-clear", "patent", r"no express or implied licenses to any party's patent rights are granted by this license"),
     ("apache-2", "apache", r"licensed under the apache license,? version 2\.0 \(the \W?license\W?\)"),
     ("apache-2", "compliance", r"you may not use this file except in compliance with the license"),
-    ("apache-2", "licenses", r"unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an \W?as is\W? basis"),
+    ("apache-2", "applicable", r"unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an \W?as is\W? basis"),
     ("apache-2", "appendix", r"appendix: how to apply the apache license to your work"),
     ("apache-2", "foundation", r"licensed to the apache software foundation \(asf\) under one or more contributor license agreements"),
-    ("apache-1.1", "acknowledgment", r"this product includes software developed by the apache software foundation"),
+    ("apache-1.1", "apache", r"this product includes software developed by the apache software foundation"),
     ("gpl", "redistribute", r"this program is free software[:;,]? you can redistribute it and/or modify it under the terms of the gnu general public licen[cs]e"),
     ("gpl-2", "option", r"gnu general public licen[cs]e as published by the free software foundation[;,] either version 2 of the licen[cs]e, or \(at your option\) any later version"),
     ("gpl-3", "option", r"gnu general public licen[cs]e as published by the free software foundation, either version 3 of the licen[cs]e, or \(at your option\) any later version"),
@@ -165,7 +165,7 @@ TEXTS = [
     ("gpl-2-classpath", "classpath", r"gpl[\s-]?v?2(?:\.0)? with(?: the)? classpath exception"),
     ("gpl-2-classpath", "classpath", r"linking this library statically or dynamically with other modules .{1,200}?classpath"),
     ("gpl-3", "copyleft", r"the gnu general public license is a free, copyleft license for software and other kinds of works"),
-    ("gpl-2", "whole", r"gnu general public license terms and conditions for copying, distribution and modification"),
+    ("gpl-2", "distribution", r"gnu general public license terms and conditions for copying, distribution and modification"),
     ("lgpl", "redistribute", r"this library is free software[:;,]? you can redistribute it and/or modify it under the terms of the gnu (?:lesser|library) general public licen[cs]e"),
     ("lgpl", "received", r"you should have received a copy of the gnu (?:lesser|library) general public licen[cs]e"),
     ("lgpl", "gnu.org/licenses/lgpl", r"gnu\.org/licenses/lgpl(?:-[23]\.[01])?"),
@@ -187,12 +187,12 @@ TEXTS = [
     ("cddl-1.0", "common", r"the contents of this file are subject to the terms of the common development and distribution licen[cs]e"),
     ("cddl-1.0", "opensource.org/licenses/cddl", r"opensource\.org/licenses/cddl-?1(?:\.0)?"),
     ("cpl-1.0", "accompanying", r"this program and the accompanying materials are made available under the terms of the common public licen[cs]e"),
-    ("eupl", "licensor", r"licensed under the eupl,? version 1\.[012]"),
+    ("eupl", "eupl", r"licensed under the eupl,? version 1\.[012]"),
     ("artistic-1", "package", r"the intent of this document is to state the conditions under which a package may be copied"),
     ("artistic-2", "artistic", r"everyone is permitted to copy and distribute verbatim copies of this license document.{1,200}?the artistic license 2\.0"),
     ("perl", "perl", r"(?:free software; )?you (?:can|may) (?:re)?distribute it and/or modify it under the same terms as perl itself"),
-    ("bsl-1.0", "boost.org/license", r"boost\.org/licen[cs]e_1_0\.txt"),
-    ("bsl-1.0", "accompanying", r"distributed under the boost software licen[cs]e, version 1\.0"),
+    ("bsl-1.0", "boost.org/licen", r"boost\.org/licen[cs]e_1_0\.txt"),
+    ("bsl-1.0", "boost", r"distributed under the boost software licen[cs]e, version 1\.0"),
     ("bsl-1.0", "organization", r"permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation"),
     ("zlib", "origin", r"the origin of this software must not be misrepresented; you must not claim that you wrote the original software"),
     ("zlib", "altered", r"altered source versions must be plainly marked as such, and must not be misrepresented as being the original software"),
@@ -206,9 +206,9 @@ TEXTS = [
     ("cc0", "waived", r"to the extent possible under law, .{1,120}? (?:has|have) waived all copyright and related or neighboring rights"),
     ("cc0", "cc0", r"cc0 1\.0 universal"),
     ("cc-by", "attribution", r"creative commons attribution(?: [1-4]\.[05])?(?: international| unported| generic)? (?:public )?licen[cs]e"),
-    ("cc-by-sa", "sharealike", r"creative commons attribution[\s-]+share\s?alike(?: [1-4]\.[05])?"),
+    ("cc-by-sa", "alike", r"creative commons attribution[\s-]+share\s?alike(?: [1-4]\.[05])?"),
     ("cc-by-sa", "share", r"creative commons attribution[\s-]+share[\s-]alike(?: [1-4]\.[05])?"),
-    ("cc-by-nd", "derivs", r"creative commons attribution[\s-]+no[\s-]?deriv(?:ative)?s"),
+    ("cc-by-nd", "deriv", r"creative commons attribution[\s-]+no[\s-]?deriv(?:ative)?s"),
     ("cc-by-nd", "derivatives", r"creative commons attribution[\s-]+no[\s-]?derivatives"),
     ("cc-by-nc", "commercial", r"creative commons attribution[\s-]+non[\s-]?commercial(?! ?-? ?(?:share|no))"),
     ("cc-by-nc-sa", "share", r"creative commons attribution[\s-]+non[\s-]?commercial[\s-]+share[\s-]?alike"),
@@ -226,7 +226,7 @@ TEXTS = [
     ("php-3", "php", r"this product includes php(?: software)?, freely available from"),
     ("openssl", "openssl", r"this product includes software developed by the openssl project"),
     ("ssleay", "eric", r"this product includes cryptographic software written by eric young"),
-    ("postgresql", "paragraphs", r"permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted"),
+    ("postgresql", "permission", r"permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted"),
     ("sspl", "mongodb.com/licensing", r"mongodb\.com/licensing/server-side-public-license"),
     ("sspl", "service", r"offering the program as a service"),
     ("busl-1.1", "change", r"change license: .{1,80}"),
@@ -253,7 +253,7 @@ TEXTS = [
     ("bittorrent", "bittorrent", r"\bbittorrent open source licen[cs]e\b"),
     ("ecl-2.0", "educational", r"\beducational community licen[cs]e\b"),
     ("sleepycat", "sleepycat", r"\bsleepycat licen[cs]e\b"),
-    ("qpl", "q public", r"\bq public licen[cs]e\b"),
+    ("qpl", "public", r"\bq public licen[cs]e\b"),
     ("zpl", "zope", r"\bzope public licen[cs]e\b"),
     ("lppl", "latex", r"\blatex project public licen[cs]e\b"),
     ("nasa", "nasa", r"\bnasa open source agreement\b"),
@@ -264,7 +264,7 @@ TEXTS = [
     ("cdla", "community", r"\bcommunity data licen[cs]e agreement\b"),
     ("cdla", "cdla", r"\bcdla[\s-](?:permissive|sharing)\b"),
     ("openrail", "restrictions", r"use[\s-]based restrictions"),
-    ("llama", "llama", r"\bllama [23](?:\.\d)? community licen[cs]e\b"),
+    ("llama", "llama", r"\bllama [23](?:\.[0-9])? community licen[cs]e\b"),
     ("gemma", "gemma", r"\bgemma terms of use\b"),
     ("proprietary", "unauthorized", r"unauthorized (?:copying|reproduction|use|distribution) of (?:this|the) .{1,60}?(?:is )?(?:strictly )?prohibited"),
     ("proprietary", "confidential", r"confidential and proprietary"),
@@ -272,7 +272,7 @@ TEXTS = [
     ("non-commercial", "commercial", r"for (?:personal|academic|research|educational)(?:,| and| or)? non[\s-]?commercial use only"),
     ("non-commercial", "commercial", r"not for commercial use"),
     ("public-domain", "dedicated", r"(?:hereby )?dedicated to the public domain"),
-    ("public-domain", "disclaims", r"the author(?:s)? (?:hereby )?disclaims? copyright to this source code"),
+    ("public-domain", "disclaim", r"the author(?:s)? (?:hereby )?disclaims? copyright to this source code"),
 ]
 
 
