@@ -194,6 +194,7 @@ def _tested(pairs: DataFrame, sets: DataFrame, what: str, test: Callable[[np.nda
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["hub", "node"]).filter(pa.array(good))
 
     many = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / SALT).cast("int").alias("parts")).where("parts > 1")
+    many = settle(many, "many")  # pairs / SALT rows at most; broadcast if that is little
     salt = F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), F.lit(0))
     dealt = pairs.join(many, "hub", "left").select("hub", "node", salt.alias("salt"))
     x = sets.select("node", F.col(what).alias("x"))
