@@ -59,8 +59,13 @@ def _byte_letters() -> str:
     return "".join(chr(b) if b in shown else chr(next(rest)) for b in range(256))
 
 
+def kind_of(ids: int) -> np.dtype:
+    """The type that holds that many ids."""
+    return np.dtype("<u2" if ids <= 1 << 16 else "<u4")
+
+
 class Encoder(dict):
-    """Ids of texts as little-endian 32-bit bytes. The dict itself is the memo of words, its newer generation."""
+    """Ids of texts as bytes of ``kind``. The dict itself is the memo of words, its newer generation."""
 
     def __init__(self, path: str, memo: int = MEMO):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -68,11 +73,12 @@ class Encoder(dict):
 
         self.whole = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            kind = json.load(f)
-        self.special = [t["content"] for t in kind["added_tokens"]]
-        norm = [n["type"] for n in (kind.get("normalizer") or {}).get("normalizers", [])]
-        pre = (kind.get("pre_tokenizer") or {}).get("pretokenizers", [])
-        self.known = norm == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in pre] == ["Split", "ByteLevel"] and pre[0]["pattern"].get("Regex") == SPLIT and not kind.get("post_processor")
+            model = json.load(f)
+        self.kind = kind_of(max(self.whole.get_vocab().values(), default=0) + 1)
+        self.special = [t["content"] for t in model["added_tokens"]]
+        norm = [n["type"] for n in (model.get("normalizer") or {}).get("normalizers", [])]
+        pre = (model.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        self.known = norm == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in pre] == ["Split", "ByteLevel"] and pre[0]["pattern"].get("Regex") == SPLIT and not model.get("post_processor")
         self.letters = dict(enumerate(_byte_letters()))
         self.limit, self.older, self.others, self.model = memo, {}, {}, self.whole.model
 
@@ -81,7 +87,7 @@ class Encoder(dict):
         ids = self.older.get(word)
         if ids is None:
             shown = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
-            ids = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+            ids = array(self.kind.char, [t.id for t in self.model.tokenize(shown)]).tobytes()
         if len(self) >= self.limit:
             self.older = dict(self)
             self.clear()
@@ -103,7 +109,7 @@ class Encoder(dict):
         return ids
 
     def library(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def plain(self, text: str) -> bool:
         """Whether the text may be cut at white space and its pieces looked up."""
@@ -177,52 +183,40 @@ _RUN_KINDS = "shard int, seq long, docs array<long>, counts array<long>, at long
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(shard, seq, docs, counts, at, raw) of runs of documents in ascending doc_id order.
 
-    ``raw`` has the ids, the end id after each document, 32-bit little-endian. A last row of each shard, without
-    a seq, has how often each id occurs in it: ``total``, 64-bit little-endian.
+    ``raw`` has the ids, the end id after each document, as the encoder's ``kind``. A last row of each shard,
+    without a seq, has how often each id occurs in it: ``total``.
     """
-    schema = pa.schema([*_RUNS, ("raw", pa.binary()), ("total", pa.binary())])
-    end = np.array([end_id], "<u4").tobytes()
+    schema = pa.schema([*_RUNS, ("raw", pa.binary()), ("total", pa.list_(pa.int64()))])
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, shard = encoder(tokenizer).encode, TaskContext.get().partitionId()
+        encode, kind, shard = encoder(tokenizer).encode, encoder(tokenizer).kind, TaskContext.get().partitionId()
+        end = np.array([end_id], kind).tobytes()
         total, seq, at = np.zeros(0, np.int64), 0, 0
         for batch in batches:
             for part in slices(batch, 1, RUN):
                 found = [encode(t.as_py()) + end for t in part.column(1)]
-                counts = np.fromiter(map(len, found), np.int64, len(found)) // 4
-                ids = np.frombuffer(b"".join(found), "<u4")
+                counts = np.fromiter(map(len, found), np.int64, len(found)) // kind.itemsize
+                ids = np.frombuffer(b"".join(found), kind)
                 more = np.bincount(ids, minlength=len(total))
                 more[: len(total)] += total
                 total = more
                 yield _row(schema, shard, seq, part.column(0).to_pylist(), counts, at, ids.tobytes(), None)
                 seq, at = seq + 1, at + len(ids)
         if len(total):
-            yield _row(schema, shard, None, None, None, at, None, total.astype("<i8").tobytes())
+            yield _row(schema, shard, None, None, None, at, None, total)
 
     dealt = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return dealt.mapInArrow(run, f"{_RUN_KINDS}, raw binary, total binary")
+    return dealt.mapInArrow(run, f"{_RUN_KINDS}, raw binary, total array<long>")
 
 
 def rank_table(encoded: DataFrame) -> DataFrame:
     """(rank, id, n) over all ids of the corpus: at most one row for each id of the vocabulary."""
 
-    @lean
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for batch in batches:
-            for packed in batch.column(0):
-                own = np.frombuffer(packed.as_py(), "<i8")
-                more = np.zeros(max(len(total), len(own)), np.int64)
-                more[: len(total)] += total
-                more[: len(own)] += own
-                total = more
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
-
-    counts = encoded.select("total").where("total IS NOT NULL").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    each = encoded.select("total").where("total IS NOT NULL").select(F.posexplode("total").alias("id", "n")).where("n > 0")
+    counts = each.groupBy(F.col("id").cast("long").alias("id")).agg(F.sum("n").alias("n"))
     found = sorted(((r["n"], r["id"]) for r in counts.collect()), key=lambda x: (-x[0], x[1]))
     rows = [(k, i, n) for k, (n, i) in enumerate(found)]
     return encoded.sparkSession.createDataFrame(rows, "rank int, id long, n long").coalesce(1)
@@ -232,7 +226,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int, id_col: s
     """Encode ``docs`` and write the files described above to ``path``."""
     spark = docs.sparkSession
     raw_path = new_path(spark, "raw-ids")
-    encoded = settle(encode_documents(docs, tokenizer, end_id, id_col, text), path=raw_path)
+    encoded, kind = settle(encode_documents(docs, tokenizer, end_id, id_col, text), path=raw_path), encoder(tokenizer).kind
     rank_table(encoded).write.parquet(f"{path}/ranks")
     ids = [r["id"] for r in spark.read.parquet(f"{path}/ranks").orderBy("rank").select("id").collect()]
     of = np.zeros(max(ids, default=0) + 1, "<u4")
@@ -246,7 +240,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int, id_col: s
         table = ranks.value
         for batch in batches:
             for i in range(batch.num_rows):
-                control, data = encode_ranks(table[np.frombuffer(batch.column(5)[i].as_buffer(), "<u4")])
+                control, data = encode_ranks(table[np.frombuffer(batch.column(5)[i].as_buffer(), kind)])
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns[:5], pa.array([control], pa.binary()), pa.array([data], pa.binary())], schema=schema)
 
     runs = encoded.where("seq IS NOT NULL").drop("total")

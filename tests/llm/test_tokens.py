@@ -32,7 +32,7 @@ def test_packing():
 def test_encoder_equals_library():
     own = tf.Encoder(WORD, memo=40)
     for t in [*TEXTS, "a1b22 c--d.e 3%%4 \xa0x\x85y²³é·ß", "\x00\x08 a", None]:
-        assert own.encode(t) == np.array(own.whole.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()
+        assert own.encode(t) == np.array(own.whole.encode(t or "", add_special_tokens=False).ids, own.kind).tobytes()
 
 
 def test_files_round_trip(spark, odd, tmp_path):
