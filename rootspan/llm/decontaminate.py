@@ -13,8 +13,11 @@ a larger benchmark makes more blocks, not larger broadcasts; ``drop_leaks`` writ
 the next, so that one block is held at a time. Only the items that share seeds with a
 document are tiled, and of those only the ones whose seeds together could reach the threshold.
 
-Defined results: null or empty texts hold nothing; an item of fewer than ``least`` words (or a null one)
-cannot be told from chance and matches nothing; items with equal texts are each reported; repeated
+A window that many items share costs a document one look-up per item, not one per place; what tiles need is laid
+out for one item at a time.
+
+Defined results: null or empty texts hold nothing; an item of fewer than ``least`` words is one seed of all its
+words, found only whole; an item without a word (or a null one) matches nothing; items with equal texts are each reported; repeated
 documents are each tested; other columns pass through ``drop_leaks`` untouched.
 """
 
@@ -29,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rootspan.llm.packing import ragged
 from rootspan.llm.tasks import lean
 from rootspan.scratch import drop_table, settle
 
@@ -55,13 +59,13 @@ def rolled(ids: np.ndarray, least: int) -> np.ndarray:
 
 
 class Index:
-    """The seeds of one block of items."""
+    """The seeds of one block of items, given as words; shorter items have an index of their own for each length."""
 
-    def __init__(self, items: list[tuple[int, str]], least: int):
+    def __init__(self, items: list[tuple[int, list[str]]], least: int):
         self.least, self.vocabulary, self.items = least, {}, []
+        self.short = [Index([x for x in items if len(x[1]) == n], n) for n in sorted({len(w) for _, w in items if 0 < len(w) < least})]
         hashes, owners, places = [], [], []
-        for item_id, text in items:
-            found = words(text)
+        for item_id, found in items:
             if len(found) < least:
                 continue
             ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in found], np.uint64)
@@ -76,44 +80,40 @@ class Index:
         self.owners = np.concatenate(owners)[order] if owners else np.zeros(0, np.int64)
         self.places = np.concatenate(places)[order] if places else np.zeros(0, np.int64)
 
-    def seeds(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document position, item number, item position) of equal windows."""
-        empty = np.zeros(0, np.int64)
+    def matches(self, found: list[str], threshold: float) -> list[tuple[int, float, int, int]]:
+        """(item_id, coverage, tiles, longest tile) of the items that a document's words cover."""
+        out = [m for index in self.short for m in index.matches(found, threshold)]
+        get = self.vocabulary.get
+        ids = np.array([get(w, 0) for w in found], np.uint64)
         if len(ids) < self.least or not len(self.hashes):
-            return empty, empty, empty
+            return out
         missing = np.concatenate([[0], np.cumsum(ids == 0)])
         at = np.flatnonzero(missing[self.least :] == missing[: -self.least])
         if not len(at):
-            return empty, empty, empty
-        h = rolled(ids, self.least)[at]
-        low, high = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
-        n = high - low
-        hit = n > 0
-        at, low, n = at[hit], low[hit], n[hit]
-        take = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        return np.repeat(at, n), self.owners[take], self.places[take]
-
-    def matches(self, text: str | None, threshold: float) -> list[tuple[int, float, int, int]]:
-        """(item_id, coverage, tiles, longest tile) of the items that ``text`` covers."""
-        get = self.vocabulary.get
-        ids = np.array([get(w, 0) for w in words(text)], np.uint64)
-        d, owner, b = self.seeds(ids)
-        out = []
-        for k in np.unique(owner).tolist():
-            item_id, item = self.items[k]
-            mine = owner == k
-            at, of = d[mine], b[mine]
+            return out
+        windows, of, often = np.unique(rolled(ids, self.least)[at], return_inverse=True, return_counts=True)
+        low = np.searchsorted(self.hashes, windows, "left")
+        n = np.searchsorted(self.hashes, windows, "right") - low
+        window = np.repeat(np.arange(len(windows)), n)
+        take = ragged(np.arange(len(windows)), low, n)
+        order = np.argsort(self.owners[take], kind="stable")
+        window, owner, place = window[order], self.owners[take][order], self.places[take][order]
+        spots, first = at[np.argsort(of, kind="stable")], np.cumsum(often) - often
+        ends = [*(np.flatnonzero(np.diff(owner)) + 1).tolist(), len(owner)]
+        for a, b in zip([0, *ends], ends):
+            if a == b:
+                continue
+            item_id, item = self.items[owner[a]]
             covered = np.zeros(len(item) + 1, np.int64)
-            starts = np.unique(of)
-            np.add.at(covered, starts, 1)
-            np.add.at(covered, starts + self.least, -1)
-            need = threshold * len(item)
-            if np.count_nonzero(np.cumsum(covered)[: len(item)]) < need:
+            np.add.at(covered, place[a:b], 1)
+            np.add.at(covered, place[a:b] + self.least, -1)
+            if np.count_nonzero(np.cumsum(covered)[: len(item)]) < threshold * len(item):
                 continue
-            found = tiles(ids, item, at, of, self.least)
-            share = sum(n for _, _, n in found) / len(item)
+            places = spots[ragged(window[a:b], first, often)]
+            tiled = tiles(ids, item, places, np.repeat(place[a:b], often[window[a:b]]), self.least)
+            share = sum(size for _, _, size in tiled) / len(item)
             if share >= threshold:
-                out.append((item_id, share, len(found), max(n for _, _, n in found)))
+                out.append((item_id, share, len(tiled), max(size for _, _, size in tiled)))
         return out
 
 
@@ -174,12 +174,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, thresh
     spark, kinds, out = docs.sparkSession, "doc_id long, item_id long, coverage double, n_tiles long, longest long", None
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     for items in _blocks(benchmark, item_id, item_text, block):
-        index = spark.sparkContext.broadcast(Index(items, least))
+        index = spark.sparkContext.broadcast(Index([(i, words(t)) for i, t in items], least))
 
         @lean
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = [(batch.column(0)[i].as_py(), *m) for i in range(batch.num_rows) for m in index.value.matches(batch.column(1)[i].as_py(), threshold)]
+                rows = [(batch.column(0)[i].as_py(), *m) for i in range(batch.num_rows) for m in index.value.matches(words(batch.column(1)[i].as_py()), threshold)]
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "coverage", "n_tiles", "longest"])
 
@@ -198,12 +198,12 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, thresh
             if table is not None:
                 drop_table(table)
             docs = table = left
-        index = docs.sparkSession.sparkContext.broadcast(Index(items, least))
+        index = docs.sparkSession.sparkContext.broadcast(Index([(i, words(t)) for i, t in items], least))
 
         @lean
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                clean = [not index.value.matches(t.as_py(), threshold) for t in batch.column(place)]
+                clean = [not index.value.matches(words(t.as_py()), threshold) for t in batch.column(place)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -124,8 +124,8 @@ def test_tiling_equals_brute_force():
     for _ in range(60):
         item = [r.choice("abcd") for _ in range(r.randrange(4, 14))]
         doc = [r.choice("abcd") for _ in range(r.randrange(0, 40))]
-        index = decontaminate.Index([(1, " ".join(item))], 3)
-        got = index.matches(" ".join(doc), 0.01)
+        index = decontaminate.Index([(1, item), (2, ["zz", *item])], 3)
+        got = [m for m in index.matches(doc, 0.01) if m[0] == 1]
         assert (round(got[0][1] * len(item)) if got else 0) == tiled(doc, item, 3)
 
 
@@ -133,7 +133,9 @@ def test_leaks(spark, odd):
     item = " ".join(f"b{i}" for i in range(30))
     moved = " ".join(f"b{i}" for i in [*range(15, 30), *range(15)])
     docs = spark.createDataFrame([(1, f"x {item} y"), (2, f"x {moved.upper()}!"), (3, "b1 b2 b3 b4"), (4, None)], "doc_id long, text string")
-    bench = spark.createDataFrame([(7, item), (8, "too short"), (9, None)], "item_id long, text string")
+    bench = spark.createDataFrame([(7, item), (8, "two words"), (9, None), (10, "!")], "item_id long, text string")
+    few = spark.createDataFrame([(1, "Two  words here"), (2, "two other words"), (3, "two")], "doc_id long, text string")
+    assert [(r["doc_id"], r["item_id"], r["coverage"]) for r in decontaminate.find_leaks(few, bench).collect()] == [(1, 8, 1.0)]
     assert {(r["doc_id"], r["item_id"], r["n_tiles"]) for r in decontaminate.find_leaks(docs, bench, block=1).collect()} == {(1, 7, 1), (2, 7, 2)}
     assert {r["doc_id"] for r in decontaminate.drop_leaks(docs, bench).collect()} == {3, 4}
     assert decontaminate.drop_leaks(odd, bench).count() == odd.count() and decontaminate.find_leaks(odd, bench.limit(0)).count() == 0
