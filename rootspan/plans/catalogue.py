@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +15,11 @@ from rootspan.operators.fixpoint import min_ancestor
 from rootspan.operators.weights import weights
 from rootspan.plans import oracle as sql
 from rootspan.plans import tables
-from rootspan.scratch import settle
-from rootspan.sources.dictionary import to_ntriples, written_terms
-from rootspan.sources.triples import parse_lenient, parse_pairs, parse_strict
+from rootspan.plans.static import run_static, statistics
+from rootspan.scratch import new_path, settle
+from rootspan.sources.dictionary import read_dictionary, to_ntriples, written_terms
+from rootspan.sources.sinks import write_ntriples, write_placed, write_statistics
+from rootspan.sources.triples import parse_lenient, parse_pairs, parse_strict, read_triples
 from rootspan.streaming import evolve
 
 K, ALPHA, ROUNDS = 4, 0.5, 5
@@ -331,14 +334,21 @@ def _moves(spark, d) -> tuple[DataFrame, DataFrame]:
     return settle(placement.placement_deltas(old.vertex_part, new.vertex_part, old.triples, evolve.next_batch(batches, 0)), "deltas"), old.placed
 
 
+def _moves_sql(before: str, after: str) -> tuple[str, ...]:
+    """moves(kind, part, s, p, o) of batch 0 between two placements of vertices."""
+    return (
+        "gone AS (SELECT DISTINCT s, p, o FROM deleted WHERE batch = 0)",
+        "stay AS (SELECT s, p, o FROM first ANTI JOIN gone USING (s, p, o))",
+        f"""moves AS (SELECT 'gain' AS kind, part, s, p, o FROM stay JOIN (SELECT * FROM {after} EXCEPT SELECT * FROM {before}) ON v = s
+  UNION ALL SELECT 'loss', part, s, p, o FROM stay JOIN (SELECT * FROM {before} EXCEPT SELECT * FROM {after}) ON v = s
+  UNION ALL SELECT 'insert', part, s, p, o FROM inserted JOIN {after} ON v = s WHERE batch = 0
+  UNION ALL SELECT 'delete', part, s, p, o FROM first SEMI JOIN gone USING (s, p, o) JOIN {before} ON v = s)""",
+    )
+
+
 _MOVES = (
     sql.MIX, _pools("mix"), sql.after("first", 0, "later"), sql.placed("first", "a", K, ALPHA, ROUNDS), sql.placed("later", "b", K, ALPHA, ROUNDS),
-    "gone AS (SELECT DISTINCT s, p, o FROM deleted WHERE batch = 0)",
-    "stay AS (SELECT s, p, o FROM first ANTI JOIN gone USING (s, p, o))",
-    """moves AS (SELECT 'gain' AS kind, part, s, p, o FROM stay JOIN (SELECT * FROM b_vp EXCEPT SELECT * FROM a_vp) ON v = s
-  UNION ALL SELECT 'loss', part, s, p, o FROM stay JOIN (SELECT * FROM a_vp EXCEPT SELECT * FROM b_vp) ON v = s
-  UNION ALL SELECT 'insert', part, s, p, o FROM inserted JOIN b_vp ON v = s WHERE batch = 0
-  UNION ALL SELECT 'delete', part, s, p, o FROM first SEMI JOIN gone USING (s, p, o) JOIN a_vp ON v = s)""",
+    *_moves_sql("a_vp", "b_vp"),
 )
 
 
@@ -373,18 +383,24 @@ def affected_vertices(spark, d):
     return evolve.affected_vertices(starts.start_sets(_edges(evolve.snapshot(first, batches, 0))), evolve.next_batch(batches, 0))
 
 
-@query()
+@query(
+    sql.with_all(
+        sql.MIX, _pools("mix"), sql.after("first", 0, "later"), sql.placed("first", "a", K, ALPHA, ROUNDS), sql.regrouped("a", "later", K, "b"), *_moves_sql("a_vp", "b_vp"),
+        select=f"SELECT r.k::INTEGER AS part, count(x.s) AS n, (SELECT count(*) FROM moves) AS moved FROM range({K}) r(k) LEFT JOIN (SELECT part, s FROM later JOIN b_vp ON v = s) x ON x.part = r.k GROUP BY 1",
+    )
+)
 def evolve_incremental(spark, d):
-    """One batch kept up incrementally: partition sizes and triples moved. Tests hold it to invariants."""
+    """One batch kept up incrementally: partition sizes and triples moved."""
     triples = tables.mix(spark, d)
     _, first, _ = evolve.change_pools(triples, INS, DEL, BATCHES)
     batches = evolve.change_batches(triples, INS, DEL, BATCHES)
     plan = evolve.evolve(evolve.initial_plan(first, StaticConfig(k=K, alpha=ALPHA, rounds=ROUNDS)), evolve.next_batch(batches, 0))
-    return placement.histogram(plan.placed, K).withColumn("moved", F.lit(plan.moved))
+    return placement.histogram(plan.placed, K).withColumn("moved", F.lit(plan.moved).cast("bigint"))
 
 
 _TERMS = """terms AS (SELECT r_regionkey::BIGINT * 16 AS id, '<' || r_name || '>' AS written FROM region UNION ALL SELECT n_nationkey::BIGINT * 16 + 1, '"' || n_name || '"' FROM nation
-  UNION ALL SELECT c_custkey * 16 + 2, '<' || c_name || '>' FROM customer UNION ALL SELECT s_suppkey * 16 + 3, '<' || s_name || '>' FROM supplier)"""
+  UNION ALL SELECT c_custkey * 16 + 2, '<' || c_name || '>' FROM customer UNION ALL SELECT s_suppkey * 16 + 3, '<' || s_name || '>' FROM supplier
+  UNION ALL SELECT o_orderkey * 16 + 4, '<Order#' || o_orderkey || '>' FROM orders)"""
 
 
 @query(f"WITH {_TERMS} SELECT id, written FROM terms")
@@ -392,9 +408,88 @@ def dictionary_terms(spark, d):
     return written_terms(tables.terms(spark, d))
 
 
-@query(sql.with_all(sql.TREE, _TERMS, select="SELECT a.written || ' <p' || p || '> ' || b.written || ' .' AS line FROM tree JOIN terms a ON a.id = s JOIN terms b ON b.id = o WHERE p < 4"))
-def ntriples(spark, d):
+_NTRIPLES = sql.with_all(sql.TREE, _TERMS, select="SELECT a.written || ' <p' || p || '> ' || b.written || ' .' AS line FROM tree JOIN terms a ON a.id = s JOIN terms b ON b.id = o")
+
+
+def _decodable(spark, d) -> tuple[DataFrame, DataFrame]:
     # Predicates share the dictionary with entities: theirs are lifted to ids no entity has.
-    upper = tables.tree(spark, d).where("p < 4").withColumn("p", F.col("p") * 16 + 14)
-    predicates = upper.select("p").distinct().select(F.col("p").alias("id"), F.concat(F.lit("p"), (F.col("p") / 16).cast("int").cast("string")).alias("term"), F.lit(0).alias("kind"))
-    return to_ntriples(upper, tables.terms(spark, d).unionAll(predicates))
+    triples = tables.tree(spark, d).withColumn("p", F.col("p") * 16 + 14)
+    number = F.col("id").alias("id"), F.concat(F.lit("p"), (F.col("id") / 16).cast("int").cast("string")).alias("term"), F.lit(0).alias("kind")
+    return triples, tables.terms(spark, d).unionAll(spark.range(1, 6).select((F.col("id") * 16 + 14).alias("id")).select(*number))
+
+
+@query(_NTRIPLES)
+def ntriples(spark, d):
+    return to_ntriples(*_decodable(spark, d))
+
+
+@query(_NTRIPLES)
+def ntriples_file(spark, d):
+    """The N-Triples sink, read back."""
+    return spark.read.text(write_ntriples(*_decodable(spark, d), new_path(spark, "n3"))).select(F.col("value").alias("line"))
+
+
+@query(sql.with_all(sql.TREE, select="SELECT s, p, o FROM tree"))
+def triples_text_file(spark, d):
+    """Lenient triples of a text file with malformed lines, on three partitions at least."""
+    path = new_path(spark, "lines")
+    tables.lines(spark, d).write.text(path)
+    return read_triples(spark, path, "lenient", 3)
+
+
+@query("SELECT c_custkey * 16 + 2 AS id, c_name AS term, 0::INTEGER AS kind FROM customer")
+def dictionary_file(spark, d):
+    """A dictionary scanned from text."""
+    path = new_path(spark, "dict")
+    tables.terms(spark, d).where("pmod(id, 16) = 2").select(F.concat_ws(" ", "id", "term", "kind").alias("value")).write.text(path)
+    return read_dictionary(spark, path)
+
+
+@query(sql.with_all(*_PLACED, select="SELECT '(' || part || ',(' || s || ',' || p || ',' || o || '))' AS line FROM x"))
+def static_job(spark, d):
+    """The whole one-off job: triple text in, placed text out, read back."""
+    source, target = new_path(spark, "input"), new_path(spark, "output")
+    tables.mix(spark, d).select(F.concat_ws(" ", "s", "p", "o").alias("value")).write.text(source)
+    run_static(spark, StaticConfig(k=K, alpha=ALPHA, rounds=ROUNDS, input=source, output=target))
+    return spark.read.text(target).select(F.col("value").alias("line"))
+
+
+@query(sql.with_all(*_PLACED, select="SELECT part, s, p, o FROM x"))
+def placed_parquet_file(spark, d):
+    """The partitioned Parquet sink, read back."""
+    path = new_path(spark, "placed")
+    write_placed(place_subject(spark, d), path)
+    return spark.read.parquet(path).select("part", "s", "p", "o")
+
+
+@query(
+    sql.with_all(
+        *_PLACED, sql.PART_TYPES,
+        f"h AS (SELECT r.k, count(x.s) AS n FROM range({K}) r(k) LEFT JOIN x ON x.part = r.k GROUP BY 1)",
+        "m AS (SELECT *, (n - (SELECT min(n) FROM h)) / ((SELECT max(n) FROM h) - (SELECT min(n) FROM h))::DOUBLE AS z FROM h)",
+        "one AS (SELECT v, count(DISTINCT grp) = 1 AS one FROM x_vs JOIN x_g USING (st) GROUP BY v)",
+        "per AS (SELECT o, bool_and(one) AS one FROM ptypes JOIN one ON v = s GROUP BY o)",
+        select="SELECT 'static' AS method, 1 AS number, round(var_pop(z), 6) AS load_var, floor(max(n) / sum(n) * 10000) / 100 AS max_share_pct, round((sum(n) - (SELECT count(*) FROM mix)) / (SELECT count(*) FROM mix)::DOUBLE, 6) AS duplication, "
+        "(SELECT count(*) FROM one WHERE one) AS merged_vertices, (SELECT count(*) FROM per WHERE one) AS merged_classes, 0::BIGINT AS moved FROM m",
+    )
+)
+def statistics_file(spark, d):
+    """The nine-column statistics table as CSV, read back; the running time is left out."""
+    plan = evolve.initial_plan(tables.mix(spark, d), StaticConfig(k=K, alpha=ALPHA, rounds=ROUNDS))
+    path = new_path(spark, "statistics")
+    members = classes.class_members(tables.part_types(spark, d))
+    write_statistics(statistics(replace(plan, members=members), "static", 1, 61.5), path)
+    kinds = "method string, number int, running_time string, load_var double, max_share_pct double, duplication double, merged_vertices long, merged_classes long, moved long"
+    return spark.read.schema(kinds).option("header", True).csv(path).drop("running_time").withColumns({c: F.round(c, 6) for c in ("load_var", "duplication")})
+
+
+_LITERALS = "plits AS (SELECT t.s, t.p, CASE WHEN r.p_size <= 10 THEN t.s ELSE t.o END AS o FROM ptypes t JOIN part r ON r.p_partkey * 16 + 5 = t.s)"
+_LITERAL_FOLD = _CLASS_FOLD.replace("SELECT DISTINCT m.avg_w,", "SELECT DISTINCT p.s = p.o AS lit, m.avg_w,").replace("FROM ptypes p", "FROM plits p").replace("ORDER BY avg_w, class_id", "ORDER BY lit, avg_w, class_id")
+
+
+@query(sql.with_all(sql.MIX, sql.PART_TYPES, _LITERALS, sql.starts("mix"), _MIX_W, _MEANS.format(types="plits"), _LITERAL_FOLD, select="SELECT cls AS class_id, cls % 16 = 5 AS literal, bool_and(NOT failed) AS merged FROM cf WHERE n > 0 GROUP BY cls"))
+def literal_merge_result(spark, d):
+    """Classes first, then literals, each a transaction."""
+    _, sets, w = _mix_sets(spark, d)
+    members = classes.class_members(tables.part_literals(spark, d))
+    return merge.merge_classes(sets, members, classes.class_means(members, w), K)[1]

@@ -75,13 +75,13 @@ def fold(sets: str, weights: str, k: int, name: str) -> str:
 {name} AS (SELECT a.st, b.st AS grp FROM {name}_l l JOIN {name}_i a ON a.i = l.i JOIN {name}_i b ON b.i = l.g)"""
 
 
-def packed(groups: str, k: int, name: str) -> str:
-    """Groups on partitions: {name}(st, part)."""
-    zeros = ", ".join("0::BIGINT" for _ in range(k))
+def packed(groups: str, k: int, name: str, loads: str | None = None) -> str:
+    """Groups on partitions: {name}(st, part); ``loads`` gives the list of what they hold already."""
+    first = loads or "[" + ", ".join("0::BIGINT" for _ in range(k)) + "]"
     return f"""{name}_z AS (SELECT grp, count(*) AS c FROM {groups} GROUP BY grp),
 {name}_r AS MATERIALIZED (SELECT grp, c, row_number() OVER (ORDER BY c DESC, grp) AS n FROM {name}_z),
 {name}_f AS (
-  SELECT 0::BIGINT AS n, -1::BIGINT AS grp, -1::BIGINT AS part, [{zeros}] AS loads
+  SELECT 0::BIGINT AS n, -1::BIGINT AS grp, -1::BIGINT AS part, {first} AS loads
   UNION ALL
   SELECT n, grp, best - 1, list_transform(loads, lambda x, i: CASE WHEN i = best THEN x + c ELSE x END)
   FROM (SELECT r.n, r.grp, r.c, f.loads, list_position(f.loads, list_min(f.loads))::BIGINT AS best FROM {name}_f f JOIN {name}_r r ON r.n = f.n + 1)),
@@ -98,6 +98,34 @@ def placed(of: str, name: str, k: int, alpha: float, rounds: int) -> str:
 {name} AS (SELECT part, s, p, o FROM {of} JOIN {name}_vp ON v = s)"""
 
 
+def regrouped(old: str, later: str, k: int, name: str) -> str:
+    """Groups and partitions kept up through batch 0: from ``placed`` tables {old}_* and the new triples to {name}_vp(v, part)."""
+    held = lambda p: f"list_sum(list_transform(range(1, len(labels) + 1), lambda i: CASE WHEN list_contains(c, labels[i]) AND parts[labels[i]] = {p} THEN sizes[i] ELSE 0 END))"
+    return f"""{starts(later, name + "_vs")},
+{name}_alive AS (SELECT DISTINCT st FROM {name}_vs),
+{name}_old AS (SELECT st, grp, part, false AS new FROM {old}_g JOIN {old}_p USING (st) SEMI JOIN {name}_alive USING (st)),
+{name}_lone AS (SELECT v AS st, min(part) AS part FROM {old}_vp GROUP BY v HAVING count(*) = 1),
+{name}_held AS (SELECT * FROM {name}_old UNION ALL SELECT a.st, a.st, coalesce(l.part, -1), true FROM (SELECT st FROM {name}_alive ANTI JOIN {name}_old USING (st)) a LEFT JOIN {name}_lone l ON l.st = a.st),
+{name}_named AS (SELECT grp, new, part, min(st) AS name, count(*) AS n FROM {name}_held GROUP BY ALL),
+{name}_known AS (SELECT h.st, m.name, m.n, m.part FROM {name}_held h JOIN {name}_named m USING (grp, new, part)),
+{name}_i AS MATERIALIZED (SELECT name, n, part, row_number() OVER (ORDER BY name) AS i FROM {name}_named),
+{name}_t AS (SELECT v, list_sort(list(DISTINCT i)) AS t FROM {name}_vs JOIN {name}_known USING (st) JOIN {name}_i USING (name) WHERE v IN (SELECT o FROM inserted WHERE batch = 0) GROUP BY v HAVING count(DISTINCT i) > 1),
+{name}_r AS MATERIALIZED (SELECT t, row_number() OVER (ORDER BY v) AS n FROM {name}_t),
+{name}_f AS (
+  SELECT 0::BIGINT AS n, (SELECT list(i ORDER BY i) FROM {name}_i) AS labels, (SELECT list(part::BIGINT ORDER BY i) FROM {name}_i) AS parts, (SELECT list(n ORDER BY i) FROM {name}_i) AS sizes, (SELECT ceil(count(*) / {k}::DOUBLE) FROM {name}_alive) AS cap
+  UNION ALL
+  SELECT n, CASE WHEN fits THEN list_transform(labels, lambda x: CASE WHEN list_contains(c, x) THEN list_min(c) ELSE x END) ELSE labels END,
+    CASE WHEN fits AND len(c) > 1 THEN list_transform(parts, lambda x, i: CASE WHEN i = list_min(c) THEN CASE WHEN list_max(h) > 0 THEN list_position(h, list_max(h)) - 1 ELSE -1 END ELSE x END) ELSE parts END, sizes, cap
+  FROM (SELECT *, list_sum(list_transform(sizes, lambda x, i: CASE WHEN list_contains(c, labels[i]) THEN x ELSE 0 END)) <= cap AS fits, [{", ".join(held(p) for p in range(k))}] AS h
+    FROM (SELECT r.n, f.labels, f.parts, f.sizes, f.cap, {_TOUCHED.format(labels="f.labels")} AS c FROM {name}_f f JOIN {name}_r r ON r.n = f.n + 1))),
+{name}_l AS (SELECT unnest(range(1, len(labels) + 1)) AS i, unnest(labels) AS l, unnest(list_transform(labels, lambda x: parts[x])) AS part FROM (SELECT labels, parts FROM {name}_f ORDER BY n DESC LIMIT 1)),
+{name}_g AS (SELECT k.st, min(k.st) OVER (PARTITION BY l.l) AS grp, l.part FROM {name}_known k JOIN {name}_i USING (name) JOIN {name}_l l USING (i)),
+{name}_u AS (SELECT st, grp FROM {name}_g WHERE part < 0),
+{packed(name + "_u", k, name + "_q", f"(SELECT list(c ORDER BY p) FROM (SELECT r.p, count(g.st) AS c FROM range({k}) r(p) LEFT JOIN {name}_g g ON g.part = r.p GROUP BY r.p))")},
+{name}_p AS (SELECT st, part::INTEGER AS part FROM {name}_g WHERE part >= 0 UNION ALL SELECT st, part FROM {name}_q),
+{name}_vp AS (SELECT DISTINCT v, part FROM {name}_vs JOIN {name}_p USING (st))"""
+
+
 def pools(of: str, insert_share: float, delete_share: float, batches: int, buckets: int) -> str:
     """first, inserted, deleted and batches over the hash buckets of a triple table."""
     ins, dele = round(insert_share * batches * buckets), buckets - round(delete_share * batches * buckets)

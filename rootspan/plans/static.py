@@ -25,7 +25,7 @@ def run_static(spark: SparkSession, config: StaticConfig) -> Plan:
 
 def statistics(plan: Plan, method: str, number: int, seconds: float) -> DataFrame:
     """One row of nine columns on a plan."""
-    members = plan.members if plan.config.merge_by == "classes" else class_members(plan.triples, plan.config.type_predicate or 0)
+    members = plan.members
     counts = merged_counts(plan.sets, plan.groups, members)
     ms = int(seconds * 1000)
     return placement_stats(plan.placed, plan.triples, plan.config.k).join(counts).select(

@@ -77,6 +77,12 @@ def part_types(spark: SparkSession, d: str) -> DataFrame:
     return named.join(classes, "c").select("s", F.lit(0).cast("bigint").alias("p"), "o")
 
 
+def part_literals(spark: SparkSession, d: str) -> DataFrame:
+    """``part_types``, but parts of size 10 or less are classes of their own."""
+    small = _read(spark, d, "part").where("p_size <= 10").select(vid("p_partkey", "part").alias("s"), F.lit(True).alias("small"))
+    return part_types(spark, d).join(small, "s", "left").select("s", "p", F.when(F.col("small"), F.col("s")).otherwise(F.col("o")).alias("o"))
+
+
 def lines(spark: SparkSession, d: str) -> DataFrame:
     """value: every triple of the tree as a line, every order as a malformed line, and one with two spaces."""
     good = tree(spark, d).select(F.concat_ws(" ", "s", "p", "o").alias("value"))
@@ -86,6 +92,7 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def terms(spark: SparkSession, d: str) -> DataFrame:
-    """(id, term, kind): names of the tree's upper vertices and of its predicates; nations are literals."""
+    """(id, term, kind): names of the tree's vertices; nations are literals."""
+    orders = _read(spark, d, "orders").select(vid("o_orderkey", "orders").alias("id"), F.concat(F.lit("Order#"), F.col("o_orderkey").cast("string")).alias("term"), F.lit(0).alias("kind"))
     name = lambda t, key, col, kind: _read(spark, d, t).select(vid(key, t).alias("id"), F.col(col).alias("term"), F.lit(kind).alias("kind"))
-    return name("region", "r_regionkey", "r_name", 0).unionAll(name("nation", "n_nationkey", "n_name", 1)).unionAll(name("customer", "c_custkey", "c_name", 0)).unionAll(name("supplier", "s_suppkey", "s_name", 0))
+    return name("region", "r_regionkey", "r_name", 0).unionAll(name("nation", "n_nationkey", "n_name", 1)).unionAll(name("customer", "c_custkey", "c_name", 0)).unionAll(name("supplier", "s_suppkey", "s_name", 0)).unionAll(orders)

@@ -80,7 +80,7 @@ class Plan:
     """A placement and what it was made from. Every batch makes a new one.
 
     ``members`` (id, class_id) are the classes of the whole input; ``merged`` (class_id, literal, merged) says which
-    of them are merged now. Both are empty where vertices are merged.
+    of them are merged now, and is empty where vertices are merged.
     """
 
     config: StaticConfig
@@ -99,17 +99,17 @@ class Plan:
 def initial_plan(triples: DataFrame, config: StaticConfig, members: DataFrame | None = None) -> Plan:
     """The one-off pipeline: edges, start sets, weights, groups, packing, placement.
 
-    Where classes are merged they are ``members`` (id, class_id), or those of ``triples``.
+    ``members`` (id, class_id) are the classes, those of ``triples`` if none are given.
     """
     spark = triples.sparkSession
     edge = settle(edges(triples, config.type_predicate, config.excluded_objects), "plan-edges")
     sets = settle(start_sets(edge, config.cycle_rule), "plan-sets")
     weight = weights(edge, config.alpha, config.rounds, config.weight_mode)
+    members = settle(class_members(triples, config.type_predicate or 0) if members is None else members, "plan-members")
     if config.merge_by == "classes":
-        members = settle(class_members(triples, config.type_predicate or 0) if members is None else members, "plan-members")
         groups, merged = merge_classes(sets, members, class_means(members, weight), config.k)
     elif config.merge_by == "vertices":
-        members, groups, merged = spark.createDataFrame([], "id bigint, class_id bigint"), merge_vertices(sets, weight, config.k), spark.createDataFrame([], VERDICT)
+        groups, merged = merge_vertices(sets, weight, config.k), spark.createDataFrame([], VERDICT)
     else:
         raise ValueError(f"unknown way to merge {config.merge_by}")
     groups, merged = settle(groups, "plan-groups"), settle(merged, "plan-merged")
