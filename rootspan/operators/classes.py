@@ -22,8 +22,17 @@ def class_start_sets(members: DataFrame, means: DataFrame, sets: DataFrame) -> D
     return members.join(means, "class_id").join(sets, F.col("id") == F.col("v")).select("class_id", "avg_w", "v", "st")
 
 
+def _in_one_group(sets: DataFrame, groups: DataFrame) -> DataFrame:
+    """(v, one): whether the starts of a vertex share one group."""
+    return sets.join(groups, "st").groupBy("v").agg((F.min("grp") == F.max("grp")).alias("one"))
+
+
+def vet_classes(sets: DataFrame, groups: DataFrame, members: DataFrame) -> DataFrame:
+    """(class_id, merged): whether the starts of every member share one group; members that are no vertices do not count."""
+    return members.join(_in_one_group(sets, groups), F.col("id") == F.col("v")).groupBy("class_id").agg(F.bool_and("one").alias("merged"))
+
+
 def merged_counts(sets: DataFrame, groups: DataFrame, members: DataFrame) -> DataFrame:
     """(vertices, classes): vertices whose starts share one group, and classes all of whose members do."""
-    spread = sets.join(groups, "st").groupBy("v").agg((F.countDistinct("grp") == 1).alias("one"))
-    per = members.join(spread, F.col("id") == F.col("v")).groupBy("class_id").agg(F.bool_and("one").alias("one"))
-    return spread.agg(F.count_if("one").alias("vertices")).join(per.agg(F.count_if("one").alias("classes")))
+    one = _in_one_group(sets, groups).agg(F.count_if("one").alias("vertices"))
+    return one.join(vet_classes(sets, groups, members).agg(F.count_if("merged").alias("classes")))

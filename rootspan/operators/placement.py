@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rootspan.operators.bags import bag_subtract
+from rootspan.operators.fixpoint import propagate
 
 
 def place_vertices(sets: DataFrame, start_part: DataFrame) -> DataFrame:
@@ -73,6 +74,24 @@ def placement_deltas(old_part: DataFrame, new_part: DataFrame, old_triples: Data
     return at(surviving, gained, "gain").unionAll(at(surviving, lost, "loss")).unionAll(at(inserted, new_part, "insert")).unionAll(at(removed, old_part, "delete"))
 
 
+def spread_placement(edge: DataFrame, gained: DataFrame, vertex_part: DataFrame) -> DataFrame:
+    """(v, part): partitions that vertices gain, carried along the edges to all that lack them."""
+    reached = propagate(edge, gained.select("v", F.col("part").cast("bigint").alias("st")))
+    return reached.select("v", F.col("st").cast("int").alias("part")).join(vertex_part, ["v", "part"], "left_anti")
+
+
+def multiplicity(sets: DataFrame, start_part: DataFrame) -> DataFrame:
+    """(v, part, n): how many of a vertex's starts lie on a partition."""
+    return sets.join(start_part, "st").groupBy("v", "part").agg(F.count(F.lit(1)).alias("n"))
+
+
+def multiplicity_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(v, part, change) where the number differs; a pair that is missing counts 0."""
+    both = old.withColumnRenamed("n", "before").join(new, ["v", "part"], "full")
+    change = F.coalesce("n", F.lit(0)) - F.coalesce("before", F.lit(0))
+    return both.select("v", "part", change.cast("bigint").alias("change")).where("change <> 0")
+
+
 def apply_deltas(placed: DataFrame, deltas: DataFrame) -> DataFrame:
     """``placed`` after the deltas."""
     out = deltas.where("kind IN ('loss', 'delete')").select("part", "s", "p", "o")

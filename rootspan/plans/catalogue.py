@@ -224,6 +224,12 @@ def class_merge_result(spark, d):
     return merge.merge_classes(sets, members, classes.class_means(members, w), K)[1].select("class_id", "merged")
 
 
+@query(sql.with_all(*_MIX_GROUPS, sql.PART_TYPES, "one AS (SELECT v, count(DISTINCT grp) = 1 AS one FROM vs JOIN g USING (st) GROUP BY v)", select="SELECT o AS class_id, bool_and(one) AS merged FROM ptypes JOIN one ON v = s GROUP BY o"))
+def class_vetting(spark, d):
+    _, sets, w = _mix_sets(spark, d)
+    return classes.vet_classes(sets, merge.merge_vertices(sets, w, K), classes.class_members(tables.part_types(spark, d)))
+
+
 _PACKED = (*_MIX_GROUPS, sql.packed("g", K, "pk"))
 _PLACED = (sql.MIX, sql.placed("mix", "x", K, ALPHA, ROUNDS))
 
@@ -324,14 +330,19 @@ def starts_after_delete(spark, d):
     return _updated(spark, d, False)
 
 
-def _moves(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Deltas of batch 0 between two placements made from scratch, and the placement before."""
+def _two_plans(spark, d) -> tuple[evolve.Plan, evolve.Plan, DataFrame]:
+    """Placements made from scratch before and after batch 0, and the batch."""
     triples = tables.mix(spark, d)
     _, first, _ = evolve.change_pools(triples, INS, DEL, BATCHES)
     batches = evolve.change_batches(triples, INS, DEL, BATCHES)
     config = StaticConfig(k=K, alpha=ALPHA, rounds=ROUNDS)
-    old, new = evolve.initial_plan(first, config), evolve.initial_plan(evolve.snapshot(first, batches, 0), config)
-    return settle(placement.placement_deltas(old.vertex_part, new.vertex_part, old.triples, evolve.next_batch(batches, 0)), "deltas"), old.placed
+    return evolve.initial_plan(first, config), evolve.initial_plan(evolve.snapshot(first, batches, 0), config), evolve.next_batch(batches, 0)
+
+
+def _moves(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Deltas of batch 0 between two placements made from scratch, and the placement before."""
+    old, new, batch = _two_plans(spark, d)
+    return settle(placement.placement_deltas(old.vertex_part, new.vertex_part, old.triples, batch), "deltas"), old.placed
 
 
 def _moves_sql(before: str, after: str) -> tuple[str, ...]:
@@ -375,6 +386,22 @@ def placement_after_moves(spark, d):
     return placement.apply_deltas(before, deltas)
 
 
+@query(sql.with_all(*_MOVES, "front AS (SELECT v, part FROM (SELECT * FROM b_vp EXCEPT SELECT * FROM a_vp) UNION SELECT e.o, f.part FROM front f JOIN (SELECT DISTINCT s, o FROM later) e ON e.s = f.v)", select="SELECT v, part FROM front EXCEPT SELECT v, part FROM a_vp"))
+def placement_frontier(spark, d):
+    """Gained partitions carried along the edges."""
+    old, new, _ = _two_plans(spark, d)
+    return placement.spread_placement(new.edges, new.vertex_part.join(old.vertex_part, ["v", "part"], "left_anti"), old.vertex_part)
+
+
+_TIMES = "{p}_n AS (SELECT v, part, count(*) AS n FROM {p}_vs JOIN {p}_p USING (st) GROUP BY v, part)"
+
+
+@query(sql.with_all(*_MOVES, _TIMES.format(p="a"), _TIMES.format(p="b"), select="SELECT v, part, coalesce(b_n.n, 0) - coalesce(a_n.n, 0) AS change FROM a_n FULL JOIN b_n USING (v, part) WHERE coalesce(b_n.n, 0) <> coalesce(a_n.n, 0)"))
+def placement_multiplicity_changes(spark, d):
+    old, new, _ = _two_plans(spark, d)
+    return placement.multiplicity_changes(*(placement.multiplicity(x.sets, x.start_part) for x in (old, new)))
+
+
 @query(sql.with_all(sql.MIX, _pools("mix"), sql.after("first", 0, "later"), sql.starts("later"), select="SELECT v, st FROM vs WHERE v IN (SELECT o FROM inserted WHERE batch = 0)"))
 def affected_vertices(spark, d):
     triples = tables.mix(spark, d)
