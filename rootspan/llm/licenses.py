@@ -23,6 +23,7 @@ highest priority among the places that stay, over 100.
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,22 +33,22 @@ from rootspan.llm.tasks import fresh
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
+#: Fixed value: the only other characters whose lower case has a letter of a-z. Without them ``lower`` may stand for
+#: lowering A-Z: what it does to other letters neither makes nor breaks a word, a phrase or a rule's match.
+TO_ASCII = "[\u0130\u212a]"
 GRANT = r"(?:licen[cs]ed|released|distributed|available|published|provided|free)\s+under\s"
 #: What the rules of a kind cannot do without: a literal, and for some a pattern besides. A literal is looked
-#: for first, as that is cheaper. All other rules have a literal of ``HINTS`` that is a part of their keyword.
+#: for first, as that is cheaper. The kind of all other rules is the first of ``HINTS`` that every match holds.
 KINDS = {
-    "tag": ("spdx-licen", None),
-    "grant": ("under", GRANT),
-    "cc": ("cc", r"\bcc[\s-]by"),
-    "named": ("licen", None),
-    "base": ("", "|".join(SEPARATOR.join(p.split()) for p, _ in BASE)),
+    "#tag": ("spdx-licen", None),
+    "#grant": ("under", GRANT),
+    "#cc": ("cc", r"\bcc[\s-]by"),
+    "#base": ("", "|".join(SEPARATOR.join(p.split()) for p, _ in BASE)),
 }
 HINTS = (
-    "permi", "redistribut", "warrant", "copyright", "public", "reserved", "proprietary", "gpl", "gfdl", "cddl", "eupl", "odbl", "odc-by", "pddl",
-    "wtfpl", "cecill", "openrail", "cc0", "commons", "bsd", "ofl", "perl", "consortium", ".org", "free", "advertis", "contribut", "licen", "software",
-    "attribution", "derivative", "patent", "liab", "trademark", "merchant",
+    "licen", "copyright", "permi", "software", "public", "commons", "reserved", "condition", "warrant", ".org", "redistribut", "gpl", "distribut", "commercial", "source",
+    "product", "documentation", "grant", "liab", "contribut", "program",
 )
 
 #: label, SPDX ids, keyword of the name, pattern of the name, keyword and pattern of a phrase of its own.
@@ -276,9 +277,20 @@ TEXTS = [
 ]
 
 
-def _kind(keyword: str) -> str:
-    """The literal of ``HINTS`` that the keyword holds; a keyword that holds none is its own hint."""
-    return next((h for h in HINTS if h in keyword), keyword)
+def _needed(pattern: str) -> list[str]:
+    """For each alternative of a pattern the text that its matches hold for sure, other places blank."""
+    while (plain := re.sub(r"\((?:[^()\\]|\\.)*\)(?:[?*+]|\{[\d,]*\})?\??", " ", pattern)) != pattern:
+        pattern = plain
+    pattern = re.sub(r"\[(?:[^\]\\]|\\.)*\]", " ", pattern)  # classes
+    pattern = re.sub(r"(?:\\.|[^\\])(?:[?*]|\{[\d,]*\})", " ", pattern)  # what may be missing
+    pattern = re.sub(r"\\[a-zA-Z]\+?", " ", pattern)
+    return re.sub(r"\\(.)", r"\1", pattern).split("|")
+
+
+def _kind(keyword: str, pattern: str) -> str:
+    """The first literal of ``HINTS`` that every match of the pattern holds, else the keyword."""
+    parts = _needed(pattern)
+    return next((h for h in HINTS if all(h in x for x in parts)), keyword)
 
 
 def rules() -> list[dict]:
@@ -286,16 +298,16 @@ def rules() -> list[dict]:
     out = []
     for label, ids, key, name, own_key, own in LICENSES:
         for x in ids:
-            out.append({"label": label, "kind": "tag", "kw": x, "priority": 100, "rx": rf"spdx-licen[cs]e-identifier:\s*{x.replace('.', '[.]')}(?![\w.-])"})
+            out.append({"label": label, "kind": "#tag", "kw": x, "priority": 100, "rx": rf"spdx-licen[cs]e-identifier:\s*{x.replace('.', '[.]')}(?![\w.-])"})
         if own:
-            out.append({"label": label, "kind": _kind(own_key), "kw": own_key, "priority": 90, "rx": own})
-        out.append({"label": label, "kind": "grant", "kw": key, "priority": 80, "rx": rf"{GRANT[:-2]}\s+(?:the\s+)?(?:terms\s+of\s+)?(?:the\s+)?(?:gnu\s+)?(?:{name})"})
-        out.append({"label": label, "kind": "cc" if name.startswith(KINDS["cc"][1]) else "named" if all("licen[cs]e" in x for x in name.split(r"|\b")) else _kind(key), "kw": key, "priority": 60, "rx": name})
+            out.append({"label": label, "kind": _kind(own_key, own), "kw": own_key, "priority": 90, "rx": own})
+        out.append({"label": label, "kind": "#grant", "kw": key, "priority": 80, "rx": rf"{GRANT[:-2]}\s+(?:the\s+)?(?:terms\s+of\s+)?(?:the\s+)?(?:gnu\s+)?(?:{name})"})
+        out.append({"label": label, "kind": "#cc" if name.startswith(KINDS["#cc"][1]) else _kind(key, name), "kw": key, "priority": 60, "rx": name})
     for label, key, phrase in TEXTS:
-        out.append({"label": label, "kind": _kind(key), "kw": key, "priority": 90, "rx": phrase.replace(" ", r"\s+")})
+        out.append({"label": label, "kind": _kind(key, phrase), "kw": key, "priority": 90, "rx": phrase.replace(" ", r"\s+")})
     for phrase, label in BASE:
         gap = "[^a-z0-9\\x80-\\x{10FFFF}]+"
-        out.append({"label": label, "kind": "base", "kw": phrase.split()[-2], "priority": 70, "rx": r"(?<![a-z0-9\x80-\x{10FFFF}])" + gap.join(phrase.split()) + r"(?![a-z0-9\x80-\x{10FFFF}])"})
+        out.append({"label": label, "kind": "#base", "kw": phrase.split()[-2], "priority": 70, "rx": r"(?<![a-z0-9\x80-\x{10FFFF}])" + gap.join(phrase.split()) + r"(?![a-z0-9\x80-\x{10FFFF}])"})
     return out
 
 
@@ -347,10 +359,10 @@ def _all_places(low: Column, near: Column, listed: list[dict]) -> Column:
 
     def met(t: Column, kind: str) -> Column:
         literal, rx = KINDS.get(kind, (kind, None))
-        return F.when((t.contains(literal) if literal else F.lit(True)) & (t.rlike(rx) if rx and kind != "base" else F.lit(True)), F.lit(kind))
+        return F.when((t.contains(literal) if literal else F.lit(True)) & (t.rlike(rx) if rx and kind != "#base" else F.lit(True)), F.lit(kind))
 
-    kinds = sorted({r["kind"] for r in listed} - {"base"})
-    known = lambda t: F.filter(F.array(*(met(t, k) for k in kinds), F.when(near, F.lit("base"))), lambda k: k.isNotNull())
+    kinds = sorted({r["kind"] for r in listed} - {"#base"})
+    known = lambda t: F.filter(F.array(*(met(t, k) for k in kinds), F.when(near, F.lit("#base"))), lambda k: k.isNotNull())
     one = lambda t: lambda r: matches(t["low"], r["rx"], lambda i, start, end, _: F.struct(start.alias("start"), end.alias("end"), r["priority"].alias("priority"), r["rule"].alias("rule"), r["label"].alias("label")))
     runs = lambda t: F.filter(held, lambda r: F.array_contains(t["kinds"], r["kind"]) & F.contains(t["low"], r["kw"]))
     none = F.array().cast("array<struct<start:int,end:int,priority:int,rule:int,label:string>>")
@@ -369,18 +381,22 @@ def scan(docs: DataFrame, text: str = "text", listed: list[dict] | None = None)
         return taken[-1]
 
     n_words, places, spans, score, low_, near_ = map(name, ("n_words", "places", "spans", "score", "low", "near"))
-    found = docs.select(*own, F.translate(F.coalesce(F.col(f"`{text}`"), F.lit("")), UPPER, LOWER).alias(low_))
+    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    found = docs.select(*own, F.when(whole.rlike(TO_ASCII), F.translate(whole, UPPER, LOWER)).otherwise(F.lower(whole)).alias(low_))
     low = F.col(low_)
-    found = found.select("*", low.rlike(KINDS["base"][1]).alias(near_))
+    found = found.select("*", low.rlike(KINDS["#base"][1]).alias(near_))
     near = F.col(near_)
     found = found.select("*", _all_places(low, near, listed).alias(spans))
     standing = F.when(F.size(spans) > 1, _standing(F.col(spans), sorted({r["priority"] for r in listed}))).otherwise(F.col(spans))
     found = found.select(*own, low, near, standing.alias(spans))
-    words = F.filter(F.split(low, SEPARATOR, -1), lambda w: w != "")
+    pieces = F.split(low, SEPARATOR, -1)
+    words = F.filter(pieces, lambda w: w != "")
+    # Only the first and the last piece can be empty.
+    empty = lambda x: (F.get(x, F.lit(0)) == "").cast("int") + ((F.size(x) > 1) & (F.get(x, F.size(x) - 1) == "")).cast("int")
     none = F.array().cast("array<struct<word:bigint,label:string>>")
     return found.select(
         *own,
-        F.regexp_count(low, F.lit(WORD)).cast("long").alias(n_words),
+        let(pieces, lambda x: F.size(x) - empty(x)).cast("long").alias(n_words),
         F.when(near, let(words, _base_places)).otherwise(none).alias(places),
         F.col(spans),
         (F.coalesce(F.array_max(F.transform(spans, lambda s: s["priority"])), F.lit(0)) / 100.0).cast("double").alias(score),
