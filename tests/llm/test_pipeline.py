@@ -16,16 +16,16 @@ def corpus():
     words = lambda n: [r.choice("bcdfgh") + r.choice("aeiou") + r.choice(["n", "st", "re", "ll"]) + str(r.choice("xyz")) for _ in range(n)]
     item = " ".join(words(30))
     rows = []
-    for i in range(40):
+    for i in range(70):  # some 38 pages a site: a line on two of them is below the ratio of boilerplate
         body = words(70)
         if i % 10 == 3:
             body[20:20] = item.split()
         rows.append((i, f"{'Share this page' if i % 4 == 0 else 'line ' + str(i)}\n{' '.join(body)}.", "en", f"s{i % 2}", True))
-    for i in range(40, 46):
-        base = rows[i - 40][1].split("\n")
+    for i in range(70, 76):
+        base = rows[i - 70][1].split("\n")
         rows.append((i, f"{base[0]}\n{edited(base[1].split(), r, i % 3)}", "en", f"s{i % 2}", True))
-    rows += [(i, "$$$ ".join(["BUY!!", "NOW***", "|WIN|"] * 25), "en", "s0", False) for i in range(46, 58)]
-    return rows + [(58, None, "en", "s1", False)], item
+    rows += [(i, "$$$ ".join(["BUY!!", "NOW***", "|WIN|"] * 25), "en", "s0", False) for i in range(76, 88)]
+    return rows + [(88, None, "en", "s1", False)], item
 
 
 def plainly(rows, item):
@@ -48,7 +48,7 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame([(i, int(good), 0) for i, *_, good in rows], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     want = plainly(rows, item)
-    assert 20 < len(want) < 40 and all("Share" not in t for t in want.values())
+    assert 50 < len(want) < 70 and all("Share" not in t for t in want.values())
     library = byte_bpe.word_encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     got = {r["doc_id"]: (r["ids"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == {i: (library.encode_ordinary(t), hashlib.sha256(t.encode()).hexdigest()) for i, t in want.items()}
