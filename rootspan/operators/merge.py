@@ -11,14 +11,15 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Hashable, Iterable
+from collections.abc import Hashable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from rootspan.operators.numbering import numbered
 from rootspan.operators.starts import as_arrays
+from rootspan.scratch import settle
 
 
 class Groups:
@@ -110,6 +111,11 @@ def of_driver(spark: SparkSession, schema: str, rows: Iterable[tuple]) -> DataFr
     return spark.createDataFrame(pa.table([pa.array(c, _KINDS[k]) for c, k in zip(columns, kinds)], names=list(names)), schema)
 
 
+def streamed(rows: DataFrame, *by: str | Column) -> Iterator[Row]:
+    """Rows to the driver in order, a partition at a time. They are written first, so that sorting reads little."""
+    return settle(rows, "ordered").orderBy(*by).toLocalIterator(prefetchPartitions=True)
+
+
 def cap_of(sets: DataFrame, k: int) -> int:
     """Most starts in a group: the ceiling of starts over partitions."""
     return math.ceil(sets.select("st").distinct().count() / k)
@@ -130,8 +136,8 @@ def merge_vertices(sets: DataFrame, weight: DataFrame, k: int) -> DataFrame:
     """(st, grp): groups after taking every vertex's start set in merge order; grp is the smallest member."""
     cap, groups = cap_of(sets, k), Groups()
     rows = as_arrays(sets).where(F.size("starts") > 1).join(weight.select("v", "w"), "v")
-    first = rows.groupBy("starts").agg(F.min(F.struct(-F.col("w"), "v")).alias("at")).orderBy("at").select("starts")
-    for row in first.toLocalIterator():
+    first = rows.groupBy("starts").agg(F.min(F.struct((-F.col("w")).alias("w"), "v")).alias("at"))
+    for row in streamed(first, "at"):
         groups.merge(row["starts"], cap)
     return _with_singles(sets, groups)
 
@@ -144,8 +150,8 @@ def merge_classes(sets: DataFrame, members: DataFrame, means: DataFrame, k: int)
     """
     cap, groups = cap_of(sets, k), Groups()
     own = members.join(as_arrays(sets), F.col("id") == F.col("v")).join(means, "class_id").withColumn("literal", F.col("id") == F.col("class_id"))
-    rows = own.select("literal", "avg_w", "class_id", "starts").distinct().orderBy("literal", "avg_w", "class_id", "starts")
-    steps = (((r["class_id"], r["literal"]), r["starts"]) for r in rows.toLocalIterator())
+    rows = own.select("literal", "avg_w", "class_id", "starts").distinct()
+    steps = (((r["class_id"], r["literal"]), r["starts"]) for r in streamed(rows, "literal", "avg_w", "class_id", "starts"))
     verdict = transact(groups, steps, cap)
     return _with_singles(sets, groups), of_driver(sets.sparkSession, VERDICT, [(*key, good) for key, good in verdict.items()])
 
@@ -212,8 +218,8 @@ def deal_singles(singles: DataFrame, by: str, k: int, loads: dict[int, int]) ->
 def pack(groups: DataFrame, k: int, loads: dict[int, int] | None = None) -> DataFrame:
     """(st, part): groups on partitions, the largest first onto the least loaded, ties to the lower id."""
     held, sizes = dict(loads or {}), group_sizes(groups)
-    several = sizes.where("n > 1").orderBy(F.desc("n"), "grp")
-    dealt = assign_largest_first(((r["grp"], r["n"]) for r in several.toLocalIterator()), k, held)
+    several = streamed(sizes.where("n > 1"), F.desc("n"), "grp")
+    dealt = assign_largest_first(((r["grp"], r["n"]) for r in several), k, held)
     placed = of_driver(groups.sparkSession, "grp bigint, part int", dealt.items())
     singles = sizes.where("n = 1").select("grp")
     return groups.join(placed.unionAll(deal_singles(singles, "grp", k, held).select("grp", "part")), "grp").select("st", "part")

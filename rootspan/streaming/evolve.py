@@ -12,7 +12,7 @@ from rootspan.config import StaticConfig
 from rootspan.operators.bags import bag_subtract
 from rootspan.operators.classes import class_means, class_members
 from rootspan.operators.graph import edges
-from rootspan.operators.merge import VERDICT, Groups, merge_classes, merge_vertices, of_driver, pack, transact
+from rootspan.operators.merge import VERDICT, Groups, merge_classes, merge_vertices, of_driver, pack, streamed, transact
 from rootspan.operators.placement import apply_deltas, movement, place_triples, place_vertices, placement_deltas
 from rootspan.operators.starts import start_sets, update_start_sets
 from rootspan.operators.weights import weights
@@ -141,11 +141,11 @@ def _regroup(plan: Plan, sets: DataFrame, batch: DataFrame) -> tuple[DataFrame,
     rows = affected_vertices(sets, batch).join(known, "st").groupBy("v").agg(F.array_sort(own).alias("own"))
     if plan.config.merge_by == "classes":
         again = plan.members.join(plan.merged.where("merged"), "class_id").where(F.col("literal") == (F.col("id") == F.col("class_id")))
-        rows = rows.join(again, F.col("v") == F.col("id")).select("literal", "class_id", "v", "own").orderBy("literal", "class_id", "v")
+        rows = rows.join(again, F.col("v") == F.col("id")).select("literal", "class_id", "v", "own")
     else:
-        rows = rows.where(F.size("own") > 1).select(F.lit(True).alias("literal"), F.col("v").alias("class_id"), "v", "own").orderBy("v")
+        rows = rows.where(F.size("own") > 1).select(F.lit(True).alias("literal"), F.col("v").alias("class_id"), "v", "own")
     groups = Groups()
-    steps = (((r["class_id"], r["literal"]), [groups.seat(*g) for g in r["own"]]) for r in rows.toLocalIterator())
+    steps = (((r["class_id"], r["literal"]), [groups.seat(*g) for g in r["own"]]) for r in streamed(rows, "literal", "class_id", "v"))
     verdict = transact(groups, steps, math.ceil(alive.count() / k))
     joined = [(x, name, groups.part.get(groups.find(x), -1)) for x, name in groups.merged().items()]
     now = of_driver(sets.sparkSession, "grp bigint, name bigint, now int", joined)
