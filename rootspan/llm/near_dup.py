@@ -22,7 +22,7 @@ Plan. Texts are read once for sketches and once more for the sets of candidates;
 ``NAMED`` candidates are broadcast by their ids, so that the other texts stay where they are; beyond that a
 semi-join shuffles the texts. Buckets, pairs and components are narrow tables keyed by hashes; each step is
 written to the shared folder. A bucket of more than ``SALT`` members is split over several tasks wherever it is
-joined, and so are the tests of one hub, whose set goes once to each of them. A verification task holds the
+joined, and so are more than ``TESTS`` tests of one hub, whose set goes once to each of them. A verification task holds the
 hub's set and one batch, a cell the sets of two blocks, at a time.
 
 Defined results: null, empty and blank texts have empty sets and are linked with nothing; exact copies are
@@ -51,6 +51,7 @@ MISS = 1e-6
 CELL = 4 << 20
 NAMED = 1 << 20
 SALT = 4096
+TESTS = 512
 _MEMO = 300_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -193,8 +194,8 @@ def _tested(pairs: DataFrame, sets: DataFrame, what: str, test: Callable[[np.nda
                     good[a:b] = test(own, x.slice(a, b - a))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["hub", "node"]).filter(pa.array(good))
 
-    many = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / SALT).cast("int").alias("parts")).where("parts > 1")
-    many = settle(many, "many")  # pairs / SALT rows at most; broadcast if that is little
+    many = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / TESTS).cast("int").alias("parts")).where("parts > 1")
+    many = settle(many, "many")  # pairs / TESTS rows at most; broadcast if that is little
     salt = F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), F.lit(0))
     dealt = pairs.join(many, "hub", "left").select("hub", "node", salt.alias("salt"))
     x = sets.select("node", F.col(what).alias("x"))
