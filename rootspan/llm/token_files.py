@@ -184,9 +184,9 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str =
     """(shard, seq, docs, counts, at, raw) of runs of documents in ascending doc_id order.
 
     ``raw`` has the ids, the end id after each document, as the encoder's ``kind``. A last row of each shard,
-    without a seq, has how often each id occurs in it: ``total``.
+    without a seq, has how often each id occurs in it: ``total``, 64-bit little-endian.
     """
-    schema = pa.schema([*_RUNS, ("raw", pa.binary()), ("total", pa.list_(pa.int64()))])
+    schema = pa.schema([*_RUNS, ("raw", pa.binary()), ("total", pa.binary())])
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,17 +206,29 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str =
                 yield _row(schema, shard, seq, part.column(0).to_pylist(), counts, at, ids.tobytes(), None)
                 seq, at = seq + 1, at + len(ids)
         if len(total):
-            yield _row(schema, shard, None, None, None, at, None, total)
+            yield _row(schema, shard, None, None, None, at, None, total.astype("<i8").tobytes())
 
     dealt = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return dealt.mapInArrow(run, f"{_RUN_KINDS}, raw binary, total array<long>")
+    return dealt.mapInArrow(run, f"{_RUN_KINDS}, raw binary, total binary")
 
 
 def rank_table(encoded: DataFrame) -> DataFrame:
     """(rank, id, n) over all ids of the corpus: at most one row for each id of the vocabulary."""
 
-    each = encoded.select("total").where("total IS NOT NULL").select(F.posexplode("total").alias("id", "n")).where("n > 0")
-    counts = each.groupBy(F.col("id").cast("long").alias("id")).agg(F.sum("n").alias("n"))
+    @lean
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            for packed in batch.column(0):
+                own = np.frombuffer(packed.as_py(), "<i8")
+                more = np.zeros(max(len(total), len(own)), np.int64)
+                more[: len(total)] += total
+                more[: len(own)] += own
+                total = more
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
+
+    counts = encoded.select("total").where("total IS NOT NULL").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     found = sorted(((r["n"], r["id"]) for r in counts.collect()), key=lambda x: (-x[0], x[1]))
     rows = [(k, i, n) for k, (n, i) in enumerate(found)]
     return encoded.sparkSession.createDataFrame(rows, "rank int, id long, n long").coalesce(1)
