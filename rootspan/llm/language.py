@@ -4,7 +4,7 @@ The network embeds bytes, applies filters of several widths, takes each filter's
 ``WINDOW`` bytes and feeds the maxima to a softmax over the languages it was taught. It is trained here in
 numpy (Adam, gradients through the positions of the maxima) on windows of at most ``DOCS`` documents of each
 language and ``MOST`` documents in all: of all windows of their whole texts, the ``WINDOWS`` with the smallest hash
-for each language, also in shortened form. A text is cut into windows from its first byte to
+for each language (20 times as many in all), also in shortened form. A text is cut into windows from its first byte to
 its last; the prediction is the language with the largest mean probability, windows weighted by their bytes.
 
 For prediction the filters are folded into tables over byte pairs, so that a filter's response at a place
@@ -173,7 +173,7 @@ def training_windows(docs: DataFrame, id_col: str, text: str, lang: str, allowed
 
     texts = known.select("id", "lang", "text").join(F.broadcast(picked), ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text"))
     cut = texts.select("id", "lang", "text").mapInArrow(run, "lang string, id long, n int, raw binary")
-    found = _first(cut, F.xxhash64("id", "n"), windows)
+    found = _first(cut, F.xxhash64("id", "n"), windows).orderBy("k", "lang", "id", "n").limit(20 * windows)
     return [(r["lang"], bytes(r["raw"])) for r in sorted(found.collect(), key=lambda r: (r["lang"], r["id"], r["n"]))]
 
 
