@@ -2,18 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rootspan.scratch import drop_table, settle, settle_counted
 
 _COMPACT = 12
+#: Edges beyond which they are kept partitioned by source between the rounds.
+HELD = 5_000_000
+
+
+@contextmanager
+def held(step: DataFrame) -> Iterator[DataFrame]:
+    """Settled edges for the rounds of a loop.
+
+    Many edges are dealt out by source once and kept, so that each round shuffles its frontier alone; blocks that
+    get lost are made again from the settled table. Few are left to the planner, which broadcasts small frontiers.
+    """
+    if step.count() <= HELD:
+        yield step
+        return
+    kept = step.repartition("src").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
 
 
 def spread(step: DataFrame, seeds: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """``propagate`` over edges that are distinct and settled already."""
+    with held(step) as edges:
+        return _rounds(edges, seeds, max_rounds)
+
+
+def _rounds(step: DataFrame, seeds: DataFrame, max_rounds: int | None) -> DataFrame:
     frontier, n = settle_counted(seeds.select("v", "st").distinct(), "reach")
     parts, rounds = [frontier], 0
     while n and (max_rounds is None or rounds < max_rounds):
@@ -49,6 +76,13 @@ def min_ancestor(edge: DataFrame, of: DataFrame) -> DataFrame:
     ``of`` must hold every ancestor of its vertices.
     """
     step = settle(edge.distinct(), "steps")
+    with held(step) as edges:
+        label = _least(edges, of)
+    drop_table(step)
+    return label
+
+
+def _least(step: DataFrame, of: DataFrame) -> DataFrame:
     label, n = settle_counted(of.select("v", F.col("v").alias("m")), "ancestor")
     frontier = label
     while n:
@@ -60,5 +94,4 @@ def min_ancestor(edge: DataFrame, of: DataFrame) -> DataFrame:
         label, frontier = newer, better
     if frontier is not label:
         drop_table(frontier)
-    drop_table(step)
     return label

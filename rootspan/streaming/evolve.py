@@ -16,7 +16,7 @@ from rootspan.operators.merge import VERDICT, Groups, merge_classes, merge_verti
 from rootspan.operators.placement import apply_deltas, movement, place_triples, place_vertices, placement_deltas
 from rootspan.operators.starts import start_sets, update_start_sets
 from rootspan.operators.weights import weights
-from rootspan.scratch import settle
+from rootspan.scratch import drop_path, settle
 
 BUCKETS = 1000
 
@@ -206,10 +206,11 @@ def stream_evolve(spark: SparkSession, path: str, plan: Plan, on_plan=None, chec
     shares, every plan is stored there with its batch id: after a restart the query goes on from the last plan
     that was stored, ``plan`` counts for the first start alone, and a batch that comes again is passed over.
     """
-    state = {"plan": plan, "step": -1}
+    state = {"plan": plan, "step": -1, "saved": []}
     kept = f"{checkpoint}/plans" if checkpoint else None
     if kept and (found := load_plan(spark, kept, plan.config)):
         state["plan"], state["step"] = found
+        state["saved"].append(found[1])
 
     def step(batch: DataFrame, number: int) -> None:
         if number <= state["step"]:
@@ -219,6 +220,10 @@ def stream_evolve(spark: SparkSession, path: str, plan: Plan, on_plan=None, chec
             if kept:
                 save_plan(state["plan"], kept, number)
                 state["plan"] = load_plan(spark, kept, plan.config)[0]
+                state["saved"].append(number)
+                for old in state["saved"][:-2]:  # the plan before is kept: a reader may still hold it
+                    drop_path(spark, f"{kept}/step={old}")
+                    state["saved"].remove(old)
             if on_plan:
                 on_plan(state["plan"])
         state["step"] = number
