@@ -55,7 +55,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     _begin(spark, "byte_bpe")
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    decoded = byte_bpe.round_trip(docs, ranks, public_tokenizers.PATTERN)
+    # Smaller chunks than by itself, as executors still hold what the stages before have taken.
+    decoded = byte_bpe.round_trip(docs, ranks, public_tokenizers.PATTERN, chunk_bytes=8 << 20)
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
