@@ -21,13 +21,13 @@ HELD = 5_000_000
 def held(step: DataFrame) -> Iterator[DataFrame]:
     """Settled edges for the rounds of a loop.
 
-    Many edges are dealt out by source once and kept, so that each round shuffles its frontier alone; blocks that
+    Many edges are dealt out by source and sorted once and kept, so that each round shuffles its frontier alone; blocks that
     get lost are made again from the settled table. Few are left to the planner, which broadcasts small frontiers.
     """
     if step.count() <= HELD:
         yield step
         return
-    kept = step.repartition("src").persist(StorageLevel.MEMORY_AND_DISK)
+    kept = step.repartition("src").sortWithinPartitions("src").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield kept
     finally:

@@ -19,7 +19,8 @@ def _with_cycles(edge: DataFrame, reached: DataFrame, cycle_rule: str) -> DataFr
     """
     if cycle_rule not in CYCLE_RULES:
         raise ValueError(f"unknown cycle rule {cycle_rule}")
-    rest, n = settle_counted(vertices(edge).join(reached.select("v").distinct(), "v", "left_anti"), "sourceless")
+    # A vertex without an incoming edge is a source, so only the others can lack one.
+    rest, n = settle_counted(edge.select(F.col("dst").alias("v")).distinct().join(reached.select("v"), "v", "left_anti"), "sourceless")
     if not n:
         return reached
     if cycle_rule == "self":
@@ -31,12 +32,13 @@ def _with_cycles(edge: DataFrame, reached: DataFrame, cycle_rule: str) -> DataFr
     return reached.unionAll(spread(edge, seeds))
 
 
-def start_sets(edge: DataFrame, cycle_rule: str = "min") -> DataFrame:
-    """(v, st), unique: the start set of every vertex."""
-    step = settle(edge.select("src", "dst").distinct(), "steps")
+def start_sets(edge: DataFrame, cycle_rule: str = "min", bundle: DataFrame | None = None) -> DataFrame:
+    """(v, st), unique: the start set of every vertex. ``bundle`` is ``edge`` as ``bundled``, if that is there."""
+    step = settle(edge.select("src", "dst").distinct(), "steps") if bundle is None else bundle.select("src", "dst")
     reached = spread(step, start_vertices(step).select("v", F.col("v").alias("st")))
     sets = _with_cycles(step, reached, cycle_rule)
-    drop_table(step)
+    if bundle is None:
+        drop_table(step)
     return sets
 
 

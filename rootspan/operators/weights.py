@@ -5,42 +5,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rootspan.operators.graph import vertices
-from rootspan.scratch import settle
+from rootspan.operators.graph import bundled, vertices
+from rootspan.scratch import drop_table, settle, settle_counted
 
 MODES = ("sum", "normalised", "as_written")
-#: Rounds in one plan.
-_SETTLE = 6
 
 
 def _rounds(bundle: DataFrame, alpha: float, rounds: int, normalised: bool) -> DataFrame | None:
     """(v, w) of the vertices with an incoming edge; all others keep 1.0 for ever. None without a round.
 
-    w' = 1 - alpha + alpha * incoming, where incoming is a sum, or the sum over its root of squares. A round
-    reads the one before once, and all rounds share one exchange of ``bundle``.
+    w' = 1 - alpha + alpha * incoming, where incoming is a sum, or the sum over its root of squares. A vertex
+    whose sources did not change in one round does not change in the next; once none is left, the rounds are over.
     """
+    total, square = F.sum(F.col("n") * F.col("w")), F.sum(F.col("n") * F.col("w") * F.col("w"))
+    weigh = lambda sent: sent.groupBy(F.col("dst").alias("v")).agg((total / F.sqrt(square) if normalised else total).alias("x")).select("v", (1 - alpha + alpha * F.col("x")).alias("w"))
     state = None
     for k in range(rounds):
-        sent = bundle.withColumn("w", F.lit(1.0)) if state is None else bundle.join(state, F.col("src") == F.col("v"), "left").select("dst", "n", F.coalesce("w", F.lit(1.0)).alias("w"))
-        total, square = F.sum(F.col("n") * F.col("w")), F.sum(F.col("n") * F.col("w") * F.col("w"))
-        got = sent.groupBy(F.col("dst").alias("v")).agg((total / F.sqrt(square) if normalised else total).alias("x"))
-        state = got.select("v", (1 - alpha + alpha * F.col("x")).alias("w"))
-        if k % _SETTLE == _SETTLE - 1 and k + 1 < rounds:
-            state = settle(state, "weights")
-    return state
+        if state is None:
+            state = settle(weigh(bundle.withColumn("w", F.lit(1.0))).withColumn("was", F.lit(1.0)), "weights")
+            continue
+        changed = state.where("w <> was").select(F.col("v").alias("src"))
+        due, n = settle_counted(bundle.join(changed, "src", "left_semi").select(F.col("dst").alias("v")).distinct(), "due")
+        if n:
+            sent = bundle.join(due.withColumnRenamed("v", "dst"), "dst", "left_semi").join(state.select(F.col("v").alias("src"), "w"), "src", "left").select("dst", "n", F.coalesce("w", F.lit(1.0)).alias("w"))
+            again = weigh(sent).withColumnRenamed("w", "now")
+            newer = settle(state.join(again, "v", "left").select("v", F.coalesce("now", "w").alias("w"), F.col("w").alias("was")), "weights")
+            drop_table(state)
+            state = newer
+        drop_table(due)
+        if not n:
+            break
+    return state if state is None else state.select("v", "w")
 
 
-def weights(edge: DataFrame, alpha: float = 0.8, rounds: int = 5, mode: str = "sum", sides: tuple[str, ...] = ("in", "out")) -> DataFrame:
+def weights(edge: DataFrame, alpha: float = 0.8, rounds: int = 5, mode: str = "sum", sides: tuple[str, ...] = ("in", "out"), bundle: DataFrame | None = None) -> DataFrame:
     """(v, w_in, w_out, w): in- and out-weights and their product; parallel edges count each.
 
-    ``sides`` names the weights wanted; w is there if both are. ``as_written`` takes the normalised in-weight
+    ``sides`` names the weights wanted; w is there if both are. ``bundle`` is ``edge`` as ``bundled``, if that is there. ``as_written`` takes the normalised in-weight
     and, for the out-weight, each source's own weight: from the first round on that is
     1 - alpha + alpha * sqrt(out-degree), so one aggregate gives it.
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode}")
-    bundle = settle(edge.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")), "bundle")
-    out = vertices(bundle)
+    bundle = bundled(edge) if bundle is None else bundle
+    out = None
     for side in sides:
         if side == "in":
             own = _rounds(bundle, alpha, rounds, mode != "sum")
@@ -50,5 +58,15 @@ def weights(edge: DataFrame, alpha: float = 0.8, rounds: int = 5, mode: str = "s
         else:
             own = _rounds(bundle.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"), alpha, rounds, mode != "sum")
         name = f"w_{side}"
-        out = out.withColumn(name, F.lit(1.0)) if own is None else out.join(own, "v", "left").select(*out.columns, F.coalesce("w", F.lit(1.0)).alias(name))
+        if own is None:
+            out = (vertices(bundle) if out is None else out).withColumn(name, F.lit(1.0))
+            continue
+        own = own.withColumnRenamed("w", name)
+        if out is None:
+            # One side's weights have all ends of that side; the other ends are taken with the other side, or here.
+            other = bundle.select(F.col("src" if side == "in" else "dst").alias("v"))
+            out = own if len(sides) > 1 else own.unionAll(other.distinct().join(own, "v", "left_anti").select("v", F.lit(1.0).alias(name)))
+        else:
+            filled = [F.coalesce(c, F.lit(1.0)).alias(c) for c in (*out.columns[1:], name)]
+            out = out.join(own, "v", "full").select("v", *filled)
     return out.withColumn("w", F.col("w_in") * F.col("w_out")) if {"in", "out"} <= set(sides) else out
