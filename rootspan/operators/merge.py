@@ -107,7 +107,10 @@ class Groups:
         roots: dict[int, list[int]] = {}
         for x in self.parent:
             roots.setdefault(self.find(x), []).append(x)
-        return {x: min(r, *xs) for r, xs in roots.items() for x in (r, *xs)}
+        out: dict[int, int] = {}
+        for r, xs in roots.items():  # the name is looked for once: groups are large
+            out.update(dict.fromkeys((r, *xs), min(r, *xs)))
+        return out
 
 
 #: Arrow types of the columns that come from the driver.

@@ -1,6 +1,7 @@
 """The blockwise fold of sets into groups against one that takes every set by itself."""
 
 import random
+import time
 
 import pyarrow as pa
 import pytest
@@ -54,3 +55,12 @@ def test_fold_takes_few_sets_one_by_one(monkeypatch):
     sets = [sorted(r.sample(range(100), 5)) for _ in range(5000)]
     fold(Groups(), [pa.record_batch([pa.array(sets, pa.list_(pa.int64()))], names=["starts"])], 40)
     assert len(calls) < 500
+
+
+def test_names_of_a_large_group():
+    """Naming a group takes time in proportion to its members."""
+    groups = Groups()
+    groups.merge(range(100_000, 0, -1), 100_000)
+    began = time.process_time()
+    assert set(groups.merged().values()) == {1} and len(groups.merged()) == 100_000
+    assert time.process_time() - began < 20
