@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rootspan.operators.fixpoint import min_ancestor, spread
-from rootspan.operators.graph import start_vertices, vertices
+from rootspan.operators.graph import Bundle, bundled, start_vertices, vertices
 from rootspan.scratch import drop_table, settle, settle_counted
 
 CYCLE_RULES = ("min", "self")
@@ -32,13 +32,27 @@ def _with_cycles(edge: DataFrame, reached: DataFrame, cycle_rule: str) -> DataFr
     return reached.unionAll(spread(edge, seeds))
 
 
-def start_sets(edge: DataFrame, cycle_rule: str = "min", bundle: DataFrame | None = None) -> DataFrame:
-    """(v, st), unique: the start set of every vertex. ``bundle`` is ``edge`` as ``bundled``, if that is there."""
-    step = settle(edge.select("src", "dst").distinct(), "steps") if bundle is None else bundle.select("src", "dst")
-    reached = spread(step, start_vertices(step).select("v", F.col("v").alias("st")))
-    sets = _with_cycles(step, reached, cycle_rule)
-    if bundle is None:
+def start_sets(edge: DataFrame, cycle_rule: str = "min", bundle: Bundle | None = None) -> DataFrame:
+    """(v, st), unique: the start set of every vertex, in settled tables. ``bundle`` is ``edge`` as ``bundled``, if that is there.
+
+    Only edges between vertices that lead on take part in the rounds. The sets of the others, which lead
+    nowhere, are the union of those before them: they are made once, at the end.
+    """
+    if cycle_rule not in CYCLE_RULES:
+        raise ValueError(f"unknown cycle rule {cycle_rule}")
+    own, bundle = bundle is None, bundled(edge) if bundle is None else bundle
+    core = settle(bundle.edges.where("onward").select("src", "dst").distinct(), "steps")
+    reached = spread(core, bundle.vertices.where("n_in = 0").select("v", F.col("v").alias("st")))
+    last = bundle.edges.where("NOT onward").select("src", F.col("dst").alias("to"))
+    ends = last.join(reached, F.col("src") == F.col("v")).select(F.col("to").alias("v"), "st").distinct()
+    sets = reached.unionAll(settle(ends, "reach"))
+    # Vertices without a source have one before them that leads on.
+    if not bundle.vertices.where("n_in > 0 AND n_out > 0").join(reached.select("v"), "v", "left_anti").isEmpty():
+        step = settle(bundle.edges.select("src", "dst").distinct(), "steps")
+        sets = _with_cycles(step, sets, cycle_rule)
         drop_table(step)
+    for table in (core, bundle.edges, bundle.vertices) if own else (core,):
+        drop_table(table)
     return sets
 
 
