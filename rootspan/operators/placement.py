@@ -59,19 +59,32 @@ def placement_stats(placed: DataFrame, triples: DataFrame, k: int) -> DataFrame:
     )
 
 
-def placement_deltas(old_part: DataFrame, new_part: DataFrame, old_triples: DataFrame, batch: DataFrame) -> DataFrame:
-    """(kind, part, s, p, o): what moves when ``batch`` (is_insert, s, p, o) changes the placement.
+def _copies(triples: DataFrame, part: DataFrame, kind: str) -> DataFrame:
+    return place_triples(triples, part).select(F.lit(kind).alias("kind"), "part", "s", "p", "o")
 
-    gain and loss: surviving old triples on partitions that their subject gains or loses; insert: new triples
-    on the new partitions; delete: deleted triples on all old ones.
-    """
+
+def inserted_copies(new_part: DataFrame, batch: DataFrame) -> DataFrame:
+    """(kind, part, s, p, o): new triples on the new partitions."""
+    return _copies(batch.where("is_insert").select("s", "p", "o"), new_part, "insert")
+
+
+def deleted_copies(old_part: DataFrame, old_triples: DataFrame, batch: DataFrame) -> DataFrame:
+    """(kind, part, s, p, o): deleted triples on all old partitions."""
     deleted = batch.where("NOT is_insert").select("s", "p", "o")
-    inserted = batch.where("is_insert").select("s", "p", "o")
-    surviving = bag_subtract(old_triples, deleted)
-    removed = old_triples.join(deleted.distinct(), ["s", "p", "o"], "left_semi")
-    at = lambda t, part, kind: place_triples(t, part).select(F.lit(kind).alias("kind"), "part", "s", "p", "o")
+    return _copies(old_triples.join(deleted.distinct(), ["s", "p", "o"], "left_semi"), old_part, "delete")
+
+
+def shifted_copies(old_part: DataFrame, new_part: DataFrame, old_triples: DataFrame, batch: DataFrame) -> DataFrame:
+    """(kind, part, s, p, o): surviving old triples on partitions that their subject gains or loses."""
+    surviving = bag_subtract(old_triples, batch.where("NOT is_insert").select("s", "p", "o"))
     gained, lost = new_part.join(old_part, ["v", "part"], "left_anti"), old_part.join(new_part, ["v", "part"], "left_anti")
-    return at(surviving, gained, "gain").unionAll(at(surviving, lost, "loss")).unionAll(at(inserted, new_part, "insert")).unionAll(at(removed, old_part, "delete"))
+    shifts = gained.select("v", "part", F.lit("gain").alias("kind")).unionAll(lost.select("v", "part", F.lit("loss").alias("kind")))
+    return surviving.join(shifts.withColumnRenamed("v", "s"), "s").select("kind", "part", "s", "p", "o")
+
+
+def placement_deltas(old_part: DataFrame, new_part: DataFrame, old_triples: DataFrame, batch: DataFrame) -> DataFrame:
+    """(kind, part, s, p, o): what moves when ``batch`` (is_insert, s, p, o) changes the placement."""
+    return shifted_copies(old_part, new_part, old_triples, batch).unionAll(inserted_copies(new_part, batch)).unionAll(deleted_copies(old_part, old_triples, batch))
 
 
 def spread_placement(edge: DataFrame, gained: DataFrame, vertex_part: DataFrame) -> DataFrame:
