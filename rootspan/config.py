@@ -7,7 +7,10 @@ from dataclasses import dataclass, replace
 
 @dataclass(frozen=True)
 class StaticConfig:
-    """Parameters of a one-off placement; ``merge_by`` is ``vertices`` or ``classes``."""
+    """Parameters of a one-off placement; ``merge_by`` is ``vertices`` or ``classes``.
+
+    ``only_subjects`` leaves vertices that lead nowhere out of the placement of vertices, where triples do not need them.
+    """
 
     k: int = 10
     alpha: float = 0.8
@@ -17,6 +20,7 @@ class StaticConfig:
     type_predicate: int | None = None
     excluded_objects: tuple[int, ...] = ()
     merge_by: str = "vertices"
+    only_subjects: bool = False
     input: str | None = None
     output: str | None = None
 

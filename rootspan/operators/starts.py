@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rootspan.operators.fixpoint import min_ancestor, spread
 from rootspan.operators.graph import Bundle, bundled, start_vertices, vertices
 from rootspan.scratch import drop_table, settle, settle_counted
+from rootspan.shipping import ship
 
 CYCLE_RULES = ("min", "self")
 
@@ -41,21 +47,98 @@ def start_sets(edge: DataFrame, cycle_rule: str = "min", bundle: Bundle | None =
     if cycle_rule not in CYCLE_RULES:
         raise ValueError(f"unknown cycle rule {cycle_rule}")
     own, bundle = bundle is None, bundled(edge) if bundle is None else bundle
-    core = settle(bundle.edges.where("onward").select("src", "dst").distinct(), "steps")
-    reached = spread(core, bundle.vertices.where("n_in = 0").select("v", F.col("v").alias("st")))
-    last = bundle.edges.where("NOT onward").select("src", F.col("dst").alias("to"))
-    ends = last.join(reached, F.col("src") == F.col("v")).select(F.col("to").alias("v"), "st").distinct()
-    sets = reached.unionAll(settle(ends, "reach"))
-    # Vertices without a source have one before them that leads on.
-    if not bundle.vertices.where("n_in > 0 AND n_out > 0").join(reached.select("v"), "v", "left_anti").isEmpty():
+    reached, whole = _inner(bundle)
+    sets = reached.unionAll(settle(_onto_ends(bundle, reached).distinct(), "reach"))
+    if not whole:
         step = settle(bundle.edges.select("src", "dst").distinct(), "steps")
         sets = _with_cycles(step, sets, cycle_rule)
         drop_table(step)
-    for table in (core, bundle.edges, bundle.vertices) if own else (core,):
-        drop_table(table)
+    if own:
+        drop_table(bundle.table)
     return sets
 
 
+def _inner(bundle: Bundle) -> tuple[DataFrame, bool]:
+    """(v, st) of sources and vertices that lead on, and whether none of these is without a source.
+
+    Vertices without a source have one before them that leads on.
+    """
+    reached = spread(bundle.core, bundle.vertices.where("n_in = 0").select("v", F.col("v").alias("st")))
+    return reached, bundle.vertices.where("n_in > 0 AND n_out > 0").join(reached.select("v"), "v", "left_anti").isEmpty()
+
+
+def _onto_ends(bundle: Bundle, reached: DataFrame) -> DataFrame:
+    """(v, st) of vertices that lead nowhere, once for each edge into them."""
+    last = bundle.edges.where("NOT onward").select("src", F.col("dst").alias("to"))
+    return last.join(reached, F.col("src") == F.col("v")).select(F.col("to").alias("v"), "st")
+
+
+@dataclass(frozen=True)
+class Sets:
+    """Start sets in two settled tables: ``inner`` (v, st) and ``ends`` (v, starts), or ``inner`` alone.
+
+    Each vertex is in one of them. All that lead on are in ``inner``, and so is every start.
+    """
+
+    inner: DataFrame
+    ends: DataFrame | None = None
+
+    @property
+    def pairs(self) -> DataFrame:
+        """(v, st), unique."""
+        return self.inner if self.ends is None else self.inner.unionAll(self.ends.select("v", F.explode("starts").alias("st")))
+
+
+_ARRAYS = "v bigint, starts array<bigint>"
+
+
+def _together(v: np.ndarray, st: np.ndarray) -> pa.RecordBatch:
+    """(v, starts) of whole vertices, both in order, each start once."""
+    order = np.lexsort((st, v))
+    v, st = v[order], st[order]
+    new = np.concatenate([[True], v[1:] != v[:-1]])
+    keep = new | np.concatenate([[True], st[1:] != st[:-1]])
+    v, st, first = v[keep], st[keep], np.flatnonzero(new[keep])
+    starts = pa.ListArray.from_arrays(pa.array(np.append(first, len(v)).astype(np.int32)), pa.array(st))
+    return pa.record_batch([pa.array(v[first]), starts], names=["v", "starts"])
+
+
+def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_together`` of rows (v, st) in order of v, which may come more than once."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        v, st = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        cut = int(np.searchsorted(v, v[-1]))
+        if held and not cut and held[-1][0][-1] == v[-1]:  # still the same vertex
+            held.append((v.copy(), st.copy()))
+            continue
+        if cut or held:
+            yield _together(*map(np.concatenate, zip(*held, (v[:cut], st[:cut]))))
+        held = [(v[cut:].copy(), st[cut:].copy())]
+    if held:
+        yield _together(*map(np.concatenate, zip(*held)))
+
+
+def gathered(pairs: DataFrame) -> DataFrame:
+    """(v, starts): ``as_arrays`` of pairs that may come more than once, dealt out by vertex once and put together in numpy."""
+    ship(pairs.sparkSession)
+    return pairs.repartition("v").sortWithinPartitions("v").mapInArrow(gather, _ARRAYS)
+
+
+def array_sets(edge: DataFrame, cycle_rule: str = "min", bundle: Bundle | None = None) -> Sets:
+    """``start_sets`` with those of vertices that lead nowhere as arrays, for merging, which takes every set whole."""
+    bundle = bundled(edge) if bundle is None else bundle
+    reached, whole = _inner(bundle)
+    if whole:
+        return Sets(reached, settle(gathered(_onto_ends(bundle, reached)), "ends"))
+    step = settle(bundle.edges.select("src", "dst").distinct(), "steps")
+    sets = _with_cycles(step, reached.unionAll(settle(_onto_ends(bundle, reached).distinct(), "reach")), cycle_rule)
+    drop_table(step)
+    return Sets(sets)
+
+
 def as_arrays(sets: DataFrame) -> DataFrame:
     """(v, starts): start sets as sorted arrays."""
     return sets.groupBy("v").agg(F.array_sort(F.collect_set("st")).alias("starts"))

@@ -19,7 +19,7 @@ def run_static(spark: SparkSession, config: StaticConfig) -> Plan:
     """Place the triples at ``config.input``; write them as text to ``config.output`` if that is set."""
     plan = initial_plan(read_triples(spark, config.input, "lenient"), config)
     if config.output:
-        write_placed(plan.placed, config.output, "text", config.k)
+        write_placed(plan.placed, config.output, "text")
     return plan
 
 

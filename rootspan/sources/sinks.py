@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 from rootspan.sources.dictionary import to_ntriples
 
 
-def write_placed(placed: DataFrame, path: str, mode: str = "parquet", k: int | None = None) -> None:
-    """Placed triples: Parquet by partition, or text lines ``(part,(s,p,o))``, one file for each partition."""
+def write_placed(placed: DataFrame, path: str, mode: str = "parquet") -> None:
+    """Placed triples: Parquet, or text lines ``(part,(s,p,o))``; either way a folder for each partition.
+
+    Every task writes a file for each partition it holds: one task for a whole partition would not scale, as there are few.
+    """
     if mode == "parquet":
-        placed.repartition("part").write.partitionBy("part").parquet(path)
+        placed.write.partitionBy("part").parquet(path)
     elif mode == "text":
-        line = F.format_string("(%d,(%d,%d,%d))", "part", "s", "p", "o")
-        dealt = placed.repartition(k, "part") if k else placed.repartition("part")
-        dealt.select(line.alias("value")).write.text(path)
+        digits = [F.col(c).cast("string") for c in ("part", "s", "p", "o")]
+        line = F.concat(F.lit("("), digits[0], F.lit(",("), F.concat_ws(",", *digits[1:]), F.lit("))"))
+        placed.select(line.alias("value"), "part").write.partitionBy("part").text(path)
     else:
         raise ValueError(f"unknown mode {mode}")
 

@@ -64,3 +64,19 @@ def test_names_of_a_large_group():
     began = time.process_time()
     assert set(groups.merged().values()) == {1} and len(groups.merged()) == 100_000
     assert time.process_time() - began < 20
+
+
+def test_sets_that_change_nothing_stay_on_the_executors(spark, monkeypatch):
+    sets = [(100.0 - i // 3, i, random.Random(i).sample(range(12), 3)) for i in range(64)]
+    rows = spark.createDataFrame(sets, "w double, v bigint, starts array<bigint>")
+    taken, old = [], merge._ordered
+    monkeypatch.setattr(merge, "_ordered", lambda part, *by: (taken.append(b.num_rows) or b for b in old(part, *by)))
+    found = {}
+    for many in (1 << 22, 0):
+        monkeypatch.setattr(merge, "MANY", many)
+        taken.clear()
+        groups = merge.Groups()
+        merge._fold_looking(groups, rows, 12)
+        found[many] = groups.merged(), sum(taken)
+    assert found[0][0] == found[1 << 22][0] and found[1 << 22][1] == 64
+    assert found[0][1] < 48

@@ -146,3 +146,10 @@ def test_stream_goes_on_after_a_restart(spark, tmp_path):
     assert len(seen) == 1 and step == 1 and placed_rows(kept) == placed_rows(want) and as_sets(kept.sets) == as_sets(want.sets)
     assert starts.as_arrays(kept.sets).count() == starts.as_arrays(want.sets).count()
     shutil.rmtree(check)
+
+
+@pytest.mark.parametrize("mode", ["parquet", "text"])
+def test_a_partition_is_written_by_several_tasks(spark, tmp_path, mode):
+    placed = spark.range(0, 8, 1, 4).selectExpr("0 AS part", "id AS s", "1L AS p", "id + 10 AS o")
+    write_placed(placed, str(tmp_path / "out"), mode)
+    assert len(list((tmp_path / "out").glob("part=0/part-*"))) == 4

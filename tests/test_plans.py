@@ -7,7 +7,10 @@ from types import SimpleNamespace
 import pytest
 
 from rootspan import shipping
+from rootspan.config import StaticConfig
 from rootspan.plans import catalogue
+from rootspan.sources.triples import triples_of
+from rootspan.streaming import evolve
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -27,3 +30,13 @@ def test_package_is_sent_once():
     with ThreadPoolExecutor(2) as pool:
         list(pool.map(shipping.ship, [SimpleNamespace(sparkContext=context)] * 2))
     assert len(sent) == 1
+
+
+def test_subjects_are_enough_for_triples(spark):
+    triples = triples_of(spark, [(1, 1, 2), (2, 1, 3), (4, 1, 3), (4, 1, 5)])
+    whole, part = (evolve.initial_plan(triples, StaticConfig(k=2, only_subjects=only)) for only in (False, True))
+    assert {r["v"] for r in whole.vertex_part.collect()} == {1, 2, 3, 4, 5}
+    assert {r["v"] for r in part.vertex_part.collect()} == {1, 2, 4}
+    assert sorted(map(tuple, part.placed.collect())) == sorted(map(tuple, whole.placed.collect()))
+    with pytest.raises(ValueError):
+        evolve.evolve(part, spark.createDataFrame([], "is_insert boolean, s bigint, p bigint, o bigint"))
