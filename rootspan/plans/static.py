@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rootspan.config import EvolutionConfig, StaticConfig
 from rootspan.operators.classes import class_members, merged_counts
 from rootspan.operators.placement import placement_stats
+from rootspan.scratch import settle
 from rootspan.sources.sinks import write_placed
 from rootspan.sources.triples import read_triples
 from rootspan.streaming.evolve import Plan, change_batches, change_pools, evolve, initial_plan, snapshot
@@ -17,7 +18,7 @@ from rootspan.streaming.evolve import Plan, change_batches, change_pools, evolve
 
 def run_static(spark: SparkSession, config: StaticConfig) -> Plan:
     """Place the triples at ``config.input``; write them as text to ``config.output`` if that is set."""
-    plan = initial_plan(read_triples(spark, config.input, "lenient"), config)
+    plan = initial_plan(settle(read_triples(spark, config.input, "lenient"), "plan-triples"), config)  # parsed once
     if config.output:
         write_placed(plan.placed, config.output, "text")
     return plan

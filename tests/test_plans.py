@@ -9,6 +9,7 @@ import pytest
 from rootspan import shipping
 from rootspan.config import StaticConfig
 from rootspan.plans import catalogue
+from rootspan.plans.static import run_static
 from rootspan.sources.triples import triples_of
 from rootspan.streaming import evolve
 
@@ -40,3 +41,9 @@ def test_subjects_are_enough_for_triples(spark):
     assert sorted(map(tuple, part.placed.collect())) == sorted(map(tuple, whole.placed.collect()))
     with pytest.raises(ValueError):
         evolve.evolve(part, spark.createDataFrame([], "is_insert boolean, s bigint, p bigint, o bigint"))
+
+
+def test_text_is_parsed_once(spark, tmp_path):
+    (tmp_path / "input").write_text("1 1 2\n2 1 3\n")
+    plan = run_static(spark, StaticConfig(k=2, input=str(tmp_path / "input")))
+    assert "regexp" not in plan.placed._jdf.queryExecution().optimizedPlan().toString().lower()
