@@ -30,6 +30,8 @@ from rootspan.shipping import ship
 BLOCK = 1 << 19
 #: Sets taken one by one before the rest of a block is looked at again.
 STEP = 2048
+#: Merged starts for each further set that is taken one by one before that.
+SHARE = 64
 #: Shares of the sets, in order, after which the others are looked at on the executors, and the values from which that pays.
 LOOKS, MANY = (1 / 16, 1 / 8, 1 / 4), 1 << 22
 
@@ -399,7 +401,7 @@ def fold(groups: Groups, batches: Iterable[pa.RecordBatch], cap: int, key: tuple
             for at_, i in enumerate(rest):
                 if key and names[i] != open_ or not key:
                     mark, open_ = groups.mark(), names[i]
-                    if tried >= STEP:
+                    if tried >= max(STEP, len(seen.ids) // SHARE):  # a look takes in all that has merged
                         todo, open_ = rest[at_:], None
                         break
                 if key and not verdict[open_]:

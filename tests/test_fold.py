@@ -80,3 +80,18 @@ def test_sets_that_change_nothing_stay_on_the_executors(spark, monkeypatch):
         found[many] = groups.merged(), sum(taken)
     assert found[0][0] == found[1 << 22][0] and found[1 << 22][1] == 64
     assert found[0][1] < 48
+
+
+def test_looks_grow_rarer_with_what_has_merged(monkeypatch):
+    monkeypatch.setattr(merge, "STEP", 1)
+    looks, old = [], merge.Snapshot.advance
+    monkeypatch.setattr(merge.Snapshot, "advance", lambda self, upto: looks.append(upto) or old(self, upto))
+    pairs = [[x, x + 1] for x in range(0, 4000, 2)]
+    for share in (1 << 40, 8):
+        monkeypatch.setattr(merge, "SHARE", share, raising=False)
+        looks.append(None)
+        for part in (pairs, [[x + 1, x + 2] for x in range(0, 3998, 2)]):
+            groups = Groups() if part is pairs else groups
+            fold(groups, [pa.record_batch([pa.array(part, pa.list_(pa.int64()))], names=["starts"])], 10_000, (), merge.Snapshot(groups))
+        assert set(groups.merged().values()) == {0}
+    assert len(looks) - looks[1:].index(None) < looks[1:].index(None) / 10
